@@ -1 +1,8 @@
 """Spark-native analytics for imaging-based spatial transcriptomics tables."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the job, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
