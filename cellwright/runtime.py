@@ -54,3 +54,23 @@ def usable(*coords):
     for c in coords:
         cond = cond & c.isNotNull() & (c >= 0) & (c < F.lit(float("inf")))
     return F.coalesce(cond, F.lit(False))
+
+
+def runs(batches, key: str):
+    """Arrow batches sorted by ``key`` as tables that never cut a run of equal keys; memory follows the longest run."""
+    import pyarrow as pa
+
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(key).to_numpy(zero_copy_only=False)
+        at = int(k.searchsorted(k[-1], "left"))  # where the last, perhaps unfinished, run begins
+        if at == 0 and (not held or held[-1].column(key)[-1].as_py() == k[0]):
+            held.append(batch)
+            continue
+        held.append(batch.slice(0, at))
+        yield pa.Table.from_batches(held)
+        held = [batch.slice(at)]
+    if held:
+        yield pa.Table.from_batches(held)
