@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cellwright.plans import basic, expression, proximity, segmentation
+from cellwright.plans import basic, expression, proximity, segmentation, spatial
 
-_BOOKS = (segmentation.book, basic.book, expression.book)
+_BOOKS = (segmentation.book, basic.book, expression.book, spatial.book)
 FLAGSHIP = "seg_jaccard"
 QUERIES = {**proximity.QUERIES, **{k: q for b in _BOOKS for k, q in b.queries.items()}}
 ORACLES: dict[str, str] = {k: s for b in _BOOKS for k, s in b.oracles.items()}
