@@ -52,11 +52,11 @@ def calinski_harabasz(v: DataFrame) -> DataFrame:
     """(score) of labelled vectors (label, v): between over within sums of squares, from sums per label and dimension."""
     e = v.select("label", F.posexplode("v").alias("i", "x"))
     by = e.groupBy("label", "i").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
-    all_ = by.groupBy("i").agg(F.sum("n").alias("N"), F.sum("s").alias("S"))
+    all_ = by.groupBy("i").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
     j = by.join(all_, "i")
-    between = F.sum(F.col("n") * (F.col("s") / F.col("n") - F.col("S") / F.col("N")) ** 2)
+    between = F.sum(F.col("n") * (F.col("s") / F.col("n") - F.col("all_s") / F.col("all_n")) ** 2)
     within = F.sum(F.col("ss") - F.col("s") * F.col("s") / F.col("n"))
-    out = j.agg(between.alias("b"), within.alias("w"), F.count_distinct("label").alias("k"), F.max("N").alias("n"))
+    out = j.agg(between.alias("b"), within.alias("w"), F.count_distinct("label").alias("k"), F.max("all_n").alias("n"))
     return out.select((F.col("b") / (F.col("k") - 1) / (F.col("w") / (F.col("n") - F.col("k")))).alias("score"))
 
 
