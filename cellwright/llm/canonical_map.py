@@ -35,7 +35,7 @@ _BRACKETS = re.compile(r"\((?!\s*\+)[^()]*\)|\[[^\[\]]*\]")
 _CLUSTER = re.compile(r"^\W*(?:(?:cluster|clust|cl|c)\W*)?\d+(?:\s*[:_.)\-]|\s)\s*(?=\S)")
 _MARKER = re.compile(r"\b([a-z][a-z0-9]*?)(?:\s*\(\s*\+\s*\)|\s*\+|[\s\-]*(?:positive|pos|high|hi)\b\.?)")
 _GAMMA_DELTA = re.compile(r"\bgamma\W*delta\b|γ\W*δ|\bg\W?d\b")
-_NUMBER = re.compile(r"(?:\b(?:no|nr|num|number)\b\.?|#|№)\s*(?=\d)")
+_NUMBER = re.compile(r"(?:\b(?:no|nr|num|number)\b\.?|#|№)\s*(?=\d|[ivx]+\b)")
 _TOKEN = re.compile(r"[^\W_]+\+?")
 
 

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellwright.operators.graph import communities, components
 from cellwright.runtime import cut, drop, parts, runs
 
 EDGE = "u long, v long, d double, xu array<double>, xv array<double>"
@@ -95,7 +96,6 @@ def _best(dim: int, k: int):
             starts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
             rank = np.arange(len(a)) - np.repeat(starts, np.diff(np.r_[starts, len(a)]))
             o = order[rank < k]
-            kth = np.zeros(len(u))
             yield _edge_batch(u[o], v[o], d[o], _matrix(t["xu"], dim)[o], _matrix(t["xv"], dim)[o])
 
     return run
@@ -143,36 +143,6 @@ def neighbour_descent(places: DataFrame, dim: int, k: int, radius: float, rounds
     return edges
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 4, levels: int = 2) -> DataFrame:
-    """(loc, c): modularity communities. ``nodes``: loc, g; ``edges``: g, u, v, w in both directions, no loops."""
-    member = cut(nodes.select("loc", F.col("loc").alias("c")))
-    weight = cut(edges.groupBy("g").agg(F.sum("w").alias("all")))
-    work = edges.select("g", "u", "v", "w")
-    for level in range(levels):
-        degree = cut(work.groupBy("g", "u").agg(F.sum("w").alias("deg")))  # loops count, as weight inside
-        label = cut(degree.select(F.col("u").alias("n"), F.col("u").alias("c")))
-        for r in range(rounds):
-            own = degree.join(label.withColumnRenamed("n", "u"), "u")
-            total = own.groupBy("c").agg(F.sum("deg").alias("tot"))
-            toward = work.where("u <> v").join(label.withColumnRenamed("n", "v"), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
-            mine = own.select("u", "g", "deg", F.col("c").alias("now"))
-            options = toward.unionByName(mine.select("u", F.col("now").alias("c"), F.lit(0.0).alias("w"))).groupBy("u", "c").agg(F.sum("w").alias("w"))
-            options = options.join(mine, "u").join(total, "c").join(weight, "g")
-            rest = F.col("tot") - F.when(F.col("c") == F.col("now"), F.col("deg")).otherwise(0.0)
-            gain = F.col("w") - F.col("deg") * rest / F.col("all")
-            best = options.groupBy("u", "now").agg(F.max(F.struct(F.round(gain, 9).alias("gain"), (-F.col("c")).alias("minus"))).alias("b"))
-            turn = F.pmod(F.xxhash64("u", F.lit(level)), F.lit(2)) == r % 2  # halves move in turn, so that two never just swap
-            moved = cut(best.select(F.col("u").alias("n"), F.when(turn, -F.col("b.minus")).otherwise(F.col("now")).alias("c")))
-            drop(label)
-            label = moved
-        grown = cut(member.join(label.select(F.col("n").alias("c"), F.col("c").alias("up")), "c", "left").select("loc", F.coalesce("up", "c").alias("c")))
-        drop(member)
-        member = grown
-        up = lambda s: label.select(F.col("n").alias(s), F.col("c").alias(f"c{s}"))
-        work = cut(work.join(up("u"), "u").join(up("v"), "v").groupBy("g", F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
-    return member
-
-
 def _links(radius: float):
     def run(batches):
         for t in runs(batches, "key"):
@@ -207,27 +177,6 @@ def radius_links(points: DataFrame, radius: float) -> DataFrame:
     return placed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_links(radius), "a long, b long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root): connected components of (a, b) by large-star and small-star contraction; root is the smallest node."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # what lies below u now points to the smallest of it
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select("v", "m", "u")
-        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
-        after = cut(small.select("e.u", "e.v").where("u <> v").distinct())
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop(edges)
-        edges = after
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
-
-
 def similarity_clusters(df: DataFrame, id_col: str, vector: str, group: list[str], dim: int, *, k: int = 8, radius: float = float("inf"), rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """(members: cluster, community, id, loc, degree) and (edges of the graph: u, v, w); see the module's text.
 
