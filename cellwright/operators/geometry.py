@@ -195,7 +195,7 @@ def smooth(rings: DataFrame, tolerance: float) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            out = [simplify(np.column_stack([x, y]), tolerance) for x, y in zip(pdf.xs, pdf.ys)]
+            out = [simplify(np.column_stack([x, y]), tolerance) for x, y in zip(pdf["xs"], pdf["ys"])]
             yield pdf.assign(xs=[o[:, 0].tolist() for o in out], ys=[o[:, 1].tolist() for o in out])[["cell", "xs", "ys"]]
 
     return rings.where("xs IS NOT NULL").select("cell", "xs", "ys").mapInPandas(run, "cell string, xs array<double>, ys array<double>")
