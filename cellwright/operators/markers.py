@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellwright.operators.matrix import one_row
+from cellwright.runtime import cut
 
 
 def type_gene(m: DataFrame, typed: DataFrame) -> DataFrame:
@@ -53,10 +54,19 @@ def exclusive_pairs(genes: DataFrame) -> DataFrame:
 
 
 def mecr(m: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(g1, g2, rate): cells with both genes over cells with either; 0 where neither occurs. Work follows the pairs asked for."""
+    """(g1, g2, rate): cells with both genes over cells with either; 0 where neither occurs.
+
+    Genes of the asked pairs become bitmaps of cell numbers, in 64-bit words; a pair's common cells are the set bits of
+    the words' conjunction, so a pair costs at most a 64th of the number of cells.
+    """
     n = m.groupBy("gene").agg(F.count("*").alias("n"))
+    pairs = cut(pairs)
     wanted = m.join(pairs.select(F.explode(F.array("g1", "g2")).alias("gene")).distinct(), "gene", "left_semi").select("cell", "gene")
-    both = pairs.join(wanted.withColumnRenamed("gene", "g1"), "g1").join(wanted.withColumnRenamed("gene", "g2"), ["cell", "g2"]).groupBy("g1", "g2").agg(F.count("*").alias("both"))
+    number = cut(wanted.select("cell").distinct().select("cell", F.monotonically_increasing_id().alias("i")))
+    bit = F.expr("shiftleft(1L, cast(i & 63 AS int))")
+    words = cut(wanted.join(number, "cell").groupBy("gene", F.shiftright("i", 6).alias("word")).agg(F.bit_or(bit).alias("bits")))
+    side = lambda k: words.select(F.col("gene").alias(f"g{k}"), "word", F.col("bits").alias(f"b{k}"))
+    both = pairs.join(side(1), "g1").join(side(2), ["g2", "word"]).groupBy("g1", "g2").agg(F.sum(F.bit_count(F.col("b1").bitwiseAND(F.col("b2")))).alias("both"))
     of = lambda k: n.select(F.col("gene").alias(f"g{k}"), F.col("n").alias(f"n{k}"))
     out = pairs.join(of(1), "g1", "left").join(of(2), "g2", "left").join(both, ["g1", "g2"], "left").fillna(0, ["n1", "n2", "both"])
     return out.select("g1", "g2", F.coalesce(F.try_divide(F.col("both").cast("double"), F.col("n1") + F.col("n2") - F.col("both")), F.lit(0.0)).alias("rate"))
