@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwright.llm.similarity_clusters import describe_clusters, similarity_clusters
-from cellwright.llm.vector_queries import usable_cells
+from cellwright.llm.vector_queries import USABLE_SQL, usable_cells
 
 RADIUS_UM, LEAST_CELLS = 20.0, 10
 
@@ -27,4 +27,12 @@ def p5_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_patches": p5_patches}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "p5_found": f"""WITH RECURSIVE c AS (SELECT DISTINCT obs_id AS id, dataset, h5ad_name, phenograph_cluster AS pc, X_spatial[1] AS x, X_spatial[2] AS y
+  FROM h5ads WHERE phenograph_cluster >= 0 AND {USABLE_SQL}),
+e AS (SELECT a.id AS u, b.id AS v FROM c a JOIN c b ON a.dataset = b.dataset AND a.h5ad_name = b.h5ad_name AND a.pc = b.pc
+  AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {RADIUS_UM} * {RADIUS_UM}),
+r AS (SELECT id, id AS seen FROM c UNION SELECT r.id, e.v FROM r JOIN e ON e.u = r.seen),
+p AS (SELECT id, min(seen) AS patch, count(*) AS n FROM r GROUP BY id)
+SELECT patch AS patch_id, id AS obs_id FROM p WHERE n >= {LEAST_CELLS}"""
+}

@@ -21,5 +21,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("obs_id_a"), F.greatest("id", "neighbour").alias("obs_id_b")).distinct()
 
 
+USABLE_SQL = "len(X_spatial) = 2 AND NOT isnan(X_spatial[1]) AND NOT isnan(X_spatial[2]) AND X_spatial[1] >= 0 AND X_spatial[1] < 'inf'::DOUBLE AND X_spatial[2] >= 0 AND X_spatial[2] < 'inf'::DOUBLE"
 QUERIES = {"p1_found": p1_found}
-ORACLES: dict[str, str] = {}
+#: Holds where the operator is exact: groups of at most ``similar_vectors.ONE_BUCKET`` cells, as at the scale of the check.
+ORACLES = {
+    "p1_found": f"""WITH c AS (SELECT DISTINCT obs_id AS id, dataset, h5ad_name, X_spatial[1] AS x, X_spatial[2] AS y FROM h5ads WHERE {USABLE_SQL}),
+r AS (SELECT a.id, b.id AS nb, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.id) AS k
+  FROM c a JOIN c b ON a.dataset = b.dataset AND a.h5ad_name = b.h5ad_name AND a.id <> b.id)
+SELECT DISTINCT least(id, nb) AS obs_id_a, greatest(id, nb) AS obs_id_b FROM r WHERE k <= {NEIGHBOURS}"""
+}
