@@ -26,9 +26,9 @@ _BOX = "x_location BETWEEN 100 AND 300 AND y_location BETWEEN 200 AND 500 AND qv
 q("src_parquet_region", f"SELECT DISTINCT transcript_id, x_location, y_location, qv FROM labeled_transcripts WHERE {_BOX}")(
     lambda s, d: table(s, d, "labeled_transcripts").where(_BOX).select("transcript_id", "x_location", "y_location", "qv").distinct()
 )
-_ROWS = [("ACTA2", "smooth muscle"), ("EPCAM", "epithelial"), ("PTPRC", "immune")]
-q("src_inline", f"SELECT p.gene, p.panel, coalesce(v.label, 'other') AS label FROM gene_panel p LEFT JOIN (VALUES {', '.join(map(str, _ROWS))}) v(gene, label) ON v.gene = p.gene")(
-    lambda s, d: table(s, d, "gene_panel").join(s.createDataFrame(_ROWS, "gene string, label string"), "gene", "left").select("gene", "panel", F.coalesce("label", F.lit("other")).alias("label"))
+_ROWS = [("epithelial", "barrier"), ("immune", "defence"), ("stromal", "support")]
+q("src_inline", f"SELECT DISTINCT m.marker_id, m.compartment, coalesce(v.role, 'other') AS role FROM marker_annotations m LEFT JOIN (VALUES {', '.join(map(str, _ROWS))}) v(compartment, role) ON v.compartment = lower(trim(m.compartment))")(
+    lambda s, d: table(s, d, "marker_annotations").select("marker_id", "compartment", F.lower(F.trim("compartment")).alias("k")).join(s.createDataFrame(_ROWS, "k string, role string"), "k", "left").select("marker_id", "compartment", F.coalesce("role", F.lit("other")).alias("role")).distinct()
 )
 
 # filters
@@ -74,7 +74,9 @@ q("proj_case", _C + "SELECT id, CASE WHEN prob < 0.5 THEN 'Uncertain' WHEN l2 =
 q("proj_map", _C + "SELECT c.id, t.compartment FROM cells c LEFT JOIN (SELECT lower(name) AS name, compartment FROM cell_types) t ON t.name = c.label")(
     lambda s, d: cells(s, d).select("id", F.col("label").alias("name")).join(table(s, d, "cell_types").select(F.lower("name").alias("name"), "compartment"), "name", "left").select("id", "compartment")
 )
-q("proj_invert_map", "SELECT cell_type_id, unnest(aliases) AS alias FROM cell_types")(lambda s, d: table(s, d, "cell_types").select("cell_type_id", F.explode("aliases").alias("alias")))
+q("proj_invert_map", "SELECT DISTINCT marker_id, i.cell_type_id FROM marker_annotations m JOIN (SELECT cell_type_id, lower(unnest(aliases)) AS alias FROM cell_types) i ON i.alias = lower(trim(m.label))")(
+    lambda s, d: table(s, d, "marker_annotations").select("marker_id", F.lower(F.trim("label")).alias("alias")).join(table(s, d, "cell_types").select("cell_type_id", F.explode(F.transform("aliases", F.lower)).alias("alias")), "alias").select("marker_id", "cell_type_id").distinct()
+)
 q("proj_fillna", _C + "SELECT id, coalesce(label, 'Unknown') AS label FROM cells")(lambda s, d: cells(s, d).select("id", "label").fillna({"label": "Unknown"}))
 q("proj_cast", _C + "SELECT id, CAST(cluster AS VARCHAR) AS cluster, CAST(n_counts AS DOUBLE) AS counts, n_counts > 20 AS big FROM cells")(
     lambda s, d: cells(s, d).select("id", F.col("cluster").cast("string").alias("cluster"), F.col("n_counts").cast("double").alias("counts"), (F.col("n_counts") > 20).alias("big"))

@@ -118,8 +118,8 @@ q("fn_string", f"SELECT DISTINCT marker_id, lower(trim(regexp_replace(label, '{S
     lambda s, d: table(s, d, "marker_annotations").withColumn("l", F.trim(F.regexp_replace("label", r"[\s\u00a0\u3000]+", " "))).where("label IS NOT NULL AND l <> ''")
     .select("marker_id", F.concat(F.lower("l"), F.lit(", "), F.coalesce("source", F.lit(""))).alias("label"), F.contains("label", F.lit("cells")).alias("plural"), F.replace("gene", F.lit("-"), F.lit("_")).alias("gene")).distinct()
 )
-q("fn_array", "SELECT cell_type_id, len(aliases) AS n, coalesce(aliases[1], name) AS first FROM cell_types")(
-    lambda s, d: table(s, d, "cell_types").select("cell_type_id", F.size("aliases").cast("bigint").alias("n"), F.coalesce(F.try_element_at("aliases", F.lit(1)), "name").alias("first"))
+q("fn_array", "SELECT DISTINCT obs_id, len(X_spatial) AS n, CASE WHEN isnan(X_spatial[1]) THEN NULL ELSE X_spatial[1] END AS first FROM h5ads WHERE X_spatial IS NOT NULL")(
+    lambda s, d: table(s, d, "h5ads").where("X_spatial IS NOT NULL").select("obs_id", F.size("X_spatial").cast("bigint").alias("n"), F.nanvl(F.try_element_at("X_spatial", F.lit(1)), F.lit(None).cast("double")).alias("first")).distinct()
 )
 q("fn_math", f"WITH {CELLS} SELECT id, round(log10(n_counts), 6) AS lg, round(ln(1 + n_counts), 6) AS l1, round(sqrt(n_counts), 6) AS root, round(power(10, -prob), 6) AS p, ceil(x) AS up, floor(y) AS down FROM cells WHERE n_counts > 0 AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(prob)")(
     lambda s, d: cells(s, d).where("n_counts > 0 AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(prob)").select("id", R(F.log10("n_counts")).alias("lg"), R(F.log1p("n_counts")).alias("l1"), R(F.sqrt("n_counts")).alias("root"), R(F.pow(F.lit(10.0), -F.col("prob"))).alias("p"), F.ceil("x").cast("double").alias("up"), F.floor("y").cast("double").alias("down"))
