@@ -221,6 +221,8 @@ def model(spark):
         ("- One line\n- Another line.", ["- One line", "- Another line."]),
         ("写真よりきれいです。3日に注文しました！", ["写真よりきれいです。", "3日に注文しました！"]),
         ("फ़ोटो से भी सुंदर है। साइज़ 5 ठीक है।", ["फ़ोटो से भी सुंदर है।", "साइज़ 5 ठीक है।"]),
+        ("Le fermoir est léger. M. Untel du dépôt a appelé.", ["Le fermoir est léger.", "M. Untel du dépôt a appelé."]),
+        ("Mido 1,70 m. El cable es ligero.", ["Mido 1,70 m.", "El cable es ligero."]),
         ("The lid is neat.<br/>The base is not.", ["The lid is neat.", "The base is not."]),
         ("", []),
         (" \n\t ", []),
