@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellwright.operators.matrix import gene_moments
 from cellwright.operators.tables import average_rank
-from cellwright.runtime import parts
+from cellwright.runtime import cut, parts
 
 
 def neighbour_labels(knn: DataFrame, labels: DataFrame) -> DataFrame:
@@ -48,6 +48,42 @@ def autocorrelation(m: DataFrame, knn: DataFrame, genes: DataFrame) -> DataFrame
     return s.select("gene", moran.alias("moran"), ((moran + 1 / (F.col("cells") - 1)) * F.sqrt(F.col("edges"))).alias("z"))
 
 
+def local_correlation(m: DataFrame, knn: DataFrame, genes: DataFrame) -> DataFrame:
+    """(g1, g2, z), g1 < g2: how far one gene's counts go with the other's in the neighbours, zeros included, as a normal score.
+
+    A cell first sums its neighbours' counts per gene; that row meets the cell's own counts, so the work grows with cells,
+    not with edges times pairs. Both directions are averaged. ``genes`` is a short list; null for a gene that never varies.
+    """
+    edges = knn.where("id <> nb").select("id", "nb")
+    mm = cut(m.join(genes, "gene", "left_semi").select("cell", "gene", "n"))
+    mom = gene_moments(mm, "n")
+    e = edges.agg(F.count("*").alias("edges"))
+    around = edges.join(mm.select(F.col("cell").alias("nb"), F.col("gene").alias("h"), "n"), "nb").groupBy("id", "h").agg(F.sum("n").alias("y"))
+    around = cut(around)
+    own = mm.select(F.col("cell").alias("id"), "gene", "n")
+    xy = own.join(around, "id").groupBy("gene", "h").agg(F.sum(F.col("n") * F.col("y")).alias("xy"))
+    out = edges.groupBy("id").agg(F.count("*").alias("k")).join(own, "id").groupBy("gene").agg(F.sum(F.col("k") * F.col("n")).alias("sx"))
+    inn = around.groupBy(F.col("h").alias("gene")).agg(F.sum("y").alias("sy"))
+    one = cut(mom.join(out, "gene", "left").join(inn, "gene", "left").fillna(0).crossJoin(F.broadcast(e)))
+    a, b = one.select(F.col("gene"), "mean", "sd", "sx", "edges"), one.select(F.col("gene").alias("h"), F.col("mean").alias("mean_h"), F.col("sd").alias("sd_h"), F.col("sy").alias("sy_h"))
+    pairs = a.join(b, F.col("gene") != F.col("h")).join(xy, ["gene", "h"], "left").fillna(0, ["xy"])  # the short list with itself
+    cov = F.col("xy") - F.col("mean_h") * F.col("sx") - F.col("mean") * F.col("sy_h") + F.col("edges") * F.col("mean") * F.col("mean_h")
+    z = F.try_divide(cov, F.col("sd") * F.col("sd_h") * F.sqrt("edges"))
+    return pairs.groupBy(F.least("gene", "h").alias("g1"), F.greatest("gene", "h").alias("g2")).agg(F.avg(z).alias("z"))
+
+
+def module_scores(m: DataFrame, modules: DataFrame) -> DataFrame:
+    """(cell, module, score): mean standardised count of the module's genes, for every cell of the matrix, zeros included."""
+    mod = cut(modules.where("module >= 0"))
+    mm = m.join(mod, "gene")
+    mom = gene_moments(m, "n").join(mod, "gene").where("sd > 0")
+    size = mom.groupBy("module").agg(F.count("*").alias("k"), F.sum(F.col("mean") / F.col("sd")).alias("base"))
+    have = mm.join(mom.select("gene", "sd"), "gene").groupBy("cell", "module").agg(F.sum(F.col("n") / F.col("sd")).alias("s"))
+    grid = m.select("cell").distinct().join(F.broadcast(size))  # modules are few: at most a third of the genes asked for
+    out = grid.join(have, ["cell", "module"], "left")
+    return out.select("cell", "module", ((F.coalesce("s", F.lit(0.0)) - F.col("base")) / F.col("k")).alias("score"))
+
+
 def calinski_harabasz(v: DataFrame) -> DataFrame:
     """(score) of labelled vectors (label, v): between over within sums of squares, from sums per label and dimension."""
     e = v.select("label", F.posexplode("v").alias("i", "x"))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from cellwright.operators import differential, ordering
 from cellwright.operators import geometry as geo
 from cellwright.operators import markers as mk
 from cellwright.operators import matrix as mx
@@ -49,6 +50,60 @@ def polygons_round_trip(s, d):
     return xy.select("dataset", "cell_id", R(geo.shoelace("xs", "ys"), 4).alias("area"))
 
 
+@q("src_csv", f"WITH {CELLS} SELECT id, label FROM cells WHERE label IS NOT NULL")
+def csv_by_position(s, d):
+    path = _path(s, "csv")
+    store.write_csv(cells(s, d).where("label IS NOT NULL").select("object", "label", "n_counts", "id"), path)
+    return store.read_csv(s, path, "object string, label string, n_counts int, id bigint", [3, 1])
+
+
+@q("src_json", f"WITH {CELLS} SELECT id, label, n_counts FROM cells")
+def json_round_trip(s, d):
+    path = _path(s, "json")
+    cells(s, d).select("id", "label", "n_counts").write.json(path)
+    return s.read.schema("id bigint, label string, n_counts int").json(path)
+
+
+q("proj_colregex", "SELECT DISTINCT obs_id, COLUMNS('cell_type.*') FROM h5ads WHERE obs_id IS NOT NULL")(
+    lambda s, d: (lambda t: t.where("obs_id IS NOT NULL").select("obs_id", t.colRegex("`cell_type.*`")).distinct())(table(s, d, "h5ads"))
+)
+
+
+@q("deseq2")
+def deseq2(s, d):
+    """The most frequent type against all others, six pseudobulk samples each, dealt by a hash of the cell."""
+    t = cut(typed(s, d))
+    first = t.groupBy("type").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "type").limit(1).select("type", F.lit(1).alias("is_first"))
+    dealt = t.join(F.broadcast(first), "type", "left").select("cell", F.coalesce("is_first", F.lit(0)).alias("condition"), F.pmod(F.xxhash64("cell"), F.lit(6)).alias("i"))
+    m = counts(s, d).join(dealt, "cell").groupBy((F.col("condition") * 6 + F.col("i")).alias("sample"), "gene").agg(F.sum("n").alias("n"))
+    samples = dealt.select((F.col("condition") * 6 + F.col("i")).alias("sample"), "condition").distinct()
+    return differential.negative_binomial_test(m, samples)
+
+
+def _type_means(s, d):
+    tg = mk.type_gene(counts(s, d), typed(s, d))
+    return cut(tg.select("type", "gene", (F.col("total").cast("double") / F.col("cells")).alias("mean")))
+
+
+@q("color_order")
+def color_order(s, d):
+    """Types on a line from 0 to 1: leaf order of the correlations of their mean profiles."""
+    tm = _type_means(s, d)
+    side = lambda k: tm.select("gene", F.col("type").alias(f"g{k}"), F.col("mean").alias(f"m{k}"))
+    r = side(1).join(side(2), "gene").where("g1 <= g2").groupBy("g1", "g2").agg(F.corr("m1", "m2").alias("r"))  # types by types
+    return ordering.leaf_positions(r).withColumnRenamed("thing", "type")
+
+
+@q("corr_order")
+def corr_order(s, d):
+    """The 40 commonest genes, grouped by the type that has their highest mean, in the order of their correlations."""
+    m = cut(counts(s, d))
+    g = cut(_top(m))
+    pairs = g.withColumnRenamed("gene", "g1").join(g.withColumnRenamed("gene", "g2"), F.col("g1") < F.col("g2"))  # forty genes
+    best = _type_means(s, d).join(g, "gene", "left_semi").groupBy("gene").agg(F.max_by("type", F.struct("mean", "type")).alias("label"))
+    return ordering.block_order(mx.pair_correlation(m, pairs, "n"), best)
+
+
 @q("pca")
 def pca(s, d):
     return models.project(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 8)[0]
@@ -81,6 +136,7 @@ def label_transfer(s, d):
 
 
 q("sample_group", None)(lambda s, d: models.sample_per(typed(s, d), "type", "cell", 50))
+q("sample_cap")(lambda s, d: cells(s, d).select("id", "object", "cluster").orderBy(F.xxhash64("id"), "id").limit(10_000))
 q("prelim_cell_type")(lambda s, d: mk.sensitivity(counts(s, d), typed(s, d), mk.find_markers(mk.type_gene(counts(s, d), typed(s, d)), percentage=10)).groupBy("type").agg(F.avg("value").alias("score")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellwright.operators import geometry as geo
-from cellwright.operators import graph
+from cellwright.operators import graph, ordering
 from cellwright.operators import spatial as sp
 from cellwright.operators.knn import spatial_knn, vector_search
 from cellwright.plans.base import CELLS, TX, Book, cells, counts, tx
@@ -63,15 +63,36 @@ q("module_correlation", _NEAR + ", j AS (SELECT nd.id, d2, n_counts FROM nd JOIN
 )
 
 
+def _placed_counts(s, d):
+    """The matrix of the vendor's placed cells, by cell id."""
+    ids = placed(s, d).where("vendor_id IS NOT NULL").groupBy("vendor_id").agg(F.min("id").alias("id"))
+    return cut(counts(s, d).join(ids.withColumnRenamed("vendor_id", "cell"), "cell").select(F.col("id").alias("cell"), "gene", "n"))
+
+
 @q("hotspot_autocorr")
 def hotspot_autocorr(s, d):
     """Spatial autocorrelation of the 40 commonest genes over the vendor's cells."""
-    own = placed(s, d).where("vendor_id IS NOT NULL")
-    ids = own.groupBy("vendor_id").agg(F.min("id").alias("id"))
-    m = cut(counts(s, d).join(ids.withColumnRenamed("vendor_id", "cell"), "cell").select(F.col("id").alias("cell"), "gene", "n"))
+    m = _placed_counts(s, d)
     return sp.autocorrelation(m, cut(knn(s, d, 20)), _top(m))
 
 
+def _modules(s, d, m):
+    z = cut(sp.local_correlation(m, cut(knn(s, d, 20)), _top(m)))
+    return ordering.modules(z, least=2.0)
+
+
+@q("hotspot_modules")
+def hotspot_modules(s, d):
+    """Modules of the 40 commonest genes by local correlation; -1 for genes in none."""
+    return _modules(s, d, _placed_counts(s, d))
+
+
+@q("hotspot_module_scores")
+def hotspot_module_scores(s, d):
+    m = _placed_counts(s, d)
+    return sp.module_scores(m, _modules(s, d, m))
+
+
 q("clustering_scores", """WITH e AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), b AS (SELECT label, i, count(*) AS n, sum(x) AS s, sum(x * x) AS ss FROM e GROUP BY ALL), a AS (SELECT i, sum(n)::DOUBLE AS nn, sum(s) AS t FROM b GROUP BY i)
 SELECT round(sum(n * (s / n - t / nn) ** 2) / (count(DISTINCT label) - 1) / (sum(ss - s * s / n) / (max(nn) - count(DISTINCT label))), 6) AS score FROM b JOIN a USING (i)""")(
     lambda s, d: sp.calinski_harabasz(table(s, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))).select(R("score").alias("score"))
