@@ -18,6 +18,11 @@ def parts(spark: SparkSession, per_core: int = 2) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_core * spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame, n: int, *cols) -> DataFrame:
+    """At least ``n`` partitions for a stage bound by CPU: rows move only where a scan has fewer, never when it is large."""
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, *cols)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one of our own only where the session names none."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")

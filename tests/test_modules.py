@@ -84,3 +84,11 @@ def test_sample_cap_keeps_rows_once(spark):
 
     got = registry.QUERIES["sample_cap"](spark, DATA)
     assert got.count() == min(10_000, got.select("id").distinct().count()) > 0
+
+
+def test_spread(spark):
+    from cellwright.runtime import spread
+
+    df = spark.range(100, numPartitions=4)
+    assert spread(df, 3, "id").rdd.getNumPartitions() == 4 and spread(df, 9, "id").rdd.getNumPartitions() == 9
+    assert spread(df, 9, "id").distinct().count() == 100
