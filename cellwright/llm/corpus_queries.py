@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from cellwright.llm.container_fill import fill_containers
 from cellwright.llm.source_mix import mix_sources
 from cellwright.llm.tokens import token_count
-from cellwright.runtime import parts, table
+from cellwright.runtime import parts, spread, table
 
 CAPACITY = 2048
 
 
 def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").repartition(parts(spark), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), parts(spark), "doc_id")
     return docs.select("doc_id", "source", token_count(F.col("text")).alias("tokens"))
 
 
