@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellwright.runtime import cut, drop
+from cellwright.runtime import cut, drop, parts
+
+#: What a round must add to a group's modularity to count as a rise.
+RISE = 1e-4
+#: Edges, each in both directions, of a group that one task finishes.
+SMALL = 100_000
 
 
 def jaccard_edges(knn: DataFrame) -> DataFrame:
@@ -20,34 +26,119 @@ def jaccard_edges(knn: DataFrame) -> DataFrame:
     return both.select("u", "v", (shared.cast("double") / (F.size("a") + F.size("b") - shared)).alias("w"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 4, levels: int = 2) -> DataFrame:
-    """(loc, c): modularity communities. ``nodes``: loc, g; ``edges``: g, u, v, w in both directions, no loops."""
+def communities(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """(loc, c): modularity communities. ``nodes``: loc, g; ``edges``: g, u, v, w in both directions, no loops.
+
+    Rounds go on until a group's modularity has risen by no more than ``RISE`` in two of them, with the best labels kept;
+    levels until one unites nothing. A group of at most ``small`` edges, given or left by a level, is finished in one task.
+    """
     member = cut(nodes.select("loc", F.col("loc").alias("c")))
     weight = cut(edges.groupBy("g").agg(F.sum("w").alias("all")))
-    work = edges.select("g", "u", "v", "w")
-    for level in range(levels):
-        degree = cut(work.groupBy("g", "u").agg(F.sum("w").alias("deg")))  # loops count, as weight inside
-        label = cut(degree.select(F.col("u").alias("n"), F.col("u").alias("c")))
-        for r in range(rounds):
-            own = degree.join(label.withColumnRenamed("n", "u"), "u")
-            total = own.groupBy("c").agg(F.sum("deg").alias("tot"))
-            toward = work.where("u <> v").join(label.withColumnRenamed("n", "v"), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
-            mine = own.select("u", "g", "deg", F.col("c").alias("now"))
-            options = toward.unionByName(mine.select("u", F.col("now").alias("c"), F.lit(0.0).alias("w"))).groupBy("u", "c").agg(F.sum("w").alias("w"))
-            options = options.join(mine, "u").join(total, "c").join(weight, "g")
-            rest = F.col("tot") - F.when(F.col("c") == F.col("now"), F.col("deg")).otherwise(0.0)
-            gain = F.col("w") - F.col("deg") * rest / F.col("all")
-            best = options.groupBy("u", "now").agg(F.max(F.struct(F.round(gain, 9).alias("gain"), (-F.col("c")).alias("minus"))).alias("b"))
-            turn = F.pmod(F.xxhash64("u", F.lit(level)), F.lit(2)) == r % 2  # halves move in turn, so that two never just swap
-            moved = cut(best.select(F.col("u").alias("n"), F.when(turn, -F.col("b.minus")).otherwise(F.col("now")).alias("c")))
-            drop(label)
-            label = moved
+    work, level = edges.select("g", "u", "v", "w"), 0
+    while True:
+        size = cut(work.groupBy("g").agg(F.count("*").alias("n")))
+        few, many = (size.where(f"n {op} {small}").select("g") for op in ("<=", ">"))
+        done = work.join(few, "g", "left_semi").repartition(parts(work.sparkSession), "g").groupBy("g").applyInPandas(_finish, "n long, g long, c long")
+        big = work.join(many, "g", "left_semi")
+        moved = None if many.isEmpty() else _moves(big, weight.join(many, "g", "left_semi"), level)
+        label = cut(done if moved is None else done.unionByName(moved))
         grown = cut(member.join(label.select(F.col("n").alias("c"), F.col("c").alias("up")), "c", "left").select("loc", F.coalesce("up", "c").alias("c")))
         drop(member)
-        member = grown
-        up = lambda s: label.select(F.col("n").alias(s), F.col("c").alias(f"c{s}"))
-        work = cut(work.join(up("u"), "u").join(up("v"), "v").groupBy("g", F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
-    return member
+        member, folded = grown, None
+        if moved is not None:
+            live = cut(moved.groupBy("g").agg(F.count("*").alias("n"), F.count_distinct("c").alias("m")).where("m < n").select("g"))  # the other groups are done
+            up = lambda s: moved.select(F.col("n").alias(s), F.col("c").alias(f"c{s}"))
+            folded = cut(big.join(live, "g", "left_semi").join(up("u"), "u").join(up("v"), "v").groupBy("g", F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
+            drop(live)
+            drop(moved)
+        for old in (label, size, work):  # the caller's edges stay
+            drop(old)
+        if folded is None or folded.isEmpty():
+            drop(weight)
+            return member
+        work, level = folded, level + 1
+
+
+def _finish(t):
+    """(n, g, c) of one small group: single nodes move in turn, then their communities, until nothing more is gained."""
+    import pandas as pd
+
+    ids = np.unique(t["u"].to_numpy())
+    u, v, w = np.searchsorted(ids, t["u"].to_numpy()), np.searchsorted(ids, t["v"].to_numpy()), t["w"].to_numpy()
+    label, n = np.arange(len(ids)), len(ids)
+    while True:
+        names, step = np.unique(_pass_nodes(u, v, w, n), return_inverse=True)
+        label, m = step[label], len(names)
+        if m == n:
+            break
+        key, at = np.unique(step[u] * m + step[v], return_inverse=True)
+        u, v, w, n = key // m, key % m, np.bincount(at, w), m
+    least = ids[np.unique(label, return_index=True)[1]]  # ids rise, so the first is the smallest
+    return pd.DataFrame({"n": ids, "g": t["g"].iloc[0], "c": least[label]})
+
+
+def _pass_nodes(u, v, w, n: int) -> list[int]:
+    """Labels of nodes 0 to n - 1 after passes over all nodes in order, each moved to the community of largest gain."""
+    total, deg = w.sum(), np.bincount(u, w, n).tolist()
+    near: list[list] = [[] for _ in range(n)]
+    order = np.lexsort((v, u))
+    for a, b, x in zip(u[order].tolist(), v[order].tolist(), w[order].tolist()):
+        if a != b:
+            near[a].append((b, x))
+    c, tot, rise = list(range(n)), list(deg), 1.0
+    while rise > 1e-7:
+        rise = 0.0
+        for i in range(n):
+            now, toward = c[i], {c[i]: 0.0}
+            for j, x in near[i]:
+                toward[c[j]] = toward.get(c[j], 0.0) + x
+            tot[now] -= deg[i]
+            gain = {k: round(x - deg[i] * tot[k] / total, 9) for k, x in toward.items()}
+            best = max(gain, key=lambda k: (gain[k], k == now, -k))
+            tot[best] += deg[i]
+            c[i] = best
+            rise += 2 * (gain[best] - gain[now]) / total
+    return c
+
+
+def _moves(work: DataFrame, weight: DataFrame, level: int) -> DataFrame:
+    """(n, g, c): the nodes of one level with the labels of highest modularity that the rounds came to."""
+    degree = cut(work.groupBy("g", "u").agg(F.sum("w").alias("deg")))  # loops count, as weight inside
+    label = cut(degree.select(F.col("u").alias("n"), "g", F.col("u").alias("c"), F.col("u").alias("top")))
+    state = cut(weight.select("g", F.lit(float("-inf")).alias("q"), F.lit(0).alias("stale")))
+    r = 0
+    while True:
+        going = state.where("stale < 2").select("g")
+        own = degree.join(label.select(F.col("n").alias("u"), "c", "top"), "u")
+        total = own.groupBy("c").agg(F.sum("deg").alias("tot"))
+        toward = work.where("u <> v").join(going, "g", "left_semi").join(label.select(F.col("n").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
+        mine = own.join(going, "g", "left_semi").select("u", "g", "deg", F.col("c").alias("now"), "top")
+        options = toward.unionByName(mine.select("u", F.col("now").alias("c"), F.lit(0.0).alias("w"))).groupBy("u", "c").agg(F.sum("w").alias("w"))
+        options = options.join(mine, "u").join(total, "c").join(weight, "g")
+        here = F.col("c") == F.col("now")
+        gain = F.col("w") - F.col("deg") * (F.col("tot") - F.when(here, F.col("deg")).otherwise(0.0)) / F.col("all")
+        # what the labels of this round are worth: weight inside, without loops, less what the degrees of a community let expect
+        worth = F.max(F.when(here, (F.col("w") - F.col("deg") * F.col("tot") / F.col("all")) / F.col("all")))
+        best = options.groupBy("u", "g", "now", "top").agg(F.max(F.struct(F.round(gain, 9).alias("gain"), (-F.col("c")).alias("minus"))).alias("b"), worth.alias("q"))
+        # halves move in turn, so that two never just swap; they are drawn anew for every two rounds
+        turn = F.pmod(F.xxhash64("u", F.lit(level), F.lit(r // 2)), F.lit(2)) == r % 2
+        moved = cut(best.select(F.col("u").alias("n"), "g", "now", "top", F.when(turn, -F.col("b.minus")).otherwise(F.col("now")).alias("c"), "q"))
+        seen = moved.groupBy("g").agg(F.sum("q").alias("new")).join(state, "g", "right")
+        rise = F.coalesce(F.col("new") > F.col("q") + RISE, F.lit(False))
+        after = cut(seen.select("g", F.when(rise, F.col("new")).otherwise(F.col("q")).alias("q"), F.when(rise, 0).otherwise(F.col("stale") + 1).alias("stale"), rise.alias("rise")))
+        kept = label.select("n", "g", F.col("c").alias("now"), "top").join(state.where("stale >= 2").select("g"), "g", "left_semi")
+        rows = moved.select("n", "g", "now", "top", "c").unionByName(kept.withColumn("c", F.col("now")))
+        fresh = cut(rows.join(after.select("g", "rise"), "g").select("n", "g", "c", F.when(F.col("rise"), F.col("now")).otherwise(F.col("top")).alias("top")))
+        for old in (label, moved, state):
+            drop(old)
+        label, state, r = fresh, after.select("g", "q", "stale"), r + 1
+        state._cellwright_path = after._cellwright_path
+        if state.where("stale < 2").isEmpty():
+            drop(state)
+            drop(degree)
+            out = cut(label.select("n", "g", F.col("top").alias("c")))
+            drop(label)
+            return out
 
 
 def components(links: DataFrame) -> DataFrame:
