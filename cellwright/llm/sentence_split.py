@@ -4,8 +4,8 @@ Method: structure first (block markup and blank lines separate; a line break sep
 there; list items start anew), then candidates: runs of stops, emoji or emoticons that end a sentence without a stop, and
 blanks between Thai words. A maximum-entropy classifier (logistic regression of Spark ML over hashed features: neighbouring
 tokens, case, length, digits, script) decides each candidate that isn't the end of its unit. It is trained on reliable
-boundaries of a sample of at most ``SAMPLE_DOCS`` documents: stops before a small letter are none, unambiguous stops and
-known last words before known first words are. Every training row is used with and without its case, for texts typed in
+boundaries of a sample of about ``SAMPLE_DOCS`` distinct texts at most: stops before a small letter are none, unambiguous stops
+and known last words before known first words are. These words are counted in all distinct texts. Every training row is used with and without its case, for texts typed in
 one case. All documents are split whole.
 
 Defined results: offsets are code points, without white space around the sentence; null, empty and blank texts give no
@@ -313,12 +313,23 @@ def _labelled(starters, finals):
     return run
 
 
+def _sample(texts: DataFrame, sample_docs: int, seed: int) -> tuple[DataFrame, int]:
+    """(about ``sample_docs`` of the distinct texts, chosen by their hash, at most; about how many distinct texts there are)."""
+    n = texts.agg(F.approx_count_distinct("text", 0.01)).first()[0]
+    share = min(1.0, sample_docs / max(1, n))
+    return texts.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))).distinct(), n
+
+
 def train(docs: DataFrame, text: str, sample_docs: int = SAMPLE_DOCS, seed: int = 3):
-    """(weights, starters, finals) from at most about ``sample_docs`` documents, chosen by a hash of their text."""
-    some = docs.select(F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
-    share = min(1.0, sample_docs / max(1, some.count()))
-    some = cut(some.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))).repartition(parts(docs.sparkSession)))
-    ends = some.mapInArrow(_words_at_ends, "side string, word string, n long").groupBy("side", "word").agg(F.sum("n").alias("n")).where("n >= 2").collect()
+    """(weights, starters, finals): words counted in all distinct texts, weights from at most about ``sample_docs`` of them.
+
+    A word counts from 2 occurrences on, or from that rate in ``sample_docs`` texts, which also bounds the number of words.
+    """
+    texts = docs.select(F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
+    some, n = _sample(texts, sample_docs, seed)
+    some = cut(some.repartition(parts(docs.sparkSession)))
+    least = max(2.0, 2.0 * n / sample_docs)
+    ends = texts.distinct().mapInArrow(_words_at_ends, "side string, word string, n long").groupBy("side", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
     starters, finals = (frozenset(r.word for r in ends if r.side == k) for k in "sf")
     finals = frozenset(w for w in finals if not re.fullmatch(r"[\d.,:]+", w))
     rows = some.mapInArrow(_labelled(starters, finals), "label double, index array<int>")
