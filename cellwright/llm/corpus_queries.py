@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm.container_fill import fill_containers
+from cellwright.llm.container_fill import fill_containers, pack
 from cellwright.llm.source_mix import mix_sources
 from cellwright.llm.tokens import token_count
-from cellwright.runtime import parts, spread, table
+from cellwright.runtime import cut, parts, spread, table
 
 CAPACITY = 2048
 
@@ -24,10 +26,27 @@ def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_use(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How full the containers are: containers, tokens, share of room used and the least number that could do."""
-    held = p6_packing(spark, sf_dir).where("container IS NOT NULL").groupBy("container").agg(F.sum("length").alias("used"))
+    """How full the containers are, the bound on their number, and the share of tokens that the rounded program placed."""
+    packed, made = pack(sized(spark, sf_dir), "doc_id", "tokens", CAPACITY)
+    held = packed.where("container IS NOT NULL").groupBy("container").agg(F.sum("length").alias("used"))
     n, used = F.count("*"), F.coalesce(F.sum("used"), F.lit(0))
-    return held.agg(n.alias("containers"), used.cast("long").alias("tokens"), F.max("used").alias("fullest"), F.try_divide(used, n * CAPACITY).alias("share_used"), F.ceil(used / CAPACITY).alias("least"))
+    return held.agg(
+        n.alias("containers"), used.cast("long").alias("tokens"), F.max("used").alias("fullest"), F.try_divide(used, n * CAPACITY).alias("share_used"),
+        F.lit(math.ceil(made.bound - 1e-6)).alias("least"), F.try_divide(F.lit(made.by_configuration), used).alias("share_by_configuration"),
+    )
+
+
+def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a packing must keep to: documents, and the numbers of overfull containers, of documents not held token by token, and of needless cuts."""
+    docs = cut(sized(spark, sf_dir).select("doc_id", "tokens"))
+    packed = cut(fill_containers(docs, "doc_id", "tokens", CAPACITY))
+    full = packed.where("container IS NOT NULL").groupBy("container").agg(F.sum("length").alias("used"))
+    per = packed.groupBy(F.col("id").alias("doc_id")).agg(F.sum("length").alias("held"), F.sum(F.col("start") - F.col("piece") * CAPACITY).alias("shift"), F.count("*").alias("pieces"), F.count_distinct("piece").alias("numbers"))
+    both = docs.join(per, "doc_id", "left")
+    whole = (F.col("held") == F.col("tokens")) & (F.col("shift") == 0) & (F.col("pieces") == F.col("numbers"))
+    fits = F.col("pieces") == F.greatest(F.lit(1), F.ceil(F.col("tokens") / CAPACITY))
+    kept = both.agg(F.count("*").alias("documents"), F.count_if(~F.coalesce(whole, F.lit(False))).alias("broken"), F.count_if(~F.coalesce(fits, F.lit(False))).alias("needless_cuts"))
+    return kept.crossJoin(F.broadcast(full.agg(F.count_if(F.col("used") > CAPACITY).alias("overfull"))))
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,5 +59,5 @@ def p7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(sized(spark, sf_dir), "doc_id", "source", "tokens", table(spark, sf_dir, "source_targets"))[0].withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p6_packing": p6_packing, "p6_use": p6_use, "p7_mix": p7_mix, "p7_records": p7_records}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p6_packing": p6_packing, "p6_use": p6_use, "p6_kept": p6_kept, "p7_mix": p7_mix, "p7_records": p7_records}
+ORACLES = {"p6_kept": "SELECT count(*) AS documents, 0::BIGINT AS broken, 0::BIGINT AS needless_cuts, 0::BIGINT AS overfull FROM documents"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,16 +13,16 @@ from pyspark.sql import types as T
 #: Where the vocabulary files of public tokenizers lie, unless told otherwise.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 PIECE_CHARS = 20_000
+#: A blank between two signs that are no white space: byte-level vocabularies always begin a word there.
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
 def _pieces(text: str) -> list[str]:
-    """Very long texts in pieces cut at blanks, so that one call stays small; the pieces' counts add up."""
+    """Very long texts in pieces cut only where a word begins, so that one call stays small and the pieces' counts add up."""
     out, at = [], 0
-    while len(text) - at > PIECE_CHARS:
-        cut = text.rfind(" ", at + PIECE_CHARS // 2, at + PIECE_CHARS)
-        cut = at + PIECE_CHARS if cut < 0 else cut
-        out.append(text[at:cut])
-        at = cut
+    while len(text) - at > PIECE_CHARS and (m := _BETWEEN.search(text, at + PIECE_CHARS)):
+        out.append(text[at : m.start()])
+        at = m.start()
     out.append(text[at:])
     return out
 

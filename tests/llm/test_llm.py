@@ -13,11 +13,12 @@ from conftest import DATA, same
 
 from cellwright.llm import registry
 from cellwright.llm.canonical_map import edits, map_to_canonical, tokens_of
-from cellwright.llm.container_fill import fill_containers, plan
+from cellwright.llm.container_fill import fill_containers, knapsack, plan
 from cellwright.llm.sentence_split import sentences, split, train, units
 from cellwright.llm.similar_vectors import hadamard, similar_vectors
 from cellwright.llm.similarity_clusters import describe_clusters, similarity_clusters
 from cellwright.llm.source_mix import entropy, mix_sources, solve, weights
+from cellwright.llm.tokens import _pieces
 from cellwright.llm.term_frequency import term_frequencies
 
 INF, NAN = float("inf"), float("nan")
@@ -154,13 +155,29 @@ def test_clusters_empty(frame):
 # 6 containers
 
 
-def test_plan_holds_all():
+@pytest.mark.parametrize("n, placed", [(4000, 0.9), (90_000, 0.95)])
+def test_plan_solves_the_program(n, placed):
     rng = np.random.default_rng(0)
-    sizes, demand = np.unique(np.clip(rng.lognormal(4, 1, 4000).astype(int) + 1, 1, 512), return_counts=True)
+    sizes, demand = np.unique(np.clip(rng.lognormal(4, 1, n).astype(int) + 1, 1, 512), return_counts=True)
     got = plan(sizes, demand, 512)
-    assert (sum(c * n for c, n in got) == demand).all() and all((c * sizes).sum() <= 512 for c, _ in got)
-    assert sum(n for _, n in got) <= math.ceil((sizes * demand).sum() / 512 * 1.01)
-    assert plan(np.array([], int), np.array([], int), 512) == []
+    assert (sum(c * k for c, k in got.configurations) == demand).all() and all((c * sizes).sum() <= 512 for c, _ in got.configurations)
+    assert got.bound <= sum(k for _, k in got.configurations) <= math.ceil(got.bound * 1.01)
+    assert got.by_configuration > placed * (sizes * demand).sum()
+
+
+def test_plan_bound_beats_volume():
+    sizes, demand = np.array([3, 6]), np.array([1, 30])  # two of 6 don't fit into 10: 30 containers, whatever the volume
+    got = plan(sizes, demand, 10)
+    assert sum(k for _, k in got.configurations) == 30 and 18.3 <= got.bound <= 30
+    assert plan(np.array([], int), np.array([], int), 512).configurations == []
+    assert plan(np.array([7]), np.array([5]), 7).configurations[0][1] == 5
+
+
+def test_knapsack_against_brute_force():
+    sizes, prices = np.array([3, 4, 9]), np.array([0.31, 0.42, 0.96])
+    best = knapsack(prices, sizes, 20)
+    for room in range(21):
+        assert best[room] == pytest.approx(max(a * 0.31 + b * 0.42 + c * 0.96 for a in range(7) for b in range(6) for c in range(3) if 3 * a + 4 * b + 9 * c <= room))
 
 
 def test_fill(frame):
@@ -176,6 +193,11 @@ def test_fill(frame):
     assert fill_containers(frame([], "id string, n int"), "id", "n", 10).count() == 0
 
 
+def test_pieces_are_cut_where_words_begin():
+    text = "x" * 50_000 + " y" * 30_000 + "  " * 20_000 + "z"
+    assert "".join(_pieces(text)) == text and len(_pieces(text)) > 3 and all(p[0] == " " for p in _pieces(text)[1:])
+
+
 # 7 mixing
 
 
