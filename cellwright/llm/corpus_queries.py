@@ -59,5 +59,29 @@ def p7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(sized(spark, sf_dir), "doc_id", "source", "tokens", table(spark, sf_dir, "source_targets"))[0].withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p6_packing": p6_packing, "p6_use": p6_use, "p6_kept": p6_kept, "p7_mix": p7_mix, "p7_records": p7_records}
-ORACLES = {"p6_kept": "SELECT count(*) AS documents, 0::BIGINT AS broken, 0::BIGINT AS needless_cuts, 0::BIGINT AS overfull FROM documents"}
+def p7_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix as large as the corpus itself: the targets would repeat small sources too often, so the exponent gives way."""
+    return mix_sources(sized(spark, sf_dir), "doc_id", "source", "tokens", table(spark, sf_dir, "source_targets"), budget_share=1.0)[1]
+
+
+def p7_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain temperature mixing of the sources' token shares to nine tenths of the highest entropy that nine sources can have."""
+    return mix_sources(sized(spark, sf_dir), "doc_id", "source", "tokens", table(spark, sf_dir, "source_targets"), target_entropy=0.9 * math.log(9))[1]
+
+
+def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target source of the three mixes: whether no record is used too often, and whether it holds its budget to half a record."""
+    every = None
+    for name, mix in (("targets", p7_mix), ("budget", p7_budget), ("entropy", p7_entropy)):
+        r = mix(spark, sf_dir).where("target_share IS NOT NULL")
+        near = F.abs(F.col("mixed_tokens") - F.col("budget")) <= F.col("largest") / 2 + 1
+        r = r.select(F.lit(name).alias("mix"), "source", (F.col("most_uses") <= F.col("max_repeats")).alias("within_limit"), near.alias("as_weighted"))
+        every = r if every is None else every.unionByName(r)
+    return every
+
+
+QUERIES = {"p6_packing": p6_packing, "p6_use": p6_use, "p6_kept": p6_kept, "p7_mix": p7_mix, "p7_records": p7_records, "p7_budget": p7_budget, "p7_entropy": p7_entropy, "p7_kept": p7_kept}
+ORACLES = {
+    "p6_kept": "SELECT count(*) AS documents, 0::BIGINT AS broken, 0::BIGINT AS needless_cuts, 0::BIGINT AS overfull FROM documents",
+    "p7_kept": "SELECT mix, source, true AS within_limit, true AS as_weighted FROM source_targets, (VALUES ('targets'), ('budget'), ('entropy')) v(mix)",
+}

@@ -11,14 +11,14 @@ import numpy as np
 import pytest
 from conftest import DATA, same
 
-from cellwright.llm import registry
+from cellwright.llm import registry, source_mix
 from cellwright.llm.canonical_map import edits, map_to_canonical, tokens_of
 from cellwright.llm.container_fill import fill_containers, knapsack, plan
 from cellwright.llm.sentence_split import sentences, split, train, units
 from cellwright.llm.similar_vectors import hadamard, similar_vectors
 from cellwright.llm.similarity_clusters import describe_clusters, similarity_clusters
-from cellwright.llm.source_mix import entropy, mix_sources, solve, weights
-from cellwright.llm.tokens import _pieces
+from cellwright.llm.source_mix import _fit, entropy, mix_sources, solve, weights
+from cellwright.llm.tokens import token_count
 from cellwright.llm.term_frequency import term_frequencies
 
 INF, NAN = float("inf"), float("nan")
@@ -193,9 +193,14 @@ def test_fill(frame):
     assert fill_containers(frame([], "id string, n int"), "id", "n", 10).count() == 0
 
 
-def test_pieces_are_cut_where_words_begin():
-    text = "x" * 50_000 + " y" * 30_000 + "  " * 20_000 + "z"
-    assert "".join(_pieces(text)) == text and len(_pieces(text)) > 3 and all(p[0] == " " for p in _pieces(text)[1:])
+def test_token_counts_agree_with_the_other_library(frame):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    texts = ["The lid is neat. It's 3.50!", "写真 très <|endoftext|>\u0301  \n\n ok", "x" * 45_000, "word " * 9_000 + "  ", "a" + " \n" * 300_000 + "b", "", None]
+    got = [r.n for r in frame([(i, x) for i, x in enumerate(texts)], "i int, text string").orderBy("i").select(token_count("text").alias("n")).collect()]
+    t.encode_special_tokens = True
+    assert got == [len(t.encode(x, add_special_tokens=False).ids) if x else 0 for x in texts]
 
 
 # 7 mixing
@@ -204,12 +209,32 @@ def test_pieces_are_cut_where_words_begin():
 def test_solve():
     shares, tokens, most = {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1000, "b": 100, "c": 400}, {"a": 1, "b": 4, "c": 2}
     w, budget, e = solve(shares, tokens, most)
-    assert e == 1 and w == pytest.approx(shares) and budget == pytest.approx(400 / 0.3)
-    w, budget, e = solve(shares, tokens, most, budget=1500)
-    assert all(w[s] * budget <= tokens[s] * most[s] * (1 + 1e-9) for s in w) and budget == pytest.approx(1500)
-    w, _, e = solve(shares, tokens, most, target_entropy=1.05)
-    assert entropy(w) == pytest.approx(1.05, abs=1e-6)
-    assert weights(shares, 0) == pytest.approx(dict.fromkeys(shares, 1 / 3))
+    assert e == 0 and w == pytest.approx(shares) and budget == pytest.approx(400 / 0.3)
+    w, budget, e = solve(shares, tokens, most, budget=1450)
+    assert 0 < e < 1 and all(w[s] * budget <= tokens[s] * most[s] * (1 + 1e-9) for s in w) and budget == pytest.approx(1450)
+    tight = [w[s] * budget / tokens[s] / most[s] for s in w]
+    assert max(tight) == pytest.approx(1) and math.log(w["a"] / w["b"]) == pytest.approx(e * math.log(10) + (1 - e) * math.log(5 / 3))
+    w, budget, e = solve(shares, tokens, most, budget=1e6)  # more than any mix of these weights holds
+    assert e == 1 and budget == pytest.approx(1500)
+    w, _, e = solve(shares, tokens, most, target_entropy=0.9)
+    assert entropy(w) == pytest.approx(0.9, abs=1e-6) and math.log(w["a"] / w["b"]) == pytest.approx(e * math.log(10))
+    assert weights({"a": 0.9, "b": 0.1}, {"a": 0.5, "b": 0.5}, 0) == pytest.approx({"a": 0.5, "b": 0.5})
+    assert solve({"a": 1.0}, {}, {"a": 3})[:2] == ({}, 0.0)
+
+
+def test_last_part_of_a_budget():
+    assert _fit(10, [4, 50, 3, 9, 2]) == [True, False, True, False, True]
+    assert _fit(10, [9, 11]) == [True, False] and _fit(10, [11, 30]) == [True, False] and _fit(0.4, [1]) == [False]
+
+
+def test_budget_ends_inside_blocks(frame, monkeypatch):
+    monkeypatch.setattr(source_mix, "BLOCK", 16)  # the end is narrowed several times, also among copies of one id
+    docs = [(i, "web", 10) for i in range(3000)] + [(-1, "web", 10)] * 3000 + [(10_000 + i, "mail", 7) for i in range(900)]
+    targets = frame([("web", 0.5, 1), ("mail", 0.5, 2)], "source string, target_share double, max_repeats int")
+    rows, report = mix_sources(frame(docs, "id long, source string, size int"), "id", "source", "size", targets)
+    got = {r.source: r.mixed_tokens for r in report.collect()}
+    assert got["mail"] == 2 * 900 * 7 and abs(got["web"] - 2 * 900 * 7) <= 5
+    assert rows.count() == len(docs) and rows.where("source = 'web'").agg({"uses": "max"}).first()[0] == 1
 
 
 def test_mix(frame):
