@@ -8,7 +8,7 @@ mixing at the e whose weights have that entropy, found by bisection too. Without
 shares are exactly the targets.
 
 The weights are realised as budgeted block permutations: a source's records are permuted by a hash, and its budget takes whole
-passes over the permutation and then a part of one more. That part is found block by block: sums over 4,096 blocks of hash
+passes over the permutation and then a part of one more. That part is found block by block: sums over 64 blocks of hash
 values tell in which block the budget ends, the same is done inside that block until at most ``BLOCK`` records are left,
 and these are taken in order as long as they fit, passing over those that don't, the last where that comes nearer.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from cellwright.runtime import cut
 
 #: Records in the block whose end is settled record by record; bits of the hash that each narrowing uses, and how many it has.
-BLOCK, DIGIT, DIGITS = 4096, 12, 6
+BLOCK, DIGIT, DIGITS = 4096, 6, 12
 
 
 def source_key(c: Column) -> Column:
@@ -109,7 +109,7 @@ def _last_pass(rows: DataFrame, rest: dict, records: dict) -> tuple[dict, dict]:
         here = spark.createDataFrame([(s, list(at[s])) for s in live], "source string, prefix array<int>")  # one row per source
         inside = rows.join(F.broadcast(here), "source").where((F.lit(level) == 0) | (F.slice("digits", 1, max(level, 1)) == F.col("prefix")))
         block = inside.groupBy("source", F.element_at("digits", level + 1).alias("d")).agg(F.sum("size").alias("tokens"), F.count("*").alias("n"))
-        done = F.sum("tokens").over(Window.partitionBy("source").orderBy("d"))  # at most 4,096 blocks of a source
+        done = F.sum("tokens").over(Window.partitionBy("source").orderBy("d"))  # at most 64 blocks of a source
         limit = F.create_map(*(F.lit(x) for s in live for x in (s, float(left[s]))))
         ends = block.withColumn("before", done - F.col("tokens")).where(F.col("before") <= limit[F.col("source")]).groupBy("source").agg(F.max(F.struct("d", "before", "n")).alias("e"))
         for r in ends.collect():
@@ -130,9 +130,9 @@ def mix_sources(records: DataFrame, id_col: str, source: str, size: str, targets
     want = targets.select("source", source_key(F.col("source")).alias("key"), F.col("target_share").cast("double").alias("share"), "max_repeats").dropna(subset=["key"])
     rows = records.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source}`").alias("said"), F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("long").alias("size"))
     rows = rows.join(want.select("key", F.col("source").alias("source")), source_key(F.col("said")) == F.col("key"), "left").select("id", "source", "size")
-    # two thirds of the digits come from the id; copies of one id are told apart by the row itself
+    # half of the digits come from the id; copies of one id are told apart by the row itself
     h = (F.xxhash64("id", F.lit(seed)), F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)))
-    digit = [F.shiftright(h[i // 4], DIGIT * (i % 4)).bitwiseAND((1 << DIGIT) - 1).cast("int") for i in range(DIGITS)]
+    digit = [F.shiftright(h[i // 6], DIGIT * (i % 6)).bitwiseAND((1 << DIGIT) - 1).cast("int") for i in range(DIGITS)]
     rows = cut(rows.withColumn("digits", F.array(*digit)))
     usable = rows.where("source IS NOT NULL AND size > 0")
     have = usable.groupBy("source").agg(F.sum("size").alias("tokens"), F.count("*").alias("n")).collect()  # one row per target source
