@@ -122,30 +122,68 @@ def _block(k: int, include_self: bool):
     return run
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+#: Numbers in one block of vectors, and in one matrix of distances, of a search over blocks.
+BLOCK_NUMBERS, MATRIX_NUMBERS = 4_000_000, 8_000_000
+
+
+def matrix(column) -> np.ndarray:
+    """An Arrow column of lists of one length as rows of a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def over_blocks(vectors: DataFrame, queries: DataFrame, run, schema: str) -> DataFrame:
+    """``run(block of vectors, block of queries)`` for every block of either, within groups: vectors (g, id, v, ...), queries (g, qid, q, ...).
+
+    The numbers of blocks follow from the numbers of rows and of dimensions, so that a task holds a bounded part of both.
+    """
+    dim = vectors.select(F.max(F.size("v"))).first()[0] or 1
+    rows = max(1, BLOCK_NUMBERS // dim)
+    n, m = (max(1, -(-df.count() // rows)) for df in (vectors, queries))
+    n = max(n, min(parts(vectors.sparkSession), -(-vectors.count() // 256)))  # enough blocks for all cores
+    deal = lambda df, key, own, k, other, j: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(k))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(j - 1).cast("long"))))
+    left, right = deal(vectors, "id", "b", n, "c", m), deal(queries, "qid", "c", m, "b", n)
+    key = ["g", "b", "c"]
+    out = parts(vectors.sparkSession)
+    return left.repartition(out, *key).groupBy(*key).cogroup(right.repartition(out, *key).groupBy(*key)).applyInArrow(run, schema)
+
+
+def distance_rows(q: np.ndarray, v: np.ndarray):
+    """(rows of q, their squared distances to v and the error bound of these), in slices that bound memory: one matrix product each."""
+    vv = (v * v).sum(1)
+    for s in range(0, len(q), step := max(1, MATRIX_NUMBERS // max(1, len(v)))):
+        part = q[s : s + step]
+        qq = (part * part).sum(1)
+        yield slice(s, s + len(part)), np.maximum(qq[:, None] + vv[None] - 2 * (part @ v.T), 0), 1e-12 * (qq + vv.max(initial=0.0))
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int, *, group: str | None = None, skip_self: bool = False) -> DataFrame:
     """(qid, id, rank, distance): exact Euclidean neighbours of the stated queries (qid, q) among all vectors (id, v).
 
-    Blocks of the vectors meet all queries; each block answers with its k best, which are merged per query.
+    Blocks of the vectors meet blocks of the queries (of the same ``group``, a bigint column of both, if one is named); each
+    answers with its k best, which are merged per query. ``skip_self`` leaves out the vector whose id is the query's.
     """
-    spark = vectors.sparkSession
-    n = parts(spark)
-    block = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).alias("b"))
-    sent = queries.select("qid", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("b"))
+    g = F.lit(0).cast("long") if group is None else F.col(group)
+    v = vectors.select(g.alias("g"), F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).dropna()
+    q = queries.select(g.alias("g"), F.col("qid").cast("long").alias("qid"), F.col("q").cast("array<double>").alias("q")).dropna()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
-        v = np.array(left["v"].to_pylist(), float)
-        ids, qids, out = left["id"].to_numpy(), right["qid"].to_numpy(), []
-        order = np.argsort(ids)
-        v, ids = v[order], ids[order]
-        q = np.array(right["q"].to_pylist(), float)
-        for s in range(0, len(q), 256):
-            d = np.sqrt(((q[s : s + 256, None] - v[None]) ** 2).sum(2))
-            near = np.argsort(d, 1, kind="stable")[:, :k]
-            out.append((np.repeat(qids[s : s + 256], near.shape[1]), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel()))
-        return pa.table(dict(zip(("qid", "id", "d"), (np.concatenate(c) for c in zip(*out)))))
-
-    each = block.groupBy("b").cogroup(sent.groupBy("b")).applyInArrow(run, "qid long, id long, d double")
+        out = []
+        if left.num_rows and right.num_rows:
+            x, ids, y, qids = matrix(left["v"]), left["id"].to_numpy(), matrix(right["q"]), right["qid"].to_numpy()
+            for s, d2, error in distance_rows(y, x):
+                if skip_self:
+                    d2[qids[s, None] == ids[None]] = np.inf
+                worst = np.partition(d2, min(k, len(x)) - 1, 1)[:, min(k, len(x)) - 1]
+                i, j = np.nonzero((d2 <= (worst + error)[:, None]) & np.isfinite(d2))  # all that may be among the k nearest
+                d = np.sqrt(((y[s][i] - x[j]) ** 2).sum(1))
+                order = np.lexsort((ids[j], d.round(9), i))
+                i, j, d = i[order], j[order], d[order]
+                ok = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out.append((qids[s][i[ok]], ids[j[ok]], d[ok]))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pa.table(dict(zip(("qid", "id", "d"), cols)))
+
+    each = over_blocks(v, q, run, "qid long, id long, d double")
     w = Window.partitionBy("qid").orderBy(F.round("d", 9), "id")
     return each.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select("qid", "id", "rank", F.col("d").alias("distance"))

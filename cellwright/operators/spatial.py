@@ -7,9 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellwright.operators.knn import distance_rows, matrix, over_blocks
 from cellwright.operators.matrix import gene_moments
 from cellwright.operators.tables import average_rank
-from cellwright.runtime import cut, parts
+from cellwright.runtime import cut
 
 
 def neighbour_labels(knn: DataFrame, labels: DataFrame) -> DataFrame:
@@ -99,24 +100,25 @@ def calinski_harabasz(v: DataFrame) -> DataFrame:
 def silhouette(v: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, silhouette) of the stated queries (qid, label, q) against all vectors (id, label, v), Euclidean.
 
-    Blocks of vectors meet all queries; a block sends only its sum and number of distances per query and label.
+    Blocks of vectors meet blocks of queries; a block sends only its sum and number of distances per query and label.
     """
-    spark = v.sparkSession
-    n = parts(spark)
-    block = v.select("id", "label", "v", F.pmod(F.xxhash64("id"), F.lit(n)).alias("b"))
-    sent = queries.select("qid", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("b"))
+    g = F.lit(0).cast("long").alias("g")
+    vectors = v.select(g, F.col("id").cast("long").alias("id"), F.col("label").cast("int").alias("label"), F.col("v").cast("array<double>").alias("v")).dropna()
+    asked = queries.select(g, F.col("qid").cast("long").alias("qid"), F.col("q").cast("array<double>").alias("q")).dropna()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"qid": pa.array([], pa.int64()), "other": pa.array([], pa.int32()), "s": pa.array([], pa.float64()), "k": pa.array([], pa.int64())})
-        x, lab = np.array(left["v"].to_pylist(), float), left["label"].to_numpy()
-        q, qid = np.array(right["q"].to_pylist(), float), right["qid"].to_numpy()
-        names, at = np.unique(lab, return_inverse=True)
-        one = np.eye(len(names))[at]
-        sums = np.vstack([np.sqrt(((q[i : i + 128, None] - x[None]) ** 2).sum(2)) @ one for i in range(0, len(q), 128)])
-        return pa.table({"qid": np.repeat(qid, len(names)), "other": np.tile(names, len(qid)).astype(np.int32), "s": sums.ravel(), "k": np.tile(one.sum(0).astype(np.int64), len(qid))})
-
-    per = block.groupBy("b").cogroup(sent.groupBy("b")).applyInArrow(run, "qid long, other int, s double, k long").groupBy("qid", "other").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
+        out = []
+        if left.num_rows and right.num_rows:
+            x, ids, y, qids = matrix(left["v"]), left["id"].to_numpy(), matrix(right["q"]), right["qid"].to_numpy()
+            names, at = np.unique(left["label"].to_numpy(), return_inverse=True)
+            one = np.eye(len(names))[at]
+            for s, d2, _ in distance_rows(y, x):
+                d2[qids[s, None] == ids[None]] = 0.0
+                out.append((np.repeat(qids[s], len(names)), np.tile(names, len(d2)), (np.sqrt(d2) @ one).ravel(), np.tile(one.sum(0).astype(np.int64), len(d2))))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, t) for t in (np.int64, np.int32, float, np.int64)]
+        return pa.table(dict(zip(("qid", "other", "s", "k"), cols)))
+
+    per = over_blocks(vectors, asked, run, "qid long, other int, s double, k long").groupBy("qid", "other").agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
     per = per.join(queries.select("qid", "label"), "qid")
     a = F.max(F.when(F.col("other") == F.col("label"), F.try_divide(F.col("s"), F.col("k") - 1)))
     b = F.min(F.when(F.col("other") != F.col("label"), F.col("s") / F.col("k")))
