@@ -60,6 +60,28 @@ def test_similar_vectors_recall(frame):
     assert len(got & want) / len(want) > 0.98
 
 
+def test_similar_vectors_in_dense_places(frame):
+    rng = np.random.default_rng(5)
+    xy = np.vstack([rng.uniform(0, 10_000, (1500, 2)), 5000 + rng.normal(size=(1200, 2)) * 1e-2, 5000 + rng.normal(size=(300, 2)) * 1e-9])
+    pts = {i: tuple(map(float, p)) for i, p in enumerate(xy)}
+    got = {}
+    for r in similar_vectors(frame([("a", i, list(p)) for i, p in pts.items()], "g string, id long, v array<double>"), "id", "v", ["g"], 2, 5, target=25).collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    want = _brute(pts, 5)
+    assert set(got) == set(pts) and all(len(x) == 5 for x in got.values())
+    for part in (range(1500), range(1500, 2700), range(2700, 3000)):  # the sparse and the dense ones alike
+        right = [(i, j) for i, j in want if i in part]
+        assert np.mean([j in got[i] for i, j in right]) > 0.95
+
+
+def test_similar_vectors_in_32_dimensions(frame):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(40, 32)).repeat(50, 0) + 0.3 * rng.normal(size=(2000, 32))
+    got = {(r.id, r.neighbour) for r in similar_vectors(frame([("a", i, list(map(float, x))) for i, x in enumerate(v)], "g string, id long, v array<double>"), "id", "v", ["g"], 32, 5).collect()}
+    want = _brute({i: tuple(x) for i, x in enumerate(v)}, 5)
+    assert len(got & want) > 0.9 * len(want)
+
+
 def test_similar_vectors_edges(frame):
     same_place = [("a", i, [1.0, 1.0]) for i in range(20)]
     rows = [*same_place, ("a", 100, [5.0, 5.0]), ("a", 100, [5.0, 5.0]), ("b", 200, [1.0, 1.0]), ("a", None, [1.0, 1.0]), ("a", 300, None), ("a", 301, [1.0]), ("a", 302, [1.0, NAN]), ("a", 303, [1.0, INF]), ("a", 304, [1.0, None]), (None, 305, [1.0, 1.0])]
@@ -82,6 +104,8 @@ def test_similar_vectors_cosine(frame):
     np.fill_diagonal(d, np.inf)
     want = {(i, int(j)) for i in range(300) for j in np.argsort(d[i])[:5]}
     got = {(r.id, r.neighbour) for r in similar_vectors(df, "id", "v", ["g"], 24, 5, metric="cosine").collect()}
+    assert len(got) == len(want) and len(got & want) > 0.5 * len(want)  # random directions: nothing is really near
+    got = {(r.id, r.neighbour) for r in similar_vectors(df, "id", "v", ["g"], 24, 5, metric="cosine", target=300).collect()}
     assert got == want
 
 
