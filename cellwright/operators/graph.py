@@ -31,73 +31,118 @@ def communities(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataF
 
     Rounds go on until a group's modularity has risen by no more than ``RISE`` in two of them, with the best labels kept;
     levels until one unites nothing. A group of at most ``small`` edges, given or left by a level, is finished in one task.
+    Edges may name a ``block`` of their ``u``, a part of its group that fits into a task: then every block finds its own
+    communities first, with degrees and weight of the whole graph, and the further levels unite them across blocks.
     """
     member = cut(nodes.select("loc", F.col("loc").alias("c")))
     weight = cut(edges.groupBy("g").agg(F.sum("w").alias("all")))
     work, level = edges.select("g", "u", "v", "w"), 0
-    while True:
+    if "block" in edges.columns:
+        label = cut(_inside(edges.select("g", "block", "u", "v", "w"), weight))
+        wide = edges.groupBy("g").agg((F.max("block") > F.min("block")).alias("wide")).where("wide").select("g")
+        work = cut(_fold(work.join(wide, "g", "left_semi"), label))
+        member = _follow(member, label)
+        drop(label)
+    while not work.isEmpty():
         size = cut(work.groupBy("g").agg(F.count("*").alias("n")))
         few, many = (size.where(f"n {op} {small}").select("g") for op in ("<=", ">"))
-        done = work.join(few, "g", "left_semi").repartition(parts(work.sparkSession), "g").groupBy("g").applyInPandas(_finish, "n long, g long, c long")
+        done = _inside(work.join(few, "g", "left_semi").withColumn("block", F.lit(0)), weight)
         big = work.join(many, "g", "left_semi")
         moved = None if many.isEmpty() else _moves(big, weight.join(many, "g", "left_semi"), level)
         label = cut(done if moved is None else done.unionByName(moved))
-        grown = cut(member.join(label.select(F.col("n").alias("c"), F.col("c").alias("up")), "c", "left").select("loc", F.coalesce("up", "c").alias("c")))
-        drop(member)
-        member, folded = grown, None
+        member, folded = _follow(member, label), None
         if moved is not None:
             live = cut(moved.groupBy("g").agg(F.count("*").alias("n"), F.count_distinct("c").alias("m")).where("m < n").select("g"))  # the other groups are done
-            up = lambda s: moved.select(F.col("n").alias(s), F.col("c").alias(f"c{s}"))
-            folded = cut(big.join(live, "g", "left_semi").join(up("u"), "u").join(up("v"), "v").groupBy("g", F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
+            folded = cut(_fold(big.join(live, "g", "left_semi"), moved))
             drop(live)
             drop(moved)
         for old in (label, size, work):  # the caller's edges stay
             drop(old)
-        if folded is None or folded.isEmpty():
-            drop(weight)
-            return member
+        if folded is None:
+            break
         work, level = folded, level + 1
+    drop(weight)
+    return member
+
+
+def _follow(member: DataFrame, label: DataFrame) -> DataFrame:
+    """Members with the label that their community was given."""
+    grown = cut(member.join(label.select(F.col("n").alias("c"), F.col("c").alias("up")), "c", "left").select("loc", F.coalesce("up", "c").alias("c")))
+    drop(member)
+    return grown
+
+
+def _fold(work: DataFrame, label: DataFrame) -> DataFrame:
+    """Edges between labels, with the sums of their weights; inner edges become loops."""
+    up = lambda s: label.select(F.col("n").alias(s), F.col("c").alias(f"c{s}"))
+    return work.join(up("u"), "u").join(up("v"), "v").groupBy("g", F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w"))
+
+
+def _inside(edges: DataFrame, weight: DataFrame) -> DataFrame:
+    """(n, g, c): the communities that each block of (g, block, u, v, w) finds in one task."""
+    rows = edges.join(weight, "g").select("g", "block", "u", "v", "w", "all")
+    return rows.repartition(parts(edges.sparkSession), "g", "block").groupBy("g", "block").applyInPandas(_finish, "n long, g long, c long")
 
 
 def _finish(t):
-    """(n, g, c) of one small group: single nodes move in turn, then their communities, until nothing more is gained."""
+    """(n, g, c) of one block: single nodes move in turn, then their communities, until nothing more is gained."""
     import pandas as pd
 
-    ids = np.unique(t["u"].to_numpy())
-    u, v, w = np.searchsorted(ids, t["u"].to_numpy()), np.searchsorted(ids, t["v"].to_numpy()), t["w"].to_numpy()
-    label, n = np.arange(len(ids)), len(ids)
+    u, v, w = (t[c].to_numpy() for c in ("u", "v", "w"))
+    ids, u = np.unique(u, return_inverse=True)
+    label, n, total, deg = np.arange(len(ids)), len(ids), float(t["all"].iloc[0]), np.bincount(u, w)
+    at = np.minimum(np.searchsorted(ids, v), n - 1)
+    here = ids[at] == v
+    u, v, w = u[here], at[here], w[here]
     while True:
-        names, step = np.unique(_pass_nodes(u, v, w, n), return_inverse=True)
+        names, step = np.unique(_pass_nodes(u, v, w, deg, total), return_inverse=True)
         label, m = step[label], len(names)
         if m == n:
             break
+        deg = np.bincount(step, deg, m)
         key, at = np.unique(step[u] * m + step[v], return_inverse=True)
-        u, v, w, n = key // m, key % m, np.bincount(at, w), m
+        u, v, w, n = key // m, key % m, np.bincount(at, w, len(key)), m
     least = ids[np.unique(label, return_index=True)[1]]  # ids rise, so the first is the smallest
     return pd.DataFrame({"n": ids, "g": t["g"].iloc[0], "c": least[label]})
 
 
-def _pass_nodes(u, v, w, n: int) -> list[int]:
-    """Labels of nodes 0 to n - 1 after passes over all nodes in order, each moved to the community of largest gain."""
-    total, deg = w.sum(), np.bincount(u, w, n).tolist()
-    near: list[list] = [[] for _ in range(n)]
+def _pass_nodes(u, v, w, degree, total: float) -> list[int]:
+    """Labels of the nodes after passes over all of them in order, each moved to the community of largest gain.
+
+    A node is looked at again only while one of its neighbours has moved.
+    """
+    deg, n = degree.tolist(), len(degree)
     order = np.lexsort((v, u))
-    for a, b, x in zip(u[order].tolist(), v[order].tolist(), w[order].tolist()):
-        if a != b:
-            near[a].append((b, x))
-    c, tot, rise = list(range(n)), list(deg), 1.0
+    order = order[u[order] != v[order]]
+    first = np.searchsorted(u[order], np.arange(n + 1)).tolist()
+    to, weight = v[order].tolist(), w[order].tolist()
+    c, tot, rise, stale = list(range(n)), list(deg), 1.0, [True] * n
     while rise > 1e-7:
         rise = 0.0
         for i in range(n):
+            if not stale[i]:
+                continue
+            stale[i], a, b = False, first[i], first[i + 1]
             now, toward = c[i], {c[i]: 0.0}
-            for j, x in near[i]:
-                toward[c[j]] = toward.get(c[j], 0.0) + x
+            for j in range(a, b):
+                k = c[to[j]]
+                toward[k] = toward.get(k, 0.0) + weight[j]
+            if len(toward) == 1:
+                continue
+            mine = deg[i] / total
             tot[now] -= deg[i]
-            gain = {k: round(x - deg[i] * tot[k] / total, 9) for k, x in toward.items()}
-            best = max(gain, key=lambda k: (gain[k], k == now, -k))
-            tot[best] += deg[i]
-            c[i] = best
-            rise += 2 * (gain[best] - gain[now]) / total
+            stay = best = round(toward[now] - mine * tot[now], 9)
+            where = now
+            for k, x in toward.items():
+                gain = round(x - mine * tot[k], 9)
+                if gain > best or (gain == best and where != now and k < where):
+                    best, where = gain, k
+            tot[where] += deg[i]
+            if where != now:
+                c[i] = where
+                rise += 2 * (best - stay) / total
+                for j in range(a, b):
+                    stale[to[j]] = True
     return c
 
 
