@@ -1,13 +1,18 @@
 """Clusters of mutually similar records, with their size and most typical members.
 
-Method: neighbour descent builds an approximate k-nearest-neighbour graph (start: neighbours in the order of two shifted
-Morton curves; each round compares the neighbours of a record with each other and keeps improvements); modularity-based
-community detection moves records to the community of largest gain, first single records, then whole communities; members
-with the highest weighted degree inside their cluster describe it.
+Method: neighbour descent builds an approximate k-nearest-neighbour graph. Records are cut into blocks along two shifted Morton
+curves; inside a block each record starts with its neighbours on the curve and takes over the nearest of its
+neighbours' neighbours, until few lists change. The lists of both curves are merged, and rounds over the whole table go
+on where they differ or have changed - the neighbours of a record (reverse ones sampled) are compared with each other -
+until few changes are left. Vectors travel only to the records whose neighbourhoods are compared, not on edges.
 
-Where clusters are defined by a radius (records at most ``radius`` apart belong together, and so do chains of them), an
-exact check follows: communities that any two records within ``radius`` link, or that a chain of such links joins, are
-united by distributed star contraction. The graph may miss such links (it holds only the k nearest), the check does not.
+Modularity-based community detection then moves records to the community of largest gain, first inside blocks, then whole
+communities across them; members with the highest weighted degree inside their cluster describe it.
+
+Where clusters are defined by a radius (records at most ``radius`` apart belong together, and so do chains of them),
+communities that edges of the graph link are united by distributed star contraction. An exact check follows: it looks for
+pairs within ``radius`` of two different clusters, which the graph may miss as it holds only the k nearest, and unites
+these too. The column ``part`` keeps the cluster before that check.
 
 Defined results: a null id, group part or vector, or an unusable one (wrong length, null, NaN, infinite) takes no part;
 ids that come twice count once; records at one place are one node of the graph and stay together; ties go to the smaller
@@ -24,7 +29,9 @@ from pyspark.sql import functions as F
 from cellwright.operators.graph import communities, components
 from cellwright.runtime import cut, drop, parts, runs
 
-EDGE = "u long, v long, d double, xu array<double>, xv array<double>"
+#: Records in one block of a curve; numbers of a curve's key; share of the edges below which changes are few.
+BLOCK, AXES, FEW = 16_384, 12, 0.001
+EDGE = "u long, v long, d double, fresh boolean, block long"
 
 
 def _matrix(column, dim):
@@ -32,17 +39,10 @@ def _matrix(column, dim):
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _lists(m: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), pa.array(m.reshape(-1)))
-
-
-def _edge_batch(u, v, d, xu, xv):
-    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d), _lists(xu), _lists(xv)], ["u", "v", "d", "xu", "xv"])
-
-
-def morton(x: np.ndarray, low: np.ndarray, high: np.ndarray, shift: float, bits: int = 15) -> np.ndarray:
-    """Interleaved bits of the first four numbers of each row, scaled to their group's box."""
-    x, low, high = x[:, :4], low[:, :4], high[:, :4]
+def morton(x: np.ndarray, low: np.ndarray, high: np.ndarray, shift: float) -> np.ndarray:
+    """Interleaved bits of the first numbers of each row, scaled to their group's box."""
+    x, low, high = x[:, :AXES], low[:, :AXES], high[:, :AXES]
+    bits = min(16, 60 // x.shape[1])
     span = np.where(high > low, high - low, 1.0)
     grid = (((x - low) / span + shift) / (1 + shift) * (2**bits - 1)).astype(np.int64)
     out = np.zeros(len(x), np.int64)
@@ -62,85 +62,163 @@ def _curve(dim: int):
     return run
 
 
-def _along(dim: int, width: int):
-    """Edges between rows at most ``width`` places apart in the order of the batch stream, within group and curve."""
+def _take_best(rows, near, d, cand, x, width, radius):
+    """Lists of ``rows`` improved by candidates (-1: none): (indices, distances), each candidate once, the nearest ``width``."""
+    far = np.sqrt(((x[rows, None] - x[np.maximum(cand, 0)]) ** 2).sum(2))
+    far[(cand < 0) | (cand == rows[:, None]) | (far > radius)] = np.inf
+    every, dist = np.hstack([near[rows], cand]), np.hstack([d[rows], far])
+    order = np.lexsort((dist, every), axis=1)
+    every, dist = np.take_along_axis(every, order, 1), np.take_along_axis(dist, order, 1)
+    dist[:, 1:][every[:, 1:] == every[:, :-1]] = np.inf
+    best = np.argsort(dist, 1, kind="stable")[:, :width]
+    every, dist = np.take_along_axis(every, best, 1), np.take_along_axis(dist, best, 1)
+    every[np.isinf(dist)] = -1
+    return every, dist
+
+
+def descend(x: np.ndarray, g: np.ndarray, width: int, radius: float, seed: int = 0):
+    """Neighbour descent inside one block, whose rows lie in the order of a curve: (indices or -1, distances), rising."""
+    n, rng = len(x), np.random.default_rng(seed)
+    lags = np.r_[-width:0, 1 : width + 1]
+    cand = np.arange(n)[:, None] + lags
+    cand[(cand < 0) | (cand >= n)] = -1
+    cand[g[np.maximum(cand, 0)] != g[:, None]] = -1
+    near, d = np.full((n, width), -1), np.full((n, width), np.inf)
+    slices = lambda rows, m: np.array_split(rows, max(1, len(rows) * m * x.shape[1] // 8_000_000))
+    for rows in slices(np.arange(n), len(lags)):
+        near[rows], d[rows] = _take_best(rows, near, d, cand[rows], x, width, radius)
+    moved = np.ones(n, bool)
+    while True:
+        src, dst = np.nonzero(near >= 0)[0], near[near >= 0]
+        mix = rng.permutation(len(src))
+        src, dst = src[mix], dst[mix]
+        order = np.argsort(dst, kind="stable")
+        src, dst = src[order], dst[order]
+        rank = np.arange(len(dst)) - np.searchsorted(dst, dst)
+        back = np.full((n, width), -1)
+        back[dst[rank < width], rank[rank < width]] = src[rank < width]
+        known = np.hstack([near, back])
+        rows = np.flatnonzero(((known >= 0) & moved[np.maximum(known, 0)]).any(1) | moved)
+        changed, hits = np.zeros(n, bool), 0
+        old = near.copy()
+        for part in slices(rows, width * (width + 1)):
+            onward = np.where(near[part][:, :, None] >= 0, old[np.maximum(near[part], 0)], -1).reshape(len(part), -1)
+            got, dist = _take_best(part, near, d, np.hstack([back[part], onward]), x, width, radius)
+            new = ((got[:, :, None] != old[part][:, None]).all(2) & (got >= 0)).sum(1)
+            near[part], d[part] = got, dist
+            changed[part], hits = new > 0, hits + int(new.sum())
+        moved = changed
+        if hits <= FEW * n * width:
+            return near, d
+
+
+def _blocks(dim: int, width: int, radius: float):
+    """Edges that descent finds in blocks of the batch stream, which comes in the order of curve, group and key."""
+
+    def edges(t: pa.Table, name: int):
+        n, g, loc = (t[c].to_numpy() for c in ("n", "g", "loc"))
+        near, d = descend(_matrix(t["vec"], dim), g ^ n, width, radius)
+        r, c = np.nonzero(near >= 0)
+        block = np.where(n[r] == 0, name, -1)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (loc[r], loc[near[r, c]], d[r, c], np.ones(len(r), bool), block)], ["u", "v", "d", "fresh", "block"])
 
     def run(batches):
-        tail = None
+        from pyspark import TaskContext
+
+        held, name = [], TaskContext.get().partitionId() << 32
         for b in batches:
-            t = pa.Table.from_batches([b]) if tail is None else pa.concat_tables([tail, pa.Table.from_batches([b])])
-            old = 0 if tail is None else tail.num_rows
-            g, n, loc, vec = t["g"].to_numpy(), t["n"].to_numpy(), t["loc"].to_numpy(), _matrix(t["vec"], dim)
-            for lag in range(1, width + 1):
-                i = np.arange(max(0, old - lag), len(g) - lag)
-                i = i[(g[i] == g[i + lag]) & (n[i] == n[i + lag])]
-                if len(i):
-                    j = i + lag
-                    d = np.sqrt(((vec[i] - vec[j]) ** 2).sum(1))
-                    yield _edge_batch(np.r_[loc[i], loc[j]], np.r_[loc[j], loc[i]], np.r_[d, d], np.vstack([vec[i], vec[j]]), np.vstack([vec[j], vec[i]]))
-            tail = t.slice(max(0, len(g) - width))
+            held.append(b)
+            while sum(x.num_rows for x in held) >= 2 * BLOCK:
+                t = pa.Table.from_batches(held)
+                yield edges(t.slice(0, BLOCK), name)
+                held, name = t.slice(BLOCK).to_batches(), name + 1
+        if held:
+            yield edges(pa.Table.from_batches(held), name)
 
     return run
 
 
-def _best(dim: int, k: int):
-    """The k nearest of each u."""
+def _best(k: int, first: bool):
+    """The k nearest of each u. Edges are fresh that are new to u: at ``first`` those which only one curve found, then the found ones."""
 
     def run(batches):
         for t in runs(batches, "u"):
-            u, v, d = (t[c].to_numpy() for c in ("u", "v", "d"))
-            order = np.lexsort((v, d, u))
-            a, b = u[order], v[order]
-            order = order[np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))]
-            a = u[order]
-            starts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-            rank = np.arange(len(a)) - np.repeat(starts, np.diff(np.r_[starts, len(a)]))
-            o = order[rank < k]
-            yield _edge_batch(u[o], v[o], d[o], _matrix(t["xu"], dim)[o], _matrix(t["xv"], dim)[o])
+            u, v, d, fresh, block = (t[c].to_numpy(zero_copy_only=False) for c in ("u", "v", "d", "fresh", "block"))
+            order = np.lexsort((fresh, v, d, u))
+            u, v, d, fresh, block = (x[order] for x in (u, v, d, fresh, block))
+            head = np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])))
+            starts = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
+            name = np.repeat(np.maximum.reduceat(block, starts), np.diff(np.r_[starts, len(u)]))
+            if first:
+                fresh = np.concatenate((head[1:], [True]))  # no second row of the pair follows
+            u, v, d, fresh, name = (x[head] for x in (u, v, d, fresh, name))
+            starts = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
+            rank = np.arange(len(u)) - np.repeat(starts, np.diff(np.r_[starts, len(u)]))
+            ok = rank < k
+            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (u, v, d, fresh, name)], ["u", "v", "d", "fresh", "block"])
 
     return run
 
 
-def _local_join(dim: int, radius: float):
-    """Neighbours of u compared with each other: pairs within ``radius`` that are nearer than the farther of their own edges to u."""
+def _compare(dim: int, most: int, radius: float):
+    """Neighbours m of c compared with each other where one is fresh: pairs nearer than the worst of their lists so far."""
 
     def run(batches):
-        for t in runs(batches, "u"):
-            u, v, d, xv = t["u"].to_numpy(), t["v"].to_numpy(), t["d"].to_numpy(), _matrix(t["xv"], dim)
-            order = np.lexsort((v, u))
-            order = order[np.concatenate(([True], (u[order][1:] != u[order][:-1]) | (v[order][1:] != v[order][:-1])))]
-            u, v, xv = u[order], v[order], xv[order]
-            lag, i = 1, np.arange(len(u))
+        for t in runs(batches, "c"):
+            c, m, fresh, worst, vec = t["c"].to_numpy(), t["m"].to_numpy(), t["fresh"].to_numpy(zero_copy_only=False), t["worst"].to_numpy(), _matrix(t["vec"], dim)
+            draw = (m.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+            order = np.lexsort((draw, ~fresh, c))  # a hub is compared by a sample of its reverse neighbours
+            rank = np.arange(len(c)) - np.searchsorted(c[order], c[order])
+            order = order[rank < most]
+            c, m, fresh, worst, vec = c[order], m[order], fresh[order], worst[order], vec[order]
+            lag, i = 1, np.arange(len(c))
             while True:
-                i = i[i + lag < len(u)]
-                i = i[u[i] == u[i + lag]]
+                i = i[i + lag < len(c)]
+                i = i[c[i] == c[i + lag]]
                 if not len(i):
                     break
                 j = i + lag
-                e = np.sqrt(((xv[i] - xv[j]) ** 2).sum(1))
-                ok = e <= radius
-                a, b, e = i[ok], j[ok], e[ok]
-                if len(a):
-                    yield _edge_batch(np.r_[v[a], v[b]], np.r_[v[b], v[a]], np.r_[e, e], np.vstack([xv[a], xv[b]]), np.vstack([xv[b], xv[a]]))
+                e = np.sqrt(((vec[i] - vec[j]) ** 2).sum(1))
+                ok = (fresh[i] | fresh[j]) & (e <= radius) & (m[i] != m[j])
+                for a, b in ((i, j), (j, i)):
+                    hit = ok & (e < worst[a])
+                    if hit.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(m[a[hit]]), pa.array(m[b[hit]]), pa.array(e[hit])], ["u", "v", "d"])
                 lag += 1
 
     return run
 
 
-def neighbour_descent(places: DataFrame, dim: int, k: int, radius: float, rounds: int = 2) -> DataFrame:
-    """(u, v, d, xu, xv): about the k nearest of each place of its group. ``places``: g, loc, vec, low, high."""
+def neighbour_descent(places: DataFrame, dim: int, k: int, radius: float = float("inf"), width: int | None = None) -> DataFrame:
+    """(u, v, d, fresh, block): about the k nearest of each place of its group. ``places``: g, loc, vec, low, high.
+
+    ``width``: length of the lists while descending, longer than k in many dimensions; ``block``: a part of u's group.
+    """
+    width = width or max(k, min(48, 2 * dim))
     n = parts(places.sparkSession, 4)
     curves = places.mapInArrow(_curve(dim), "g long, loc long, vec array<double>, n int, z long")
     line = curves.repartitionByRange(n, "n", "g", "z").sortWithinPartitions("n", "g", "z", "loc")
-    best = lambda e: cut(e.repartition(n, "u").sortWithinPartitions("u").mapInArrow(_best(dim, k), EDGE))
-    edges = best(line.mapInArrow(_along(dim, max(2, k // 2)), EDGE))
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "d", F.col("xv").alias("xu"), F.col("xu").alias("xv")))
-        found = both.repartition(n, "u").sortWithinPartitions("u").mapInArrow(_local_join(dim, radius), EDGE)
-        better = best(edges.unionByName(found))
+    best = lambda e, first: cut(e.repartition(n, "u").sortWithinPartitions("u").mapInArrow(_best(width, first), EDGE))
+    edges = best(line.mapInArrow(_blocks(dim, width, radius), EDGE), True)
+    while True:
+        size = edges.agg(F.count("*"), F.count_if("fresh")).first()
+        if not size[0] or size[1] <= FEW * size[0]:
+            break
+        worst = edges.groupBy(F.col("u").alias("m")).agg(F.when(F.count("*") >= width, F.max("d")).alias("worst"))
+        told = places.select(F.col("loc").alias("m"), "vec").join(worst, "m", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
+        both = edges.select(F.col("u").alias("c"), F.col("v").alias("m"), "fresh").unionByName(edges.select(F.col("v").alias("c"), F.col("u").alias("m"), "fresh"))
+        live = both.where("fresh").select("c").distinct()
+        sent = both.join(live, "c", "left_semi").join(told, "m").select("c", "m", "fresh", "worst", "vec")
+        found = sent.repartition(n, "c").sortWithinPartitions("c").mapInArrow(_compare(dim, 2 * width, radius), "u long, v long, d double")
+        known = edges.withColumn("fresh", F.lit(False))
+        better = best(known.unionByName(found.distinct().select("u", "v", "d", F.lit(True).alias("fresh"), F.lit(-1).cast("long").alias("block"))), False)
         drop(edges)
         edges = better
-    return edges
+    if width == k:
+        return edges
+    final = cut(edges.repartition(n, "u").sortWithinPartitions("u").mapInArrow(_best(k, False), EDGE))
+    drop(edges)
+    return final
 
 
 def _links(radius: float):
@@ -168,19 +246,22 @@ def _links(radius: float):
 
 
 def radius_links(points: DataFrame, radius: float) -> DataFrame:
-    """(a, b): communities of one group with two members at most ``radius`` apart. ``points``: g, c, x, y."""
-    n, height = parts(points.sparkSession, 4), 8 * radius
-    strip = F.floor(F.col("y") / height)
-    over = F.when(F.col("y") <= strip * height + radius, F.array(strip, strip - 1)).otherwise(F.array(strip))
-    placed = points.select("g", "c", "x", "y", strip.alias("s"), F.explode(over).alias("t"))
-    placed = placed.select(F.xxhash64("g", "t").alias("key"), "g", "x", "y", "c", (F.col("s") == F.col("t")).alias("home"))
+    """(a, b): clusters of one group with two members at most ``radius`` apart. ``points``: g, c, x, y.
+
+    Points are tiled; a tile also gets the points within ``radius`` left of and below its neighbours' edges.
+    """
+    n, side = parts(points.sparkSession, 4), 8 * radius
+    tile = lambda v: F.floor(F.col(v) / side)
+    over = lambda v: F.when(F.col(v) <= tile(v) * side + radius, F.array(tile(v), tile(v) - 1)).otherwise(F.array(tile(v)))
+    placed = points.select("g", "c", "x", "y", F.explode(over("x")).alias("tx"), over("y").alias("ty")).select("g", "c", "x", "y", "tx", F.explode("ty").alias("ty"))
+    placed = placed.select(F.xxhash64("g", "tx", "ty").alias("key"), "g", "x", "y", "c", ((F.col("tx") == tile("x")) | (F.col("ty") == tile("y"))).alias("home"))
     return placed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_links(radius), "a long, b long").distinct()
 
 
-def similarity_clusters(df: DataFrame, id_col: str, vector: str, group: list[str], dim: int, *, k: int = 8, radius: float = float("inf"), rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(members: cluster, community, id, loc, degree) and (edges of the graph: u, v, w); see the module's text.
+def similarity_clusters(df: DataFrame, id_col: str, vector: str, group: list[str], dim: int, *, k: int = 8, radius: float = float("inf")) -> tuple[DataFrame, DataFrame]:
+    """(members: cluster, size, part, community, id, degree) and (edges of the graph: g, u, v, w); see the module's text.
 
-    With a finite ``radius`` (two dimensions) clusters are the exact unions of communities; else they are the communities.
+    With a finite ``radius`` (two dimensions) clusters are unions of communities; else they are the communities.
     """
     v = F.col("vec")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), *(F.col(f"`{c}`").alias(f"_g{i}") for i, c in enumerate(group)), F.col(f"`{vector}`").cast("array<double>").alias("vec"))
@@ -190,32 +271,36 @@ def similarity_clusters(df: DataFrame, id_col: str, vector: str, group: list[str
     places = cut(rows.groupBy("g", "vec").agg(F.min("id").alias("loc"), F.count("*").alias("n")))
     box = [F.array(*(f(v[i]) for i in range(dim))) for f in (F.min, F.max)]
     boxes = places.groupBy("g").agg(box[0].alias("low"), box[1].alias("high"))
-    near = neighbour_descent(places.join(boxes, "g").select("g", "loc", "vec", "low", "high"), dim, k, radius, rounds)
+    near = neighbour_descent(places.join(boxes, "g").select("g", "loc", "vec", "low", "high"), dim, k, radius)
     scale = F.lit(radius) if radius < float("inf") else F.lit(near.agg(F.avg("d")).first()[0] or 1.0)
-    pair = near.where(F.col("d") <= radius).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), (1 / (1 + F.col("d") / scale)).alias("w"))
-    pair = pair.groupBy("a", "b").agg(F.max("w").alias("w"))
-    both = pair.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e"), "w").select("e.u", "e.v", "w")
-    graph = cut(both.join(places.select(F.col("loc").alias("u"), "g"), "u").select("g", "u", "v", "w"))
+    turned = near.select(F.col("v").alias("u"), F.col("u").alias("v"), "d", F.lit(-1).cast("long").alias("block"))
+    both = near.select("u", "v", "d", "block").unionByName(turned).groupBy("u", "v").agg((1 / (1 + F.first("d") / scale)).alias("w"), F.max("block").alias("block"))
+    own = near.groupBy("u").agg(F.max("block").alias("own"))
+    graph = both.join(places.select(F.col("loc").alias("u"), "g"), "u").join(own, "u", "left").select("g", "u", "v", "w", F.coalesce("own", "block").alias("block"))
+    graph = cut(graph)
     member = communities(places, graph)
+    named = lambda s: member.select(F.col("loc").alias(s), F.col("c").alias(f"c{s}"))
     if radius < float("inf"):
-        where = places.join(member, "loc").select("g", "c", v[0].alias("x"), v[1].alias("y"))
-        roots = components(radius_links(where, radius))
-        member = member.join(roots.withColumnRenamed("node", "c"), "c", "left").select("loc", "c", F.coalesce("root", "c").alias("root"))
+        between = graph.select("u", "v").where("u < v").join(named("u"), "u").join(named("v"), "v").where("cu <> cv").select(F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b"))
+        united = components(between.distinct()).withColumnRenamed("node", "c")
+        member = cut(member.join(united, "c", "left").select("loc", "c", F.coalesce("root", "c").alias("part")))
+        where = places.join(member, "loc").select("g", F.col("part").alias("c"), v[0].alias("x"), v[1].alias("y"))
+        roots = components(radius_links(where, radius)).withColumnRenamed("node", "part")
+        member = cut(member.join(roots, "part", "left").select("loc", "c", "part", F.coalesce("root", "part").alias("root")))
     else:
-        member = member.withColumn("root", F.col("c"))
-    member = cut(member)
+        member = cut(member.withColumn("part", F.col("c")).withColumn("root", F.col("c")))
     inside = graph.join(member.select(F.col("loc").alias("u"), F.col("root").alias("ru")), "u").join(member.select(F.col("loc").alias("v"), F.col("root").alias("rv")), "v")
     degree = inside.where("ru = rv").groupBy(F.col("u").alias("loc")).agg(F.sum("w").alias("degree"))
     held = rows.join(places.select("g", "vec", "loc"), ["g", "vec"]).join(member, "loc").join(degree, "loc", "left")
-    named = member.join(places.select("loc", "n"), "loc").groupBy("root").agg(F.min("loc").alias("cluster"), F.sum("n").alias("size"))
-    out = held.join(named, "root").select("cluster", "size", F.col("c").alias("community"), "id", F.coalesce("degree", F.lit(0.0)).alias("degree"))
+    sizes = member.join(places.select("loc", "n"), "loc").groupBy("root").agg(F.min("loc").alias("cluster"), F.sum("n").alias("size"))
+    out = held.join(sizes, "root").select("cluster", "size", "part", F.col("c").alias("community"), "id", F.coalesce("degree", F.lit(0.0)).alias("degree"))
     return out, graph
 
 
 def describe_clusters(members: DataFrame, typical: int = 3) -> DataFrame:
-    """(cluster, size, communities, typical): the ids with the highest weighted degree inside the cluster."""
+    """(cluster, size, communities, parts, typical): how many communities it unites, how many parts the graph had left, its ids of highest degree."""
     w = Window.partitionBy("cluster").orderBy(F.desc("degree"), "id")
     top = members.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= typical)
     top = top.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias("typical"))
-    sizes = members.groupBy("cluster").agg(F.first("size").alias("size"), F.count_distinct("community").alias("communities"))
+    sizes = members.groupBy("cluster").agg(F.first("size").alias("size"), F.count_distinct("community").alias("communities"), F.count_distinct("part").alias("parts"))
     return sizes.join(top, "cluster")

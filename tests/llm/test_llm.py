@@ -11,12 +11,12 @@ import numpy as np
 import pytest
 from conftest import DATA, same
 
-from cellwright.llm import registry, source_mix
+from cellwright.llm import registry, similarity_clusters, source_mix
 from cellwright.llm.canonical_map import edits, map_to_canonical, tokens_of
 from cellwright.llm.container_fill import fill_containers, knapsack, plan
 from cellwright.llm.sentence_split import sentences, split, train, units
 from cellwright.llm.similar_vectors import hadamard, similar_vectors
-from cellwright.llm.similarity_clusters import describe_clusters, similarity_clusters
+from cellwright.llm.similarity_clusters import describe_clusters, neighbour_descent
 from cellwright.llm.source_mix import _fit, entropy, mix_sources, solve, weights
 from cellwright.llm.tokens import token_count
 from cellwright.llm.term_frequency import term_frequencies
@@ -149,6 +149,27 @@ def test_canonical(frame):
 # 5 clusters
 
 
+@pytest.mark.parametrize("dim, n", [(2, 4000), (32, 2000)])
+def test_descent_recall(frame, monkeypatch, dim, n):
+    monkeypatch.setattr(similarity_clusters, "BLOCK", n // 4)  # several blocks, so that rounds over the table are needed
+    x = np.random.default_rng(dim).normal(size=(n, dim))
+    low, high = list(map(float, x.min(0))), list(map(float, x.max(0)))
+    places = frame([(1, i, list(map(float, v)), low, high) for i, v in enumerate(x)], "g long, loc long, vec array<double>, low array<double>, high array<double>")
+    got = {(r.u, r.v) for r in neighbour_descent(places, dim, 8).collect()}
+    d = ((x[:, None] - x[None]) ** 2).sum(2) if dim == 2 else (x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j)) for i in range(n) for j in np.argsort(d[i])[:8]}
+    assert len(got & want) > 0.9 * len(want)
+
+
+def test_clusters_without_radius_are_communities(frame):
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(6, 16)) * 10, 150, 0) + rng.normal(size=(900, 16))
+    members, _ = similarity_clusters.similarity_clusters(frame([("g", i, list(map(float, v))) for i, v in enumerate(x)], "g string, id long, v array<double>"), "id", "v", ["g"], 16)
+    of = {r.id: r.cluster for r in members.collect()}
+    assert all(len({of[i] for i in range(900) if of[i] == c and i // 150 != c // 150}) == 0 for c in set(of.values())) and len(set(of.values())) < 60
+
+
 def test_clusters_are_chains_within_radius(frame):
     rng = random.Random(3)
     pts = {i: (rng.uniform(0, 400), rng.uniform(0, 400)) for i in range(500)} | {1000 + i: (600.0 + 19.9 * i, 5.0) for i in range(40)} | {2000: (1.0, 1.0), 2001: (1.0, 1.0)}
@@ -165,7 +186,7 @@ def test_clusters_are_chains_within_radius(frame):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     rows = [("g", i, list(p)) for i, p in pts.items()] + [("g", 1, list(pts[1])), ("g", None, [0.0, 0.0]), ("g", 5000, [NAN, 1.0]), (None, 5001, [1.0, 1.0])]
-    members, _ = similarity_clusters(frame(rows, "g string, id long, v array<double>"), "id", "v", ["g"], 2, radius=20.0)
+    members, _ = similarity_clusters.similarity_clusters(frame(rows, "g string, id long, v array<double>"), "id", "v", ["g"], 2, radius=20.0)
     members = members.cache()
     assert {r.id: r.cluster for r in members.collect()} == {i: find(i) for i in pts}
     sizes = Counter(find(i) for i in pts)
@@ -173,7 +194,7 @@ def test_clusters_are_chains_within_radius(frame):
 
 
 def test_clusters_empty(frame):
-    assert similarity_clusters(frame([], "g string, id long, v array<double>"), "id", "v", ["g"], 2, radius=20.0)[0].count() == 0
+    assert similarity_clusters.similarity_clusters(frame([], "g string, id long, v array<double>"), "id", "v", ["g"], 2, radius=20.0)[0].count() == 0
 
 
 # 6 containers
