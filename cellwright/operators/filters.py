@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Name prefixes of control probes.
-CONTROLS = ("NegControlProbe_", "antisense_", "NegControlCodeword", "BLANK_", "DeprecatedCodeword_", "UnassignedCodeword_")
+CONTROLS = ("NegControlProbe_", "antisense_", "NegControlCodeword_", "BLANK_", "DeprecatedCodeword_", "UnassignedCodeword_")
 
 
 def text(df: DataFrame, name: str) -> Column:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellwright.operators.matrix import one_row
+from cellwright.operators.matrix import gene_moments, one_row
 from cellwright.runtime import cut
 
 
@@ -20,8 +21,7 @@ def type_gene(m: DataFrame, typed: DataFrame) -> DataFrame:
     """
     mt = m.join(typed, "cell")
     sizes = mt.groupBy("type").agg(F.count_distinct("cell").alias("cells"))
-    genes = one_row(mt, F.collect_set("gene").alias("genes"))
-    grid = sizes.crossJoin(genes).select("type", "cells", F.explode("genes").alias("gene"))
+    grid = sizes.crossJoin(mt.select("gene").distinct())
     hits = mt.groupBy("type", "gene").agg(F.count("*").alias("expressing"), F.sum("n").alias("total"))
     out = grid.join(hits, ["type", "gene"], "left")
     return out.select("type", "gene", "cells", F.coalesce("expressing", F.lit(0)).alias("expressing"), F.coalesce("total", F.lit(0)).alias("total"))
@@ -85,6 +85,53 @@ def two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore")
 
 
+def _beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function by its continued fraction, mirrored where that converges faster."""
+    turn = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, 1 - x, x)
+    log_gamma = np.vectorize(math.lgamma, otypes=[float])
+    front = np.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * np.log(np.maximum(x, 1e-300)) + b * np.log1p(-x)) / a
+    c, d = np.ones_like(x), 1 / (1 - (a + b) * x / (a + 1))
+    out = d.copy()
+    for m in range(1, 300):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + term * d), 1 + term / c
+            out = out * c * d
+        if np.all(np.abs(c * d - 1) < 1e-14):
+            break
+    return np.where(turn, 1 - front * out, front * out)
+
+
+@F.pandas_udf(T.DoubleType())
+def two_sided_t(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided p of Student's t with ``df`` degrees of freedom; null where either is."""
+    ok = (t.notna() & df.notna() & (df > 0)).to_numpy()
+    v, tt = df.to_numpy(float)[ok], t.to_numpy(float)[ok] ** 2
+    p = np.full(len(t), np.nan)
+    p[ok] = np.clip(_beta(v / 2, np.full(len(v), 0.5), v / (v + tt)), 0, 1) if len(v) else []
+    return pd.Series(p).astype(object).where(ok, None)
+
+
+def cluster_scores(values: DataFrame, value: str, sets: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(cluster, name, score): mean over a cluster's cells of the gene-set score - the mean standardised value of the set's genes less that of all others.
+
+    ``values`` (cell, gene, value), ``sets`` (gene, name), ``clusters`` (cell, cluster). Means are linear, so cells are summed per
+    cluster and gene first; absent entries count as zeros. Genes that never vary are left out.
+    """
+    mom = cut(gene_moments(values, value).where("sd > 0").select("gene", "mean", "sd"))
+    named = cut(sets.distinct().join(mom, "gene"))
+    size = named.groupBy("name").agg(F.count("*").alias("k"), F.sum(F.col("mean") / F.col("sd")).alias("base"))
+    whole = one_row(mom, F.count("*").alias("k_all"), F.sum(F.col("mean") / F.col("sd")).alias("base_all"))
+    cells = values.select("cell").distinct().join(clusters, "cell").groupBy("cluster").agg(F.count("*").alias("cells"))
+    sums = cut(values.join(clusters, "cell").groupBy("cluster", "gene").agg(F.sum(value).alias("s")).join(mom, "gene").select("cluster", "gene", (F.col("s") / F.col("sd")).alias("u")))
+    grid = cells.join(sums.groupBy("cluster").agg(F.sum("u").alias("u_all")), "cluster").crossJoin(size).crossJoin(whole)  # clusters by sets
+    mine = sums.join(named.select("gene", "name"), "gene").groupBy("cluster", "name").agg(F.sum("u").alias("u"))
+    out = grid.join(mine, ["cluster", "name"], "left").fillna(0.0, ["u"])
+    inside = (F.col("u") / F.col("cells") - F.col("base")) / F.col("k")
+    outside = F.try_divide((F.col("u_all") - F.col("u")) / F.col("cells") - (F.col("base_all") - F.col("base")), F.col("k_all") - F.col("k"))
+    return out.select("cluster", "name", (inside - F.coalesce(outside, F.lit(0.0))).alias("score"))
+
+
 def benjamini_hochberg(df: DataFrame, group: list[str], p: str, out: str) -> DataFrame:
     """Adjusted p per group of tests (one row per gene)."""
     w = Window.partitionBy(*group)
@@ -110,9 +157,9 @@ def rank_sum(m: DataFrame, typed: DataFrame) -> DataFrame:
     Works on counts per (gene, value, type), whose number depends on distinct counts, not on cells.
     """
     mt = m.join(typed, "cell")
-    sizes = mt.groupBy("type").agg(F.count_distinct("cell").alias("cells"))
+    sizes = cut(mt.groupBy("type").agg(F.count_distinct("cell").alias("cells")))
     n = one_row(sizes, F.sum("cells").alias("all_cells"))
-    by = mt.groupBy("gene", "type", "n").agg(F.count("*").alias("k"))
+    by = cut(mt.groupBy("gene", "type", "n").agg(F.count("*").alias("k")))
     level = by.groupBy("gene", "n").agg(F.sum("k").alias("k_all"))
     seen = level.groupBy("gene").agg(F.sum("k_all").alias("nonzero"))
     zeros = seen.crossJoin(n).select("gene", (F.col("all_cells") - F.col("nonzero")).alias("zero"), "all_cells")
@@ -141,8 +188,6 @@ def group_markers(tg: DataFrame, max_residual: float = 0.5, n_pts: int = 20, min
     rows = u.select("type", "gene", l1.alias("l1"), l2.alias("l2"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:  # one row per gene
-        import numpy as np
-
         pdf = pdf.sort_values("gene")
         top = pdf.assign(y=pdf.l1 - pdf.l2).nlargest(n_pts, "y")
         x, y = top.l2.to_numpy(), top.l1.to_numpy()

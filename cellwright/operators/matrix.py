@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellwright.runtime import cut
+
 
 def totals(m: DataFrame) -> DataFrame:
     return m.groupBy("cell").agg(F.sum("n").alias("total"))
@@ -58,13 +60,33 @@ def kneepoint(df: DataFrame, order: str, value: str) -> DataFrame:
     return c.select("idx", "value", F.round(off, 9).alias("off")).orderBy(F.desc("off"), "idx").limit(1).select("idx", "value")
 
 
-def pair_correlation(m: DataFrame, pairs: DataFrame, value: str) -> DataFrame:
-    """(g1, g2, r): Pearson correlation over all cells of the gene pairs asked for (zeros included)."""
-    mom = gene_moments(m, value)
+def knee_of_totals(totals: DataFrame, total: str) -> DataFrame:
+    """(value): the total at the knee of the sorted log10 totals, found from counts per distinct total.
+
+    A run of equal totals is farthest from the line between first and last total at one of its ends, so two places per
+    distinct total are looked at; ties go to the first place.
+    """
+    h = totals.where(F.col(total) > 0).groupBy(F.col(total).alias("value")).agg(F.count("*").alias("k"))
+    w = Window.orderBy("value")  # one row per distinct total
+    full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    log = F.log10("value")
+    c = h.select("value", log.alias("v"), F.sum("k").over(w).alias("upto"), "k", F.min(log).over(full).alias("a"), F.max(log).over(full).alias("b"), (F.sum("k").over(full) - 1).alias("run"))
+    c = c.select("value", "v", "a", "b", "run", F.explode(F.array(F.col("upto") - F.col("k"), F.col("upto") - 1)).alias("idx"))
+    off = F.abs(F.col("run") * (F.col("v") - F.col("a")) - (F.col("b") - F.col("a")) * F.col("idx")) / F.sqrt(F.col("run") ** 2 + (F.col("b") - F.col("a")) ** 2)
+    return c.select("value", "idx", F.round(off, 9).alias("off")).orderBy(F.desc("off"), "idx").limit(1).select("value")
+
+
+def cross_products(m: DataFrame, value: str) -> DataFrame:
+    """(g1, g2, both, xy), g1 < g2: cells that have both genes, and the sum of products of their values; pairs that never meet are absent."""
     side = lambda k: m.select("cell", F.col("gene").alias(f"g{k}"), F.col(value).alias(f"v{k}"))
-    cross = pairs.join(side(1), "g1").join(side(2), ["cell", "g2"]).groupBy("g1", "g2").agg(F.sum(F.col("v1") * F.col("v2")).alias("xy"))
+    return side(1).join(side(2), "cell").where("g1 < g2").groupBy("g1", "g2").agg(F.count("*").alias("both"), F.sum(F.col("v1") * F.col("v2")).alias("xy"))  # a cell has at most the panel's genes
+
+
+def correlations(m: DataFrame, value: str) -> DataFrame:
+    """(g1, g2, r), g1 < g2: Pearson correlation over all cells of every two genes, zeros included; null if either never varies."""
+    mom = cut(gene_moments(m, value))
     of = lambda k: mom.select(F.col("gene").alias(f"g{k}"), F.col("mean").alias(f"m{k}"), F.col("sd").alias(f"s{k}"), F.col("cells").alias(f"c{k}"))
-    out = pairs.join(of(1), "g1").join(of(2), "g2").join(cross, ["g1", "g2"], "left")
+    out = of(1).join(of(2), F.col("g1") < F.col("g2")).join(cross_products(m, value), ["g1", "g2"], "left")  # genes by genes: the result
     cov = F.coalesce("xy", F.lit(0.0)) / F.col("c1") - F.col("m1") * F.col("m2")
     return out.select("g1", "g2", F.try_divide(cov, F.col("s1") * F.col("s2")).alias("r"))
 

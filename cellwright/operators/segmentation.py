@@ -66,9 +66,10 @@ def overlap(tx: DataFrame, a: str = "a", b: str = "b", score: str | None = None,
 def all_metrics(tx: DataFrame, methods: dict[str, str | None], target: str) -> DataFrame:
     """(metric, segmentation, cell, value) of every method against ``target``; methods name their score column or None.
 
-    The target itself agrees with itself by definition and only reports its sizes.
+    The target itself reports its sizes, and one row of 0 without a cell for each measure of agreement.
     """
-    out = [num_transcripts(tx, target).select(F.lit("num_transcripts").alias("metric"), F.lit(target).alias("segmentation"), "cell", F.col("value").cast("double"))]
+    fixed = [(m, target, None, 0.0) for m in ("jaccard", "purity", "recall", "overlap", "contamination")]
+    out = [tx.sparkSession.createDataFrame(fixed, "metric string, segmentation string, cell string, value double"), num_transcripts(tx, target).select(F.lit("num_transcripts").alias("metric"), F.lit(target).alias("segmentation"), "cell", F.col("value").cast("double"))]
     for method, score in methods.items():
         rows = mask_low_score(tx, method, score) if score else tx
         tables = {"contamination": contamination(rows, method), "num_transcripts": num_transcripts(rows, method), "overlap": overlap(rows, method, target, score)}

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellwright.runtime import cut, parts
+
 
 def case_last_wins(rules: list[tuple[Column, object]], default: Column) -> Column:
     """Rules in the order in which they overwrite each other: the last that holds decides."""
@@ -24,12 +26,36 @@ def first_per(df: DataFrame, key: list[str], *order) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def average_rank(df: DataFrame, value: str, group: list[str], out: str) -> DataFrame:
-    """Ranks with the mean rank for ties: from counts per value, so that no group is sorted row by row."""
+def cumulative(df: DataFrame, value: str, group: list[str]) -> DataFrame:
+    """(group, value, __n, __upto): rows per distinct value, and rows of the group up to it, for any number of distinct values.
+
+    Distinct values are range-partitioned; running sums are taken inside each range and start from the sums of the ranges before.
+    """
     sizes = df.groupBy(*group, value).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*group).orderBy(value)
-    ranks = sizes.withColumn(out, F.sum("__n").over(w) - (F.col("__n") - 1) / 2)
-    return df.join(ranks.drop("__n"), [*group, value])
+    ranged = cut(sizes.repartitionByRange(parts(df.sparkSession), *group, value).withColumn("__p", F.spark_partition_id()))
+    inside = F.sum("__n").over(Window.partitionBy(*group, "__p").orderBy(value))
+    block = ranged.groupBy(*group, "__p").agg(F.sum("__n").alias("__b"))
+    before = block.withColumn("__before", F.sum("__b").over(Window.partitionBy(*group).orderBy("__p")) - F.col("__b")).drop("__b")  # one row per range
+    return ranged.withColumn("__in", inside).join(before, [*group, "__p"]).select(*group, value, "__n", (F.col("__in") + F.col("__before")).alias("__upto"))
+
+
+def average_rank(df: DataFrame, value: str, group: list[str], out: str) -> DataFrame:
+    """Ranks with the mean rank for ties, from counts per value: neither rows nor distinct values of a group meet in one task."""
+    ranks = cumulative(df, value, group).withColumn(out, F.col("__upto") - (F.col("__n") - 1) / 2)
+    return df.join(ranks.drop("__n", "__upto"), [*group, value])
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], group: list[str]) -> DataFrame:
+    """(group, one column per share): exact quantiles, interpolated between neighbours; nulls don't count."""
+    if not group:
+        return quantiles(df.withColumn("__one", F.lit(1)), value, shares, ["__one"]).drop("__one")
+    c = cumulative(df.where(F.col(value).isNotNull()), value, group)
+    c = c.join(c.groupBy(*group).agg(F.sum("__n").alias("__all")), group)
+    at = {name: (F.col("__all") - 1) * p for name, p in shares.items()}
+    holds = lambda h: (F.col("__upto") - F.col("__n") <= h) & (h < F.col("__upto"))
+    ends = [F.max(F.when(holds(f(h)), F.col(value))).alias(f"{name}__{k}") for name, h in at.items() for k, f in (("low", F.floor), ("high", F.ceil))]
+    found = c.groupBy(*group, "__all").agg(*ends)
+    return found.select(*group, *((F.col(f"{n}__low") + (F.col(f"{n}__high") - F.col(f"{n}__low")) * (h - F.floor(h))).alias(n) for n, h in at.items()))
 
 
 def union_common(*tables: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.runtime import table, usable
+from cellwright.operators import markers as mk
+from cellwright.runtime import cut, table, usable
 
 
 #: White space in both engines' patterns (\\s alone is ASCII only, and one engine's trim isn't).
@@ -20,18 +23,22 @@ def gene(c: str = "feature_name"):
 GENE_SQL = "nullif(upper(regexp_replace({0}, '" + SPACE_SQL.replace("{", "{{").replace("}", "}}") + "', '', 'g')), '')"
 
 
-def tx(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
-    """One row per molecule: id, dataset, a (vendor's cell), b (the other method's cell), score, pos, gene, qv, x, y."""
+def tx(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """One row per molecule: id, dataset, a (vendor's cell), b (the other method's cell), score, pos, gene, qv, x, y; or id and ``columns``.
+
+    A molecule that came twice has the same content, so rows are made distinct over the columns asked for: filters
+    on them reach the scan, and only they are shuffled.
+    """
     c, seg = F.col, F.col("`segger_cell_id_cxg_k=20`")
     raw = table(spark, sf_dir, "labeled_transcripts").where("transcript_id IS NOT NULL")
-    a = F.when(~c("cell_id").isin("", "UNASSIGNED"), F.concat("dataset", F.lit("/"), "cell_id"))
-    b = F.when(seg.isNotNull() & ~F.isnan(seg), F.concat("dataset", F.lit("#"), seg.cast("bigint").cast("string")))
     num = lambda x: F.when(~F.isnan(x), x)
-    return raw.select(
-        c("transcript_id").alias("id"), "dataset", a.alias("a"), b.alias("b"), num(c("`score_cxg_k=20`")).alias("score"),
-        c("overlaps_nucleus").alias("pos"), gene().alias("gene"), num(c("qv")).alias("qv"),
-        F.when(usable(c("x_location")), c("x_location")).alias("x"), F.when(usable(c("y_location")), c("y_location")).alias("y"), *extra,
-    ).dropDuplicates(["id"])
+    made = {
+        "dataset": c("dataset"), "a": F.when(~c("cell_id").isin("", "UNASSIGNED"), F.concat("dataset", F.lit("/"), "cell_id")),
+        "b": F.when(seg.isNotNull() & ~F.isnan(seg), F.concat("dataset", F.lit("#"), seg.cast("bigint").cast("string"))), "score": num(c("`score_cxg_k=20`")),
+        "pos": c("overlaps_nucleus"), "gene": gene(), "qv": num(c("qv")),
+        "x": F.when(usable(c("x_location")), c("x_location")), "y": F.when(usable(c("y_location")), c("y_location")),
+    }
+    return raw.select(c("transcript_id").alias("id"), *(made[n].alias(n) for n in columns or made)).distinct()
 
 
 _N = "CASE WHEN isnan({0}) THEN NULL ELSE {0} END"
@@ -65,7 +72,7 @@ CELLS = f"""cells AS (SELECT DISTINCT ON (obs_id) obs_id AS id, dataset, h5ad_na
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The count matrix in long form: (cell, gene, n) over the vendor's assignment."""
-    return tx(spark, sf_dir).where("a IS NOT NULL AND gene IS NOT NULL").groupBy(F.col("a").alias("cell"), "gene").agg(F.count("*").alias("n"))
+    return tx(spark, sf_dir, "a", "gene").where("a IS NOT NULL AND gene IS NOT NULL").groupBy(F.col("a").alias("cell"), "gene").agg(F.count("*").alias("n"))
 
 
 COUNTS = TX + ", m AS (SELECT a AS cell, gene, count(*) AS n FROM tx WHERE a IS NOT NULL AND gene IS NOT NULL GROUP BY ALL)"
@@ -80,6 +87,33 @@ def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 TYPED = CELLS + ", typed AS (SELECT vendor_id AS cell, min(l1) AS type FROM cells WHERE object = '10x_cell' AND l1 IS NOT NULL AND vendor_id IS NOT NULL GROUP BY 1)"
 
 
+class Study:
+    """The count matrix, the typed cells and what markers are found from, each computed and written once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self._of = (spark, sf_dir)
+
+    @cached_property
+    def m(self) -> DataFrame:
+        return cut(counts(*self._of))
+
+    @cached_property
+    def typed(self) -> DataFrame:
+        return cut(typed(*self._of))
+
+    @cached_property
+    def tg(self) -> DataFrame:
+        return cut(mk.type_gene(self.m, self.typed))
+
+    @cached_property
+    def markers(self) -> DataFrame:
+        return cut(mk.find_markers(self.tg))
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return cut(mk.exclusive_pairs(mk.exclusive_genes(self.tg, self.markers)))
+
+
 class Book:
     """A register of queries and of the SQL that checks them."""
 

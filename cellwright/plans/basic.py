@@ -32,29 +32,29 @@ q("src_inline", f"SELECT DISTINCT m.marker_id, m.compartment, coalesce(v.role, '
 )
 
 # filters
-_PRE = " OR ".join(f"starts_with(feature_name, '{p}')" for p in flt.CONTROLS)
+_PRE = " OR ".join(f"starts_with(feature_name, '{p}')" for p in "NegControlProbe_ antisense_ NegControlCodeword_ BLANK_ DeprecatedCodeword_ UnassignedCodeword_".split())
 q("filter_transcripts", f"SELECT DISTINCT transcript_id, feature_name, qv FROM labeled_transcripts WHERE qv >= 30 AND NOT isnan(qv) AND NOT ({_PRE})")(
     lambda s, d: flt.filter_transcripts(table(s, d, "labeled_transcripts")).select("transcript_id", "feature_name", "qv").distinct()
 )
 q("filter_transcripts_ext", "SELECT DISTINCT transcript_id, feature_name FROM labeled_transcripts WHERE qv >= 25 AND NOT isnan(qv) AND NOT (contains(feature_name, 'BLANK') OR contains(feature_name, 'antisense'))")(
     lambda s, d: flt.filter_containing(table(s, d, "labeled_transcripts"), "feature_name", ["BLANK", "antisense"], "qv", 25).select("transcript_id", "feature_name").distinct()
 )
-q("filter_score", _TX + "SELECT id, b, score FROM tx WHERE score > 0.75")(lambda s, d: tx(s, d).where("score > 0.75").select("id", "b", "score"))
+q("filter_score", _TX + "SELECT id, b, score FROM tx WHERE score > 0.75")(lambda s, d: tx(s, d, "b", "score").where("score > 0.75").select("id", "b", "score"))
 q("mask_low_score", _TX + "SELECT id, CASE WHEN score < 0.5 THEN NULL ELSE b END AS b, score FROM tx")(
-    lambda s, d: tx(s, d).select("id", F.when(F.col("score") < 0.5, None).otherwise(F.col("b")).alias("b"), "score")
+    lambda s, d: tx(s, d, "b", "score").select("id", F.when(F.col("score") < 0.5, None).otherwise(F.col("b")).alias("b"), "score")
 )
-q("filter_not_null", _TX + "SELECT id, a, b FROM tx WHERE a IS NOT NULL AND b IS NOT NULL")(lambda s, d: tx(s, d).dropna(subset=["a", "b"]).select("id", "a", "b"))
+q("filter_not_null", _TX + "SELECT id, a, b FROM tx WHERE a IS NOT NULL AND b IS NOT NULL")(lambda s, d: tx(s, d, "a", "b").dropna(subset=["a", "b"]).select("id", "a", "b"))
 q("filter_between", _TX + "SELECT id, x BETWEEN 100 AND 200 AS inside FROM tx WHERE y NOT BETWEEN 150 AND 400")(
-    lambda s, d: tx(s, d).where(~F.col("y").between(150, 400)).select("id", F.col("x").between(100, 200).alias("inside"))
+    lambda s, d: tx(s, d, "x", "y").where(~F.col("y").between(150, 400)).select("id", F.col("x").between(100, 200).alias("inside"))
 )
 q("filter_isin", _TX + "SELECT id, gene FROM tx WHERE gene IN (SELECT upper(gene) FROM gene_panel WHERE panel_order <= 40)")(
-    lambda s, d: tx(s, d).select("id", "gene").join(table(s, d, "gene_panel").where("panel_order <= 40").select(F.upper("gene").alias("gene")), "gene", "left_semi")
+    lambda s, d: tx(s, d, "gene").select("id", "gene").join(table(s, d, "gene_panel").where("panel_order <= 40").select(F.upper("gene").alias("gene")), "gene", "left_semi")
 )
 q("filter_not_isin", _TX + "SELECT id, gene FROM tx WHERE gene IS NOT NULL AND gene NOT IN (SELECT upper(gene) FROM gene_panel)")(
-    lambda s, d: tx(s, d).where("gene IS NOT NULL").select("id", "gene").join(table(s, d, "gene_panel").select(F.upper("gene").alias("gene")), "gene", "left_anti")
+    lambda s, d: tx(s, d, "gene").where("gene IS NOT NULL").select("id", "gene").join(table(s, d, "gene_panel").select(F.upper("gene").alias("gene")), "gene", "left_anti")
 )
 q("filter_group_mask", _TX + ", ok AS (SELECT a FROM tx WHERE a IS NOT NULL GROUP BY a HAVING avg(CAST(pos AS DOUBLE)) > 0.33 AND count(*) > 10) SELECT id, a FROM tx WHERE a IN (SELECT a FROM ok)")(
-    lambda s, d: flt.filter_group(tx(s, d).where("a IS NOT NULL").select("id", "a", "pos"), "a", (F.avg(F.col("pos").cast("double")) > 0.33) & (F.count("*") > 10)).select("id", "a")
+    lambda s, d: flt.filter_group(tx(s, d, "a", "pos").where("a IS NOT NULL").select("id", "a", "pos"), "a", (F.avg(F.col("pos").cast("double")) > 0.33) & (F.count("*") > 10)).select("id", "a")
 )
 q("filter_min_counts", _M + "SELECT * FROM m WHERE cell IN (SELECT cell FROM m GROUP BY cell HAVING sum(n) BETWEEN 5 AND 2000)")(lambda s, d: flt.filter_total(counts(s, d), "cell", 5, 2000))
 q("filter_genes", _M + "SELECT * FROM m WHERE gene IN (SELECT gene FROM m GROUP BY gene HAVING sum(n) >= 10)")(lambda s, d: flt.filter_total(counts(s, d), "gene", 10))
@@ -112,14 +112,14 @@ q("proj_negate", _C + "SELECT id, -entropy AS entropy FROM cells")(lambda s, d:
 
 # joins
 q("join_inner_index", _M + f", {_TOT}, c AS (SELECT a AS cell, avg(CAST(pos AS DOUBLE)) AS nuclear FROM tx WHERE a IS NOT NULL GROUP BY a) SELECT cell, n, nuclear FROM t JOIN c USING (cell)")(
-    lambda s, d: counts(s, d).groupBy("cell").agg(F.sum("n").alias("n")).join(tx(s, d).where("a IS NOT NULL").groupBy(F.col("a").alias("cell")).agg(F.avg(F.col("pos").cast("double")).alias("nuclear")), "cell")
+    lambda s, d: counts(s, d).groupBy("cell").agg(F.sum("n").alias("n")).join(tx(s, d, "a", "pos").where("a IS NOT NULL").groupBy(F.col("a").alias("cell")).agg(F.avg(F.col("pos").cast("double")).alias("nuclear")), "cell")
 )
 q("join_left_lookup", f"WITH {TX}, {TYPED} SELECT tx.id, typed.type FROM tx LEFT JOIN typed ON typed.cell = tx.a")(
-    lambda s, d: tx(s, d).select("id", F.col("a").alias("cell")).join(typed(s, d), "cell", "left").select("id", "type")
+    lambda s, d: tx(s, d, "a").select("id", F.col("a").alias("cell")).join(typed(s, d), "cell", "left").select("id", "type")
 )
 q("join_align_div", _TX + ", g AS (SELECT gene, count(*) AS n FROM tx WHERE gene IS NOT NULL GROUP BY gene), h AS (SELECT gene, count(*) AS k FROM tx WHERE gene IS NOT NULL AND b IS NOT NULL GROUP BY gene) SELECT gene, coalesce(CAST(k AS DOUBLE) / n, 0) AS share FROM g FULL JOIN h USING (gene)")(
     lambda s, d: (lambda t: t.groupBy("gene").agg(F.count("*").alias("n")).join(t.where("b IS NOT NULL").groupBy("gene").agg(F.count("*").alias("k")), "gene", "full").select("gene", F.coalesce(F.try_divide(F.col("k").cast("double"), F.col("n")), F.lit(0.0)).alias("share")))(
-        tx(s, d).where("gene IS NOT NULL").select("gene", "b")
+        tx(s, d, "gene", "b").where("gene IS NOT NULL").select("gene", "b")
     )
 )
 q("join_reindex", _M + "SELECT p.gene, coalesce(sum(n), 0)::BIGINT AS n FROM gene_panel p LEFT JOIN m ON m.gene = upper(p.gene) GROUP BY p.gene")(
@@ -136,10 +136,10 @@ q("join_gene_intersect", f"WITH {COUNTS} SELECT * FROM m WHERE gene IN (SELECT {
 )
 _BOXES = [(0, 50, 250, 50, 400), (1, 200, 420, 300, 600), (2, 400, 700, 100, 900)]
 q("join_point_in_box", _TX + f"SELECT id, coalesce(max(box), -1) AS box FROM tx LEFT JOIN (VALUES {', '.join(map(str, _BOXES))}) v(box, x0, x1, y0, y1) ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY id")(
-    lambda s, d: tx(s, d).select("id", tab.case_last_wins([(F.col("x").between(x0, x1) & F.col("y").between(y0, y1), F.lit(b)) for b, x0, x1, y0, y1 in _BOXES], F.lit(-1)).alias("box"))
+    lambda s, d: tx(s, d, "x", "y").select("id", tab.case_last_wins([(F.col("x").between(x0, x1) & F.col("y").between(y0, y1), F.lit(b)) for b, x0, x1, y0, y1 in _BOXES], F.lit(-1)).alias("box"))
 )
 q("join_argmax_lookup", f"WITH {TX}, {CELLS}, ab AS (SELECT b, a, count(*) AS n FROM tx WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY b, a), best AS (SELECT b, a, n FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY n DESC, a) AS r FROM ab) WHERE r = 1), na AS (SELECT a, count(*) AS total FROM tx WHERE a IS NOT NULL GROUP BY a) SELECT b AS cell, a AS partner, n, total FROM best JOIN na USING (a)")(
-    lambda s, d: (lambda t: tab.argmax_partner(t, "b", "a").join(t.where("a IS NOT NULL").groupBy("a").agg(F.count("*").alias("total")), "a").select(F.col("b").alias("cell"), F.col("a").alias("partner"), "n", "total"))(tx(s, d).select("a", "b"))
+    lambda s, d: (lambda t: tab.argmax_partner(t, "b", "a").join(t.where("a IS NOT NULL").groupBy("a").agg(F.count("*").alias("total")), "a").select(F.col("b").alias("cell"), F.col("a").alias("partner"), "n", "total"))(tx(s, d, "a", "b").select("a", "b"))
 )
 q("join_concat_index", _C + "SELECT c.vendor_id AS cell, min(c.n_counts) AS vendor, min(n.n_counts) AS nucleus FROM cells c JOIN cells n ON n.vendor_id = c.vendor_id AND n.object = '10x_nucleus' WHERE c.object = '10x_cell' GROUP BY 1")(
     lambda s, d: (lambda o: o("10x_cell", "vendor").join(o("10x_nucleus", "nucleus"), "cell"))(lambda k, n: cells(s, d).where(F.col("object") == k).where("vendor_id IS NOT NULL").groupBy(F.col("vendor_id").alias("cell")).agg(F.min("n_counts").alias(n)))
@@ -156,26 +156,26 @@ q("agg_unpivot", _C + "SELECT id, 'prob' AS measure, prob AS value FROM cells UN
 )
 q("agg_totals", _M + "SELECT cell, sum(n)::BIGINT AS transcripts, count(*) AS genes FROM m GROUP BY cell")(lambda s, d: counts(s, d).groupBy("cell").agg(F.sum("n").alias("transcripts"), F.count("*").alias("genes")))
 q("agg_value_counts", _C + "SELECT label, object, count(*) AS n FROM cells WHERE label IS NOT NULL AND object IS NOT NULL GROUP BY label, object")(lambda s, d: cells(s, d).dropna(subset=["label", "object"]).groupBy("label", "object").agg(F.count("*").alias("n")))
-q("agg_mean_bool", _TX + "SELECT a AS cell, avg(CAST(pos AS DOUBLE)) AS share FROM tx WHERE a IS NOT NULL GROUP BY a")(lambda s, d: tx(s, d).where("a IS NOT NULL").groupBy(F.col("a").alias("cell")).agg(F.avg(F.col("pos").cast("double")).alias("share")))
+q("agg_mean_bool", _TX + "SELECT a AS cell, avg(CAST(pos AS DOUBLE)) AS share FROM tx WHERE a IS NOT NULL GROUP BY a")(lambda s, d: tx(s, d, "a", "pos").where("a IS NOT NULL").groupBy(F.col("a").alias("cell")).agg(F.avg(F.col("pos").cast("double")).alias("share")))
 q("agg_fraction", _C + "SELECT avg(CASE WHEN prob >= 0.5 THEN 1.0 ELSE 0.0 END)::DOUBLE AS confident FROM cells")(lambda s, d: cells(s, d).agg(F.avg(F.when(F.col("prob") >= 0.5, 1.0).otherwise(0.0)).alias("confident")))
-q("agg_size_max_sum", _TX + "SELECT dataset, count(*) AS size, max(qv) AS best, sum(pos)::BIGINT AS nuclear FROM tx GROUP BY dataset")(lambda s, d: tx(s, d).groupBy("dataset").agg(F.count("*").alias("size"), F.max("qv").alias("best"), F.sum("pos").alias("nuclear")))
+q("agg_size_max_sum", _TX + "SELECT dataset, count(*) AS size, max(qv) AS best, sum(pos)::BIGINT AS nuclear FROM tx GROUP BY dataset")(lambda s, d: tx(s, d, "dataset", "qv", "pos").groupBy("dataset").agg(F.count("*").alias("size"), F.max("qv").alias("best"), F.sum("pos").alias("nuclear")))
 _ROW = "greatest(CAST(n AS DOUBLE), k, u)"
 _SH = _TX + ", w AS (SELECT a AS cell, count(*) FILTER (pos = 1) AS n, count(*) FILTER (pos = 0) AS k, count(*) FILTER (b IS NULL) AS u FROM tx WHERE a IS NOT NULL GROUP BY a) "
 q("agg_idxmax_row", _SH + f"SELECT cell, CASE {_ROW} WHEN n THEN 'nuclear' WHEN k THEN 'cytoplasmic' ELSE 'unmatched' END AS most FROM w")(
     lambda s, d: (lambda w: w.select("cell", F.when((F.col("n") >= F.col("k")) & (F.col("n") >= F.col("u")), "nuclear").when(F.col("k") >= F.col("u"), "cytoplasmic").otherwise("unmatched").alias("most")))(
-        tx(s, d).where("a IS NOT NULL").groupBy(F.col("a").alias("cell")).agg(F.count_if(F.expr("pos = 1")).alias("n"), F.count_if(F.expr("pos = 0")).alias("k"), F.count_if(F.expr("b IS NULL")).alias("u"))
+        tx(s, d, "a", "pos", "b").where("a IS NOT NULL").groupBy(F.col("a").alias("cell")).agg(F.count_if(F.expr("pos = 1")).alias("n"), F.count_if(F.expr("pos = 0")).alias("k"), F.count_if(F.expr("b IS NULL")).alias("u"))
     )
 )
 q("agg_mode_label", _C + ", n AS (SELECT cluster, l1, count(*) AS n FROM cells WHERE cluster IS NOT NULL AND l1 IS NOT NULL GROUP BY ALL) SELECT cluster, l1, n FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, l1) AS r FROM n) WHERE r = 1")(
     lambda s, d: tab.argmax_partner(cells(s, d), "cluster", "l1")
 )
-q("agg_nunique", _TX + "SELECT dataset, count(DISTINCT gene) AS genes, count(DISTINCT a) AS cells FROM tx GROUP BY dataset")(lambda s, d: tx(s, d).groupBy("dataset").agg(F.count_distinct("gene").alias("genes"), F.count_distinct("a").alias("cells")))
+q("agg_nunique", _TX + "SELECT dataset, count(DISTINCT gene) AS genes, count(DISTINCT a) AS cells FROM tx GROUP BY dataset")(lambda s, d: tx(s, d, "dataset", "gene", "a").groupBy("dataset").agg(F.count_distinct("gene").alias("genes"), F.count_distinct("a").alias("cells")))
 q("agg_centroid", _TX + "SELECT a AS cell, sum(CAST(round(x * 10000) AS BIGINT))::DOUBLE / (count(*) * 10000.0::DOUBLE) AS x, sum(CAST(round(y * 10000) AS BIGINT))::DOUBLE / (count(*) * 10000.0::DOUBLE) AS y FROM tx WHERE a IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL GROUP BY a")(
-    lambda s, d: tx(s, d).dropna(subset=["a", "x", "y"]).groupBy(F.col("a").alias("cell")).agg(*((F.sum(F.round(F.col(c) * 10000).cast("bigint")).cast("double") / (F.count("*") * 10000.0)).alias(c) for c in "xy"))  # whole tenths of nm: sums don't depend on their order
+    lambda s, d: tx(s, d, "a", "x", "y").dropna(subset=["a", "x", "y"]).groupBy(F.col("a").alias("cell")).agg(*((F.sum(F.round(F.col(c) * 10000).cast("bigint")).cast("double") / (F.count("*") * 10000.0)).alias(c) for c in "xy"))  # whole tenths of nm: sums don't depend on their order
 )
 q("agg_percent_assigned", _TX + ", g AS (SELECT gene, count(*) AS n, count(a) AS k FROM tx WHERE gene IS NOT NULL GROUP BY gene) SELECT gene, 100.0::DOUBLE * k / n AS percent FROM g UNION ALL SELECT '*', 100.0::DOUBLE * sum(k)::BIGINT / sum(n)::BIGINT FROM g")(
     lambda s, d: (lambda g: g.select("gene", (100.0 * F.col("k") / F.col("n")).alias("percent")).unionByName(g.agg((100.0 * F.sum("k") / F.sum("n")).alias("percent")).select(F.lit("*").alias("gene"), "percent")))(
-        tx(s, d).where("gene IS NOT NULL").groupBy("gene").agg(F.count("*").alias("n"), F.count("a").alias("k"))
+        tx(s, d, "gene", "a").where("gene IS NOT NULL").groupBy("gene").agg(F.count("*").alias("n"), F.count("a").alias("k"))
     )
 )
 q("agg_quantile", _C + "SELECT object, quantile_cont(n_counts, 0.05) AS q05, quantile_cont(n_counts, 0.5) AS q50, quantile_cont(n_counts, 0.9) AS q90 FROM cells GROUP BY object")(
@@ -191,7 +191,7 @@ q("agg_barplot_pi", _C + "SELECT object, round(avg(n_counts), 6) AS mean, quanti
     lambda s, d: cells(s, d).groupBy("object").agg(R(F.avg("n_counts")).alias("mean"), F.percentile("n_counts", 0.25).alias("low"), F.percentile("n_counts", 0.75).alias("high"))
 )
 q("agg_boxplot", _C + "SELECT n_counts >= 20 AS big, round(quantile_cont(prob, 0.25), 6) AS q1, round(quantile_cont(prob, 0.5), 6) AS q2, round(quantile_cont(prob, 0.75), 6) AS q3 FROM cells WHERE prob IS NOT NULL AND NOT isnan(prob) AND n_counts IS NOT NULL GROUP BY 1")(
-    lambda s, d: cells(s, d).where("prob IS NOT NULL AND NOT isnan(prob) AND n_counts IS NOT NULL").groupBy((F.col("n_counts") >= 20).alias("big")).agg(*(R(F.percentile("prob", p)).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))))
+    lambda s, d: tab.quantiles(cells(s, d).where("prob IS NOT NULL AND NOT isnan(prob) AND n_counts IS NOT NULL").select((F.col("n_counts") >= 20).alias("big"), "prob"), "prob", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, ["big"]).select("big", *(R(c).alias(c) for c in ("q1", "q2", "q3")))
 )
 
 # windows and ranking

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from cellwright.operators import differential, ordering
@@ -16,34 +14,30 @@ from cellwright.plans.base import CELLS, COUNTS, SPACE_SQL, TX, Book, cells, cou
 from cellwright.plans.basic import R
 from cellwright.plans.expression import _top
 from cellwright.plans.spatial import _AREA, _pt, placed, rings
-from cellwright.runtime import cut, shared_dir, table
+from cellwright.runtime import cut, scratch, table
 from cellwright.sources import store
 
 book = Book()
 q = book.add
 
 
-def _path(s, kind):
-    return f"{shared_dir(s).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
 @q("sink_csv", f"WITH {CELLS} SELECT id, object, n_counts FROM cells WHERE n_counts IS NOT NULL AND object IS NOT NULL")
 def csv_round_trip(s, d):
-    path = _path(s, "csv")
+    path = scratch(s)
     store.write_csv(cells(s, d).where("n_counts IS NOT NULL AND object IS NOT NULL").select("id", "object", "label", "n_counts"), path)
     return store.read_csv(s, path, "id bigint, object string, label string, n_counts int", [0, 1, 3])
 
 
 @q("sink_h5ad", f"WITH {COUNTS} SELECT g.gene, count(*) AS cells, sum(n)::BIGINT AS n FROM m g GROUP BY g.gene")
 def matrix_round_trip(s, d):
-    path, m = _path(s, "matrix"), counts(s, d)
+    path, m = scratch(s), counts(s, d)
     store.write_matrix(path, counts=m, cells=mx.totals(m))
     return store.read_matrix(s, path, "counts")["counts"].groupBy("gene").agg(F.count("*").alias("cells"), F.sum("n").alias("n"))
 
 
 @q("src_geoparquet", _AREA + " SELECT dataset, cell_id, round(area, 4) AS area FROM ar")
 def polygons_round_trip(s, d):
-    path = _path(s, "polygons")
+    path = scratch(s)
     rings(s, d).select("dataset", "cell_id", store.to_wkb("xs", "ys").alias("geometry")).write.parquet(path)
     back = s.read.parquet(path).withColumn("ring", store.from_wkb("geometry"))
     xy = back.select("dataset", "cell_id", F.transform("ring", lambda p: p[0]).alias("xs"), F.transform("ring", lambda p: p[1]).alias("ys"))
@@ -52,14 +46,14 @@ def polygons_round_trip(s, d):
 
 @q("src_csv", f"WITH {CELLS} SELECT id, label FROM cells WHERE label IS NOT NULL")
 def csv_by_position(s, d):
-    path = _path(s, "csv")
+    path = scratch(s)
     store.write_csv(cells(s, d).where("label IS NOT NULL").select("object", "label", "n_counts", "id"), path)
     return store.read_csv(s, path, "object string, label string, n_counts int, id bigint", [3, 1])
 
 
 @q("src_json", f"WITH {CELLS} SELECT id, label, n_counts FROM cells")
 def json_round_trip(s, d):
-    path = _path(s, "json")
+    path = scratch(s)
     cells(s, d).select("id", "label", "n_counts").write.json(path)
     return s.read.schema("id bigint, label string, n_counts int").json(path)
 
@@ -119,7 +113,7 @@ def celltypist(s, d):
     m = cut(counts(s, d))
     genes = _genes(m)
     model, labels = models.train_annotator(m, typed(s, d), genes)
-    path = _path(s, "model")
+    path = scratch(s)
     model.write().overwrite().save(path)
     return models.annotate(models.PipelineModel.load(path), labels, m, genes)
 
@@ -137,7 +131,6 @@ def label_transfer(s, d):
 
 q("sample_group", None)(lambda s, d: models.sample_per(typed(s, d), "type", "cell", 50))
 q("sample_cap")(lambda s, d: cells(s, d).select("id", "object", "cluster").orderBy(F.xxhash64("id"), "id").limit(10_000))
-q("prelim_cell_type")(lambda s, d: mk.sensitivity(counts(s, d), typed(s, d), mk.find_markers(mk.type_gene(counts(s, d), typed(s, d)), percentage=10)).groupBy("type").agg(F.avg("value").alias("score")))
 
 
 @q("create_anndata", f"""WITH {COUNTS}, t AS (SELECT cell FROM m GROUP BY cell HAVING sum(n) BETWEEN 5 AND 2000), k AS (SELECT * FROM m WHERE cell IN (SELECT cell FROM t)),
@@ -145,7 +138,7 @@ c AS (SELECT cell, sum(n)::BIGINT AS transcripts, count(*) AS genes FROM k GROUP
 def create_anndata(s, d):
     """Cells of 5 to 2000 molecules with their totals and the number of located ones."""
     k = filter_total(counts(s, d), "cell", 5, 2000).groupBy("cell").agg(F.sum("n").alias("transcripts"), F.count("*").alias("genes"))
-    x = tx(s, d).where("a IS NOT NULL AND y IS NOT NULL").groupBy(F.col("a").alias("cell")).agg(F.count("x").alias("located"))
+    x = tx(s, d, "a", "x", "y").where("a IS NOT NULL AND y IS NOT NULL").groupBy(F.col("a").alias("cell")).agg(F.count("x").alias("located"))
     return k.join(x, "cell")
 
 

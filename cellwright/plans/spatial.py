@@ -104,7 +104,7 @@ ab AS (SELECT qid, max(CASE WHEN la = lb THEN s / nullif(n - 1, 0) END) AS a, mi
 
 # geometry
 _PT = f"WITH {TX}, pt AS (SELECT DISTINCT a AS cell, x, y FROM tx WHERE a IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL)"
-_pt = lambda s, d: tx(s, d).dropna(subset=["a", "x", "y"]).select(F.col("a").alias("cell"), "x", "y").distinct()
+_pt = lambda s, d: tx(s, d, "a", "x", "y").dropna(subset=["a", "x", "y"]).select(F.col("a").alias("cell"), "x", "y").distinct()
 q("geom_points", _PT + " SELECT cell, count(*) AS length, round(max(x) - min(x), 6) AS width, round(max(y) - min(y), 6) AS height FROM pt GROUP BY cell")(
     lambda s, d: _pt(s, d).groupBy("cell").agg(F.count("*").alias("length"), R(F.max("x") - F.min("x")).alias("width"), R(F.max("y") - F.min("y")).alias("height"))
 )
@@ -150,7 +150,7 @@ def rings_all(s, d):
 
 
 q("viewport_counts", f"WITH {TX} SELECT dataset, count(DISTINCT a) AS cells, count(*) AS molecules, count(*) FILTER (starts_with(gene, 'BLANK')) AS negative FROM tx WHERE x BETWEEN 100 AND 400 AND y BETWEEN 100 AND 500 GROUP BY dataset")(
-    lambda s, d: tx(s, d).where("x BETWEEN 100 AND 400 AND y BETWEEN 100 AND 500").groupBy("dataset").agg(F.count_distinct("a").alias("cells"), F.count("*").alias("molecules"), F.count_if(F.startswith("gene", F.lit("BLANK"))).alias("negative"))
+    lambda s, d: tx(s, d, "dataset", "a", "gene", "x", "y").where("x BETWEEN 100 AND 400 AND y BETWEEN 100 AND 500").groupBy("dataset").agg(F.count_distinct("a").alias("cells"), F.count("*").alias("molecules"), F.count_if(F.startswith("gene", F.lit("BLANK"))).alias("negative"))
 )
 q("geom_d_max", _PT + ", nn AS (SELECT a.cell, a.x, a.y, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d2 FROM pt a JOIN pt b ON a.cell = b.cell AND (a.x <> b.x OR a.y <> b.y) GROUP BY ALL) SELECT cell, round(sqrt(max(d2)), 6) AS d_max FROM nn GROUP BY cell")(
     lambda s, d: spatial_knn(_pt(s, d).select(F.xxhash64("cell", "x", "y").alias("id"), F.col("cell").alias("frame"), "x", "y"), 1, include_self=False).join(_pt(s, d).select(F.xxhash64("cell", "x", "y").alias("id"), "cell"), "id").groupBy("cell").agg(R(F.sqrt(F.max("d2"))).alias("d_max"))

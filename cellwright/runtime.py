@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -24,20 +27,30 @@ def spread(df: DataFrame, n: int, *cols) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share. Only a session in one process may do without naming it: it gets a folder of its own."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    sc = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not getattr(sc, "_cellwright_dir", None):
         sc._cellwright_dir = tempfile.mkdtemp(prefix="cellwright-")
+        atexit.register(shutil.rmtree, sc._cellwright_dir, True)
     return sc._cellwright_dir
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the session stops."""
+    path = f"{shared_dir(spark).rstrip('/')}/cellwright-{uuid.uuid4().hex}"
+    _swept(spark).append(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: ends its lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cellwright-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cellwright_path = path
@@ -46,11 +59,34 @@ def cut(df: DataFrame) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Delete a table that :func:`cut` wrote and nothing reads any more."""
-    spark, path = df.sparkSession, getattr(df, "_cellwright_path", None)
-    if path:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path := getattr(df, "_cellwright_path", None):
+        delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _swept(spark: SparkSession) -> list:
+    """Paths that this session wrote; what is left of them is deleted when the session stops."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_cellwright_paths"):
+        sc._cellwright_paths, stop = [], sc.stop
+
+        def clean() -> None:
+            if sc._jsc is not None:
+                for path in sc._cellwright_paths:
+                    try:
+                        delete(spark, path)
+                    except Exception:  # the gateway may be gone already
+                        break
+                sc._cellwright_paths.clear()
+            stop()
+
+        sc.stop = clean
+        atexit.register(clean)
+    return sc._cellwright_paths
 
 
 def usable(*coords):
