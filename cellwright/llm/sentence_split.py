@@ -2,11 +2,12 @@
 
 Method: structure first (block markup and blank lines separate; a line break separates unless the text is merely wrapped
 there; list items start anew), then candidates: runs of stops, emoji or emoticons that end a sentence without a stop, and
-blanks between Thai words. A maximum-entropy classifier (logistic regression of Spark ML over hashed features: neighbouring
-tokens, case, length, digits, script) decides each candidate that isn't the end of its unit. It is trained on reliable
-boundaries of a sample of about ``SAMPLE_DOCS`` distinct texts at most: stops before a small letter are none, unambiguous stops
-and known last words before known first words are. These words are counted in all distinct texts. Every training row is used with and without its case, for texts typed in
-one case. All documents are split whole.
+blanks between Thai words. A maximum-entropy classifier (logistic regression of Spark ML over binary features, counted and
+indexed by Spark: neighbouring tokens, case, length, digits, script) decides each candidate that isn't the end of its unit. It is
+trained on reliable boundaries of a sample of at most about ``SAMPLE_DOCS`` distinct texts, drawn by their smallest document id, and of a few fixed
+sentences, so that both kinds are always known: stops before a small letter are none, unambiguous stops and known
+last words before known first words are. These words are counted in all distinct texts. Every training row is used with
+and without its case, for texts typed in one case. All documents are split whole.
 
 Defined results: offsets are code points, without white space around the sentence; null, empty and blank texts give no
 rows, nor does text without any letter, digit or symbol; a document id that comes twice gives the rows of each delivery
@@ -16,31 +17,32 @@ once; an empty table gives no rows; very long texts take linear time.
 from __future__ import annotations
 
 import re
-import zlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwright.runtime import cut, parts, spread
+from cellwright.runtime import cut, drop, parts, spread
 
-SAMPLE_DOCS, DIM = 20_000, 1 << 14
+SAMPLE_DOCS, MIN_ROWS = 20_000, 2
 
 _BLOCK = re.compile(r"</?(?:br|p|div|li|ul|ol|table|tr|td|h[1-6]|hr|blockquote)\b[^<>]{0,200}>|\n[^\S\n]*\n\s*", re.I)
 _ITEM = re.compile(r"[^\S\n]*(?:[-*+•·‣◦–—]|\(?\d{1,3}[.)]|[a-zA-Z][.)])[^\S\n]+(?=\S)")
-_EMO = r"(?:[\U0001F000-\U0001FAFF☀-➿⭐⭕️‍]+|(?<![\w:;=])[:;=8][-^']?[)(DPpOo/|*\]\[3]+(?![A-Za-z0-9])|\^_?\^|(?<!\w)<3|(?<!\w)T_T|(?<!\w)[xX]D(?!\w))"
+_EMO = r"(?:[\U0001F000-\U0001FAFF☀-➿⭐⭕️‍]+|(?<![\w:;=])(?:[:;=][-^']?|8[-^'])[)(DPpOo/|*\]\[3]+(?![A-Za-z0-9])|\^_?\^|(?<!\w)<3|(?<!\w)T_T|(?<!\w)[xX]D(?!\w))"
 _EMO_RE = re.compile(_EMO)
 _STOPS = r"(?:[.!?…。！？｡؟۔।॥‽]|(?<=[Ͱ-Ͽἀ-῿])[;;])"
 _CLOSERS = "\"'”’»)\\]」』）】›“*_"
 _TAIL = rf"(?:[{_CLOSERS}]|\s*{_EMO}[.!?…]*)*"
 _CAND = re.compile(rf"(?P<stop>{_STOPS}+(?:\s+(?=[!?…]){_STOPS}+)*){_TAIL}|{_EMO}(?:\s*{_EMO})*[.!?…{_CLOSERS}]*|(?<=[฀-๿])\s+(?=[฀-๿])")
 _OPEN = {"(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "【": "】", "«": "»", "‹": "›", "„": "“”", "“": "”"}
+_MARKS = re.compile("[" + re.escape('"' + "".join(_OPEN) + "".join(_OPEN.values())) + "]")
 _WORD = re.compile(r"[^\W_]+(?:['’.\-][^\W_]+)*")
-_UNIT = re.compile(r"\d[.,\d]*\s*[^\W\d_]{1,4}$")
-_LAST = re.compile(r"[^\s(\[{«“„\"「『（]{1,24}$")
+#: What follows a stop: blanks, signs that open, the next word.
+_NEXT = re.compile(r"(\s*)([\"'“„«‹(\[「『（【¿¡*_\-–— ]*)([^\W_]*(?:['’\-][^\W_]+)*)")
+_NUMBER_UNIT = re.compile(r"\d[.,\d]*[^\W\d_]{1,4}")
+_BEFORE_WORD = frozenset("([{«“„\"「『（")
 #: Abbreviations that are followed by what they belong to.
 BOUND = frozenset(
     "mr mrs ms dr prof st sr sra srta rd co no nos nr vs approx ca incl inkl e.g i.e cf ch rev hrs min fig vol pp p s sec art art.-nr z.b d.h bzw vgl hrn fr "
@@ -48,23 +50,38 @@ BOUND = frozenset(
 )
 _JOINS = ("と", "って", "라고", "라며", "하고", "이라고", "고 ", "라는")
 _FULL = frozenset("!?。！？｡؟۔।॥‽;;")
+#: Always part of the training texts.
+_PRIMER = (
+    "The lid fits well. It was shut by two of us! Did it hold? Yes, it did.\nWe paid 3.50 for it, i.e. less than before. Mr. Untel saw e.g. the second one. It is fine.",
+    "Das ist gut. Es kostet ca. 5 Euro. Wir sind zufrieden! Ist es neu? Ja.",
+)
+
+
+_HEAD = re.compile(r"[⺀-鿿぀-ヿ＀-￯]|[^\s⺀-鿿぀-ヿ＀-￯]+")
 
 
 def _head(nxt: str) -> str:
     """The part of the next line that a wrapped text could not put on the line before."""
-    m = re.match(r"[⺀-鿿぀-ヿ＀-￯]|\S+", nxt.lstrip())
+    m = _HEAD.match(nxt.lstrip())
     return m.group() if m else ""
 
 
 def _width(blocks) -> int:
     """The column at which the text is wrapped, 0 if it isn't: most line breaks come where the next word has no room."""
-    breaks = [(len(x.rstrip()), len(x.rstrip()) + 1 + len(_head(y))) for ls in blocks for x, y in zip(ls, ls[1:]) if x.strip() and y.strip()]
-    best, most = 0, 1
-    for w in sorted({n for n, _ in breaks if 38 <= n <= 90}):
-        hits = sum(n <= w < full for n, full in breaks)
-        if hits > most:
+    breaks = []
+    for lines in blocks:
+        for x, y in zip(lines, lines[1:]):
+            if x.strip() and y.strip():
+                n, head = len(x.rstrip()), _head(y)
+                breaks.append((n, n + (1 if _script(head[:1]) in ("han", "kana") else 1 + len(head)), n >= (10 if _script(head[:1]) in ("han", "kana") else 20)))
+    # a break agrees with widths from its line's length to what the next word would have needed; lines shorter than any page don't count
+    ends = sorted((w, d) for n, full, wide in breaks if wide and full > n for w, d in ((n, 1), (full, -1)))
+    best = most = hits = 0
+    for w, d in ends:
+        hits += d
+        if hits > max(most, 1):
             best, most = w, hits
-    return best if 2 * most >= len(breaks) else 0
+    return best if 2 * most >= len(breaks) and (best >= 38 or 4 * most >= max(12, 3 * len(breaks))) else 0  # narrow columns by chance are common
 
 
 def _wrapped(line: str, nxt: str, width: int, cased: bool) -> bool:
@@ -96,37 +113,48 @@ def units(text: str):
 
 
 def _spans(s: str):
-    """Matched quotes and brackets, outermost only: {position of every character inside: end}, as arrays of bounds."""
+    """Matched quotes and brackets, outermost only, as bounds; a straight quote opens where a word begins and closes where one ends."""
+    if not _MARKS.search(s):
+        return []
     free = bytearray(len(s))
     for m in _EMO_RE.finditer(s):
         free[m.start() : m.end()] = b"\1" * (m.end() - m.start())
-    out, stack, straight = [], [], -1
-    for i, c in enumerate(s):
+    out, stack, awaited, straight = [], [], {}, -1
+    for m in _MARKS.finditer(s):
+        i = m.start()
         if free[i]:
             continue
+        c = s[i]
         if c == '"':
-            if straight >= 0:
+            if straight >= 0 and i and not s[i - 1].isspace():
                 out.append((straight, i))
                 straight = -1
-            else:
+            elif not s[i + 1 : i + 2].isspace() and not s[i - 1 : i].isalnum():
                 straight = i
-        elif stack and c in stack[-1][1]:
-            out.append((stack.pop()[0], i))
+            continue
+        if awaited.get(c):  # inner ones that were never closed are none
+            while True:
+                at, closers = stack.pop()
+                for x in closers:
+                    awaited[x] -= 1
+                if c in closers:
+                    break
+            out.append((at, i))
         elif c in _OPEN:
-            if len(stack) < 8:
-                stack.append((i, _OPEN[c]))
-        elif c in ")]）」』】»›”" and any(c in x for _, x in stack):
-            while c not in stack[-1][1]:
-                stack.pop()
-            out.append((stack.pop()[0], i))
+            stack.append((i, _OPEN[c]))
+            for x in _OPEN[c]:
+                awaited[x] = awaited.get(x, 0) + 1
     out.sort()
     top: list[tuple[int, int]] = []
     for a, b in out:
-        if b - a <= 400 and (not top or a > top[-1][1]):
+        if not top or a > top[-1][1]:
             top.append((a, b))
     return top
 
 
+_DIGITS, _INITIALS = re.compile(r"[\d.,:]+"), re.compile(r"(?:\w\.)*\w")
+
+
 def _norm(word: str) -> str:
     """A token as the classifier knows it: small letters, digits masked, the last signs only where words aren't spaced."""
     low = re.sub(r"\d+", "0", word.lower())
@@ -135,7 +163,7 @@ def _norm(word: str) -> str:
 
 def _first(word: str) -> str:
     low = re.sub(r"\d+", "0", word.lower())
-    return low[:2] if _script(low[:1]) in ("han", "kana") else low[:4] if _script(low[:1]) == "thai" else low[:16]
+    return low[:2] if _script(low[:1]) in ("han", "kana") else low[:4] if _script(low[:1]) == "thai" else low
 
 
 def _script(c: str) -> str:
@@ -154,58 +182,86 @@ def _case(c: str) -> str:
     return "U" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "o" if c.isalpha() else "p" if c else "-"
 
 
+def _token_before(s: str, i: int) -> int:
+    """Where the token ends at ``i`` begins: at a blank, an opening sign or a full stop of another script, or three dots back."""
+    dots, j = 0, i
+    while j and not s[j - 1].isspace() and s[j - 1] not in _BEFORE_WORD and s[j - 1] not in _FULL:
+        dots += s[j - 1] == "."
+        if dots > 3:
+            break
+        j -= 1
+    return j
+
+
 def candidates(s: str):
-    """(end, stop, last, following, gap, start of the next word) of every place in unit ``s`` where a sentence may end."""
-    spans, k = _spans(s), 0
+    """(begin, end, stop, last, sign, gap, next word, head, opened, tail, more, joined) of every place in unit ``s`` where a sentence may end."""
+    spans, k, size = _spans(s), 0, len(s.rstrip())
     item = _ITEM.match(s)
     first = item.end() if item else 0
     for m in _CAND.finditer(s, first):
-        stop, end = m.group("stop") or "", m.end()
-        while k < len(spans) and spans[k][1] < m.start():
+        start, end = m.span()
+        if end >= size:
+            break  # the end of the unit ends it
+        while k < len(spans) and spans[k][1] < start:
             k += 1
-        if k < len(spans) and spans[k][0] < m.start() and end <= spans[k][1]:
+        if k < len(spans) and spans[k][0] < start and end <= spans[k][1]:
             continue  # inside quotes or brackets
-        if end >= len(s.rstrip()):
-            continue  # the end of the unit ends it
-        rest = s[end : end + 64]
-        body = rest.lstrip()
-        gap = "s" if len(body) < len(rest) or (not stop and m.group().isspace()) else ""
-        head = body.lstrip("\"'“„«‹([「『（【¿¡*_-–— ")
-        word = _WORD.match(head)
-        before = _LAST.search(s[max(0, m.start() - 24) : m.start()])
-        opened = len(body) - len(head)
-        said = s[max(0, m.start() - 24) : m.start()]
-        last = (before.group() if before else "").strip("\"'“„«»”’*_")
-        more = "u" if _UNIT.search(said) else "i" if len(last) == 1 and last.isalpha() and re.match(r"[^\W\d_]\.", head) else ""
-        yield m.start(), end, stop or m.group().strip()[:1], last, body, gap, (word.group() if word else ""), head[:1], opened, end - m.start() - len(stop), more
-
-
-def features(c, cased: bool, starters, finals) -> list[str]:
-    _, _, stop, last, body, gap, word, head, opened, tail, more = c
-    low, nxt = _norm(last), _first(word)
+        stop = m.group("stop") or ""
+        n = _NEXT.match(s, end)
+        at = n.end(1)
+        gap = "s" if at > end or (not stop and m.group().isspace()) else ""
+        j = _token_before(s, start)
+        last = s[j:start].strip("\"'“„«»”’*_")
+        head = s[n.end(2) : n.end(2) + 1]
+        if len(last) == 1 and last.isalpha() and head.isalpha() and s[n.end(2) + 1 : n.end(2) + 2] == ".":
+            more = "i"
+        else:
+            while j and s[j - 1].isspace():
+                j -= 1
+            more = "u" if (0 < len(last) <= 4 and last.isalpha() and s[j - 1 : j].isdigit()) or _NUMBER_UNIT.fullmatch(last) else ""
+        yield start, end, stop or m.group().strip()[:1], last, s[at : at + 1], gap, n.group(3), head, n.end(2) - at, end - start - len(stop), more, s.startswith(_JOINS, at)
+
+
+def _tokens(last: str, word: str, starters, finals, memo: dict):
+    """What the features need to know of the tokens on both sides."""
+    key = (last, word)
+    if key not in memo:
+        if len(memo) > 100_000:
+            memo.clear()
+        low, nxt = _norm(last), _first(word)
+        known = ("S" if nxt in starters else "s") + ("F" if low in finals else "f") + ("B" if low in BOUND or _INITIALS.fullmatch(low) and not low.isdigit() else "b")
+        shape = "num" if _DIGITS.fullmatch(low) else "dot" if "." in low else "len" + str(min(len(low), 6))
+        memo[key] = (low, nxt, known, shape, _script(low[-1:]), len(last) == 1 and last.isupper() and low in BOUND)
+    return memo[key]
+
+
+def features(c, cased: bool, starters, finals, memo: dict) -> list[str]:
+    _, _, stop, last, sign, gap, word, head, opened, tail, more, _ = c
+    low, nxt, known, shape, script, title = _tokens(last, word, starters, finals, memo)
     kind = stop[:1] + (">1" if len(stop) > 1 else "")
     case = (_case(head) if cased else _case(head.lower()).replace("l", "?")) + ("q" if opened else "")
-    lead = body[:1] if body[:1] in ",;:-–—)»”" else ""
-    known = ("S" if nxt in starters else "s") + ("F" if low in finals else "f") + ("B" if low in BOUND or re.fullmatch(r"(?:\w\.)*\w", low) and not low.isdigit() else "b")
-    title = "T" if cased and len(last) == 1 and last.isupper() and low in BOUND else ""  # "M. Untel" isn't "1,70 m. El"
-    shape = more or "num" if more or re.fullmatch(r"[\d.,:]+", low) else "dot" if "." in low else "len" + str(min(len(low), 6))
-    script = _script(low[-1:])
-    return [
-        "bias", f"k{kind}", f"kg{kind}|{gap}", f"c{case}|{kind}|{gap}", f"kn{known}|{kind}", f"knc{known}|{case}|{gap}", f"l{low}", f"lc{low}|{case}", f"n{nxt}", f"sh{shape}|{case}|{known[0]}",
-        f"sc{script}|{_script(head)}|{kind}|{gap}", f"lead{lead}|{kind}", f"tail{tail > 0}|{case}|{gap}", f"t{title}|{case}|{kind}",
+    lead = sign if sign and sign in ",;:-–—)»”" else ""
+    names = [
+        f"k{kind}", f"kg{kind}|{gap}", f"c{case}|{kind}|{gap}", f"kn{known}|{kind}", f"knc{known}|{case}|{gap}", f"l{low}", f"lc{low}|{case}", f"n{nxt}", f"sh{more or shape}|{case}|{known[0]}",
+        f"sc{script}|{_script(head)}|{kind}|{gap}", f"tail{tail > 0}|{case}|{gap}",
     ]
+    if lead:
+        names.append(f"lead{lead}|{kind}")
+    if title and cased:
+        names.append(f"t|{case}|{kind}")  # "M. Untel" isn't "1,70 m. El"
+    return names
 
 
 def label(c, starters, finals):
     """1 or 0 where the case is reliable, else None."""
-    _, _, stop, last, body, gap, word, head, opened, tail, more = c
+    _, _, stop, last, sign, gap, word, head, opened, tail, more, joined = c
     low, nxt = _norm(last), _first(word)
     case, script = _case(head), _script(low[-1:])
     ascii_stop = stop[:1] in ".!?…" and stop[:1] != ""
     spaced = script not in ("han", "kana", "thai")
-    if body[:1] in ",;:)»”" or more == "i":
+    if sign and sign in ",;:)»”" or more == "i":
         return 0
-    if body.startswith(_JOINS) and not gap:
+    if joined and not gap:
         return 0
     if len(last) == 1 and last.isupper() and low in BOUND and stop == "." and gap and case == "U":
         return 0
@@ -229,6 +285,8 @@ def label(c, starters, finals):
             return 0
         if low in finals and (nxt in starters or case == "d"):
             return 1
+        if tail == 0 and len(low) >= 4 and last.isalpha() and (case == "o" or case == "U" and low in finals):
+            return 1  # long words are seldom short for something
         if low not in finals and nxt not in starters and (len(low) <= 7 and case in "dU" or len(low) <= 3 or number):
             return 0
     if not stop.strip() or _EMO_RE.match(stop):
@@ -241,25 +299,19 @@ def _cased(text: str) -> bool:
     return up == 0 == low or (up > 0 and low > up)
 
 
-def _index(names) -> list[int]:
-    return sorted({zlib.crc32(n.encode()) % DIM for n in names})
-
-
-def split(text: str, weights, starters, finals):
-    """(start, end) of the sentences of ``text``."""
-    cased = _cased(text)
+def split(text: str, weights: dict, starters, finals, memo: dict | None = None):
+    """(start, end) of the sentences of ``text``; ``weights`` per feature, with the intercept under the empty name."""
+    memo, cased, bias = {} if memo is None else memo, _cased(text), weights[""]
     for a, b in units(text):
         s = text[a:b]
         at = 0
         for c in candidates(s):
             so_far = s[at : c[0]]
-            if c[2][:1] in ".…" and len(c[2]) + c[2].count("…") > 1 and len(_WORD.findall(so_far)) <= 1 and sum(x.isalpha() for x in so_far) <= 4:
-                continue  # an interjection that trails off begins the sentence
-            if cased and _case(c[7]) == "l" and c[5] and c[2][:1] in ".!?…":
-                continue
-            if not so_far.strip() or not any(x.isalnum() for x in so_far):
+            if not any(map(str.isalnum, so_far)):
                 continue  # nothing said yet
-            if sum(weights[i] for i in _index(features(c, cased, starters, finals))) <= 0:
+            if c[2][:1] in ".…" and len(c[2]) + c[2].count("…") > 1 and sum(map(str.isalpha, so_far)) <= 4 and len(_WORD.findall(so_far)) <= 1:
+                continue  # an interjection that trails off begins the sentence
+            if sum(weights.get(n, 0.0) for n in features(c, cased, starters, finals, memo)) + bias <= 0:
                 continue
             yield from _trim(text, a + at, a + c[1])
             at = c[1]
@@ -283,18 +335,23 @@ def _words_at_ends(batches):
             for a, b in units(text):
                 s = text[a:b].strip()
                 s = s[m.end() :] if (m := _ITEM.match(s)) else s
-                w = _WORD.search(s[:80])
-                if w:
-                    seen["s", _first(w.group())] += 1
-                end = re.search(rf"([^\s(\[«“„\"「『（]+?)(?:{_STOPS}+|(?<=[฀-๿])){_TAIL}\s*$", s[-80:])
-                if end:
-                    seen["f", _norm(end.group(1).strip("\"'“„«»”’*_"))] += 1
+                w = _NEXT.match(s)
+                if w.group(3):
+                    seen["s", _first(w.group(3))] += 1
+                stop = None
+                for stop in _CAND.finditer(s):
+                    pass  # the last one
+                at = stop.start() if stop and stop.end() == len(s) else len(s) if _script(s[-1:]) == "thai" else 0
+                word = s[_token_before(s, at) : at].strip("\"'“„«»”’*_") if at else ""
+                if word:
+                    seen["f", _norm(word)] += 1
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen]), pa.array(list(seen.values()), pa.int64())], ["side", "word", "n"])
 
 
 def _labelled(starters, finals):
     def run(batches):
+        memo: dict = {}
         for batch in batches:
             ys, xs = [], []
             for text in batch["text"].to_pylist():
@@ -306,60 +363,60 @@ def _labelled(starters, finals):
                         if y is not None:
                             for cased in (True, False):
                                 ys.append(float(y))
-                                xs.append(_index(features(c, cased, starters, finals)))
+                                xs.append(features(c, cased, starters, finals, memo))
             if ys:
-                yield pa.RecordBatch.from_arrays([pa.array(ys), pa.array(xs, pa.list_(pa.int32()))], ["label", "index"])
+                yield pa.RecordBatch.from_arrays([pa.array(ys), pa.array(xs, pa.list_(pa.string()))], ["label", "names"])
 
     return run
 
 
 def _sample(texts: DataFrame, sample_docs: int, seed: int) -> tuple[DataFrame, int]:
-    """(about ``sample_docs`` of the distinct texts, chosen by their hash, at most; about how many distinct texts there are)."""
-    n = texts.agg(F.approx_count_distinct("text", 0.01)).first()[0]
+    """(about ``sample_docs`` of the distinct texts (text, id) at most, drawn by a hash of the id; how many distinct texts there are)."""
+    n = texts.count()
     share = min(1.0, sample_docs / max(1, n))
-    return texts.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))).distinct(), n
+    return texts.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))), n
 
 
-def train(docs: DataFrame, text: str, sample_docs: int = SAMPLE_DOCS, seed: int = 3):
+def train(docs: DataFrame, id_col: str, text: str, sample_docs: int = SAMPLE_DOCS, seed: int = 3):
     """(weights, starters, finals): words counted in all distinct texts, weights from at most about ``sample_docs`` of them.
 
     A word counts from 2 occurrences on, or from that rate in ``sample_docs`` texts, which also bounds the number of words.
     """
-    texts = docs.select(F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
+    spark = docs.sparkSession
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    texts = cut(texts.groupBy("text").agg(F.min("id").alias("id")).repartition(parts(spark)))
     some, n = _sample(texts, sample_docs, seed)
-    some = cut(some.repartition(parts(docs.sparkSession)))
     least = max(2.0, 2.0 * n / sample_docs)
-    ends = texts.distinct().mapInArrow(_words_at_ends, "side string, word string, n long").groupBy("side", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
+    ends = texts.select("text").mapInArrow(_words_at_ends, "side string, word string, n long").groupBy("side", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
     starters, finals = (frozenset(r.word for r in ends if r.side == k) for k in "sf")
-    finals = frozenset(w for w in finals if not re.fullmatch(r"[\d.,:]+", w))
-    rows = some.mapInArrow(_labelled(starters, finals), "label double, index array<int>")
-    to_vector = F.udf(lambda ix: SparseVector(DIM, ix, [1.0] * len(ix)), VectorUDT())
-    rows = cut(rows).select("label", to_vector("index").alias("features"))
-    if rows.select("label").distinct().count() < 2:  # too little text to learn from: small letters and known abbreviations don't start or end sentences
-        weights = np.zeros(DIM)
-        for kind in ("Sfb", "sfb", "SFb", "sFb", "SFB", "sFB"):
-            for stop in "!?。！？؟।॥.…":
-                weights[_index([f"kn{kind}|{stop}", f"kn{kind}|{stop}>1"])] = 1.0
-        return weights, starters, finals
-    fit = LogisticRegression(maxIter=40, regParam=1e-5, fitIntercept=False, standardization=False).fit(rows)
-    return fit.coefficients.toArray(), starters, finals
+    finals = frozenset(w for w in finals if not _DIGITS.fullmatch(w))
+    read = some.select("text").unionByName(spark.createDataFrame([(t,) for t in _PRIMER], "text string")).repartition(parts(spark))
+    rows = cut(read.mapInArrow(_labelled(starters, finals), "label double, names array<string>"))
+    drop(texts)
+    counter = CountVectorizer(inputCol="names", outputCol="features", binary=True, minDF=MIN_ROWS, vocabSize=1 << 20).fit(rows)
+    fit = LogisticRegression(maxIter=100, regParam=1e-5, standardization=False).fit(counter.transform(rows).select("label", "features"))
+    drop(rows)
+    weights = {w: float(x) for w, x in zip(counter.vocabulary, fit.coefficients.toArray()) if x}  # bounded by the sample
+    return weights | {"": float(fit.intercept)}, starters, finals
 
 
 def sentences(docs: DataFrame, id_col: str, text: str, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(id, sent_start, sent_end) of every sentence; see the module's text."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(docs, text, sample_docs))
+    model = spark.sparkContext.broadcast(train(docs, id_col, text, sample_docs))
 
     def run(batches):
-        weights, starters, finals = model.value
+        memo: dict = {}
         for batch in batches:
             ids, starts, ends = [], [], []
             for i, t in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
-                for a, b in split(t, weights, starters, finals):
+                for a, b in split(t, *model.value, memo):
                     ids.append(i)
                     starts.append(a)
                     ends.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["id", "sent_start", "sent_end"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    return spread(rows, parts(spark, 4), F.xxhash64("id")).mapInArrow(run, "id long, sent_start int, sent_end int").distinct()
+    out = spread(rows, parts(spark, 4), F.xxhash64("id")).mapInArrow(run, "id long, sent_start int, sent_end int")
+    unique = rows.groupBy("id").count().where("count > 1").isEmpty()  # texts don't move for this
+    return out if unique else out.distinct()

@@ -301,7 +301,7 @@ def test_mix(frame):
 @pytest.fixture(scope="session")
 def model(spark):
     docs = spark.read.parquet(f"{DATA.rpartition('/')[0]}/sf0.01/documents.parquet")
-    return train(docs, "text")
+    return train(docs, "doc_id", "text")
 
 
 @pytest.mark.parametrize(
