@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellwright.operators.descent import neighbour_descent
 from cellwright.runtime import cut, drop, parts
 
 #: What a round must add to a group's modularity to count as a rise.
@@ -26,19 +27,20 @@ def jaccard_edges(knn: DataFrame) -> DataFrame:
     return both.select("u", "v", (shared.cast("double") / (F.size("a") + F.size("b") - shared)).alias("w"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, small: int = SMALL, resolution: float = 1.0) -> DataFrame:
     """(loc, c): modularity communities. ``nodes``: loc, g; ``edges``: g, u, v, w in both directions, no loops.
 
     Rounds go on until a group's modularity has risen by no more than ``RISE`` in two of them, with the best labels kept;
     levels until one unites nothing. A group of at most ``small`` edges, given or left by a level, is finished in one task.
     Edges may name a ``block`` of their ``u``, a part of its group that fits into a task: then every block finds its own
-    communities first, with degrees and weight of the whole graph, and the further levels unite them across blocks.
+    communities first, with degrees and weight of the whole graph, and the further levels unite them across blocks. A
+    ``resolution`` above 1 asks for smaller communities.
     """
     member = cut(nodes.select("loc", F.col("loc").alias("c")))
     weight = cut(edges.groupBy("g").agg(F.sum("w").alias("all")))
     work, level = edges.select("g", "u", "v", "w"), 0
     if "block" in edges.columns:
-        label = cut(_inside(edges.select("g", "block", "u", "v", "w"), weight))
+        label = cut(_inside(edges.select("g", "block", "u", "v", "w"), weight, resolution))
         wide = edges.groupBy("g").agg((F.max("block") > F.min("block")).alias("wide")).where("wide").select("g")
         work = cut(_fold(work.join(wide, "g", "left_semi"), label))
         member = _follow(member, label)
@@ -46,9 +48,9 @@ def communities(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataF
     while not work.isEmpty():
         size = cut(work.groupBy("g").agg(F.count("*").alias("n")))
         few, many = (size.where(f"n {op} {small}").select("g") for op in ("<=", ">"))
-        done = _inside(work.join(few, "g", "left_semi").withColumn("block", F.lit(0)), weight)
+        done = _inside(work.join(few, "g", "left_semi").withColumn("block", F.lit(0)), weight, resolution)
         big = work.join(many, "g", "left_semi")
-        moved = None if many.isEmpty() else _moves(big, weight.join(many, "g", "left_semi"), level)
+        moved = None if many.isEmpty() else _moves(big, weight.join(many, "g", "left_semi"), level, resolution)
         label = cut(done if moved is None else done.unionByName(moved))
         member, folded = _follow(member, label), None
         if moved is not None:
@@ -78,32 +80,35 @@ def _fold(work: DataFrame, label: DataFrame) -> DataFrame:
     return work.join(up("u"), "u").join(up("v"), "v").groupBy("g", F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w"))
 
 
-def _inside(edges: DataFrame, weight: DataFrame) -> DataFrame:
+def _inside(edges: DataFrame, weight: DataFrame, resolution: float) -> DataFrame:
     """(n, g, c): the communities that each block of (g, block, u, v, w) finds in one task."""
     rows = edges.join(weight, "g").select("g", "block", "u", "v", "w", "all")
-    return rows.repartition(parts(edges.sparkSession), "g", "block").groupBy("g", "block").applyInPandas(_finish, "n long, g long, c long")
+    return rows.repartition(parts(edges.sparkSession), "g", "block").groupBy("g", "block").applyInPandas(_finish(resolution), "n long, g long, c long")
 
 
-def _finish(t):
+def _finish(resolution: float):
     """(n, g, c) of one block: single nodes move in turn, then their communities, until nothing more is gained."""
     import pandas as pd
 
-    u, v, w = (t[c].to_numpy() for c in ("u", "v", "w"))
-    ids, u = np.unique(u, return_inverse=True)
-    label, n, total, deg = np.arange(len(ids)), len(ids), float(t["all"].iloc[0]), np.bincount(u, w)
-    at = np.minimum(np.searchsorted(ids, v), n - 1)
-    here = ids[at] == v
-    u, v, w = u[here], at[here], w[here]
-    while True:
-        names, step = np.unique(_pass_nodes(u, v, w, deg, total), return_inverse=True)
-        label, m = step[label], len(names)
-        if m == n:
-            break
-        deg = np.bincount(step, deg, m)
-        key, at = np.unique(step[u] * m + step[v], return_inverse=True)
-        u, v, w, n = key // m, key % m, np.bincount(at, w, len(key)), m
-    least = ids[np.unique(label, return_index=True)[1]]  # ids rise, so the first is the smallest
-    return pd.DataFrame({"n": ids, "g": t["g"].iloc[0], "c": least[label]})
+    def run(t):
+        u, v, w = (t[c].to_numpy() for c in ("u", "v", "w"))
+        ids, u = np.unique(u, return_inverse=True)
+        label, n, total, deg = np.arange(len(ids)), len(ids), float(t["all"].iloc[0]), np.bincount(u, w)
+        at = np.minimum(np.searchsorted(ids, v), n - 1)
+        here = ids[at] == v
+        u, v, w = u[here], at[here], w[here]
+        while True:
+            names, step = np.unique(_pass_nodes(u, v, w, deg, total / resolution), return_inverse=True)
+            label, m = step[label], len(names)
+            if m == n:
+                break
+            deg = np.bincount(step, deg, m)
+            key, at = np.unique(step[u] * m + step[v], return_inverse=True)
+            u, v, w, n = key // m, key % m, np.bincount(at, w, len(key)), m
+        least = ids[np.unique(label, return_index=True)[1]]  # ids rise, so the first is the smallest
+        return pd.DataFrame({"n": ids, "g": t["g"].iloc[0], "c": least[label]})
+
+    return run
 
 
 def _pass_nodes(u, v, w, degree, total: float) -> list[int]:
@@ -146,7 +151,7 @@ def _pass_nodes(u, v, w, degree, total: float) -> list[int]:
     return c
 
 
-def _moves(work: DataFrame, weight: DataFrame, level: int) -> DataFrame:
+def _moves(work: DataFrame, weight: DataFrame, level: int, resolution: float) -> DataFrame:
     """(n, g, c): the nodes of one level with the labels of highest modularity that the rounds came to."""
     degree = cut(work.groupBy("g", "u").agg(F.sum("w").alias("deg")))  # loops count, as weight inside
     label = cut(degree.select(F.col("u").alias("n"), "g", F.col("u").alias("c"), F.col("u").alias("top")))
@@ -161,9 +166,9 @@ def _moves(work: DataFrame, weight: DataFrame, level: int) -> DataFrame:
         options = toward.unionByName(mine.select("u", F.col("now").alias("c"), F.lit(0.0).alias("w"))).groupBy("u", "c").agg(F.sum("w").alias("w"))
         options = options.join(mine, "u").join(total, "c").join(weight, "g")
         here = F.col("c") == F.col("now")
-        gain = F.col("w") - F.col("deg") * (F.col("tot") - F.when(here, F.col("deg")).otherwise(0.0)) / F.col("all")
+        gain = F.col("w") - resolution * F.col("deg") * (F.col("tot") - F.when(here, F.col("deg")).otherwise(0.0)) / F.col("all")
         # what the labels of this round are worth: weight inside, without loops, less what the degrees of a community let expect
-        worth = F.max(F.when(here, (F.col("w") - F.col("deg") * F.col("tot") / F.col("all")) / F.col("all")))
+        worth = F.max(F.when(here, (F.col("w") - resolution * F.col("deg") * F.col("tot") / F.col("all")) / F.col("all")))
         best = options.groupBy("u", "g", "now", "top").agg(F.max(F.struct(F.round(gain, 9).alias("gain"), (-F.col("c")).alias("minus"))).alias("b"), worth.alias("q"))
         # halves move in turn, so that two never just swap; they are drawn anew for every two rounds
         turn = F.pmod(F.xxhash64("u", F.lit(level), F.lit(r // 2)), F.lit(2)) == r % 2
@@ -212,3 +217,17 @@ def size_labels(member: DataFrame, least: int) -> DataFrame:
     sizes = member.groupBy("c").agg(F.count("*").alias("n"))
     w = Window.orderBy(F.desc("n"), "c")  # one row per community
     return member.join(sizes.withColumn("label", F.when(F.col("n") <= least, -1).otherwise(F.row_number().over(w) - 1)).select("c", "label"), "c").select("loc", "label")
+
+
+def neighbour_clusters(v: DataFrame, k: int, resolution: float = 1.0, least: int = -1) -> DataFrame:
+    """(id, label) of vectors (id, v): communities of the overlap-weighted graph of about the k nearest neighbours, by falling size."""
+    rows = cut(v.select(F.lit(0).cast("long").alias("g"), F.col("id").alias("loc"), F.col("v").cast("array<double>").alias("vec")).dropna())
+    dim = rows.select(F.max(F.size("vec"))).first()[0] or 1
+    box = rows.agg(*(F.array(*(f(F.col("vec")[i]) for i in range(dim))).alias(n) for f, n in ((F.min, "low"), (F.max, "high"))))
+    near = neighbour_descent(rows.crossJoin(F.broadcast(box)), dim, k)
+    lists = near.select(F.col("u").alias("id"), F.col("v").alias("nb")).unionByName(rows.select(F.col("loc").alias("id"), F.col("loc").alias("nb")))
+    e = cut(jaccard_edges(lists))
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    block = near.groupBy("u").agg(F.max("block").alias("block"))
+    work = cut(both.join(block, "u", "left").select(F.lit(0).cast("long").alias("g"), "u", "v", "w", F.coalesce("block", F.lit(-1)).alias("block")))
+    return size_labels(communities(rows.select("loc", "g"), work, resolution=resolution), least).withColumnRenamed("loc", "id")

@@ -19,12 +19,12 @@ from cellwright.runtime import cut, parts
 OUT = "id long, nb long, rank int, d2 double"
 
 
-def _tile(k: int, include_self: bool, cells: int = 4_000_000):
+def _tile(k: int, include_self: bool, marked: bool, cells: int = 4_000_000):
     def run(t: pa.Table) -> pa.Table:
         ids, x, y = (t[c].to_numpy() for c in ("id", "x", "y"))
-        ask, far = t["ask"].to_numpy(zero_copy_only=False), t["far"].to_numpy()
+        ask, far, mark = t["ask"].to_numpy(zero_copy_only=False), t["far"].to_numpy(), t["mark"].to_numpy(zero_copy_only=False)
         order = np.argsort(ids)
-        ids, x, y, ask, far = ids[order], x[order], y[order], ask[order], far[order]
+        ids, x, y, ask, far, mark = ids[order], x[order], y[order], ask[order], far[order], mark[order]
         rows = np.flatnonzero(ask)
         out: list[tuple] = []
         step = max(1, cells // max(1, len(ids)))
@@ -51,6 +51,11 @@ def _tile(k: int, include_self: bool, cells: int = 4_000_000):
             np.maximum.at(worst, hit_r, dd)
             sure = np.where(have >= k, worst <= far[r] ** 2, np.isinf(far[r]))
             ok = sure[hit_r]
+            if marked:  # of the k nearest, only the first that is marked and elsewhere; a row without one says so
+                ok &= mark[hit_c] & (dd > 0)
+                ok[ok] = np.diff(hit_r[ok], prepend=-1) > 0
+                none = np.setdiff1d(np.flatnonzero(sure), hit_r[ok])
+                out.append((ids[r[none]], np.full(len(none), -1), np.zeros(len(none), np.int32), np.full(len(none), np.inf)))
             out.append((ids[r[hit_r[ok]]], ids[hit_c[ok]], rank[ok].astype(np.int32), dd[ok]))
             lost = np.flatnonzero(~sure)  # asked again with a wider margin
             if len(lost):
@@ -61,11 +66,21 @@ def _tile(k: int, include_self: bool, cells: int = 4_000_000):
     return run
 
 
-def spatial_knn(points: DataFrame, k: int, *, include_self: bool = True, tile_points: int = 1000) -> DataFrame:
+def nearest_marked(points: DataFrame, k: int) -> DataFrame:
+    """(id, d2) of all points (id, frame, x, y, mark): squared distance to the nearest marked one of the k nearest, those at the same place left out; null if there is none.
+
+    The k neighbours themselves never leave the tasks that find them.
+    """
+    found = spatial_knn(points, k, tile_points=max(1000, 2 * k), marked=True)
+    return found.groupBy("id").agg(F.min("d2").alias("d2")).select("id", F.when(F.col("d2") < float("inf"), F.col("d2")).alias("d2"))
+
+
+def spatial_knn(points: DataFrame, k: int, *, include_self: bool = True, tile_points: int = 1000, marked: bool = False) -> DataFrame:
     """(id, nb, rank, d2) of all points (id, frame, x, y): the k nearest in their frame, rank from 0, squared distance."""
     spark = points.sparkSession
     n = parts(spark, 4)
-    pts = points.select(F.col("id").cast("long").alias("id"), F.xxhash64("frame").alias("g"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna()
+    mark = F.coalesce(F.col("mark"), F.lit(False)) if marked else F.lit(False)
+    pts = points.select(mark.alias("mark"), F.col("id").cast("long").alias("id"), F.xxhash64("frame").alias("g"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna()
     box = pts.groupBy("g").agg(F.count("*").alias("n"), *(f(c).alias(f"{a}{c}") for c in "xy" for f, a in ((F.min, "lo"), (F.max, "hi"))))
     area = F.greatest(F.lit(1e-9), (F.col("hix") - F.col("lox")) * (F.col("hiy") - F.col("loy")))
     side = F.sqrt(area * tile_points / F.greatest(F.col("n"), F.lit(tile_points)))
@@ -84,19 +99,23 @@ def spatial_knn(points: DataFrame, k: int, *, include_self: bool = True, tile_po
         home = (tile(F.col("x")) == F.col("tx")) & (tile(F.col("y")) == F.col("ty"))
         inner = lambda c, t: F.least(F.col(c) - F.col(t) * F.col("side"), (F.col(t) + 1) * F.col("side") - F.col(c))
         far = F.when(F.col("whole"), F.lit(float("inf"))).otherwise(F.least(inner("x", "tx"), inner("y", "ty")) + margin)
-        rows = spread.select("g", "tx", "ty", "id", "x", "y", F.coalesce(F.col("ask") & home, F.lit(False)).alias("ask"), far.alias("far"))
+        rows = spread.select("g", "tx", "ty", "id", "x", "y", "mark", F.coalesce(F.col("ask") & home, F.lit(False)).alias("ask"), far.alias("far"))
         key = ["g", "tx", "ty"]
-        found = cut(rows.repartition(n, *key).groupBy(*key).applyInArrow(_tile(k, include_self), OUT))
+        found = cut(rows.repartition(n, *key).groupBy(*key).applyInArrow(_tile(k, include_self, marked), OUT))
         out.append(found.where("rank >= 0"))
         asked = found.where("rank < 0").select("id").withColumn("ask", F.lit(True))
         if asked.isEmpty():
             break
     else:  # outliers: each asks all blocks of its frame
-        block = told.select("g", "id", "x", "y", F.lit(False).alias("ask"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("b"))
-        sent = told.join(asked, "id").select("g", "id", "x", "y", F.lit(True).alias("ask"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("b"))
+        block = told.select("g", "id", "x", "y", "mark", F.lit(False).alias("ask"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("b"))
+        sent = told.join(asked, "id").select("g", "id", "x", "y", "mark", F.lit(True).alias("ask"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("b"))
         each = block.unionByName(sent).groupBy("g", "b").applyInArrow(_block(k, include_self), OUT)
         w = Window.partitionBy("id").orderBy("d2", "nb")
-        out.append(each.withColumn("rank", (F.row_number().over(w) - 1).cast("int")).where(F.col("rank") < k))
+        last = each.withColumn("rank", (F.row_number().over(w) - 1).cast("int")).where(F.col("rank") < k)
+        if marked:
+            hit = last.join(told.where("mark").select(F.col("id").alias("nb"), F.lit(True).alias("hit")), "nb", "left")
+            last = hit.select("id", "nb", "rank", F.when(F.col("hit") & (F.col("d2") > 0), F.col("d2")).otherwise(F.lit(float("inf"))).alias("d2"))
+        out.append(last)
     every = out[0]
     for f in out[1:]:
         every = every.unionByName(f)

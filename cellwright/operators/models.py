@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.pipeline import Pipeline
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellwright.operators.matrix import log1p, normalize_total
+from cellwright.operators.descent import neighbour_descent
+from cellwright.operators.matrix import normalize_total
+from cellwright.operators.tables import first_per
+from cellwright.runtime import cut
 
 
 def sample_per(df: DataFrame, key: str, id_col: str, most: int, seed: int = 0) -> DataFrame:
@@ -20,12 +23,12 @@ def sample_per(df: DataFrame, key: str, id_col: str, most: int, seed: int = 0) -
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r")
 
 
-def features(m: DataFrame, genes: list[str]) -> DataFrame:
-    """(cell, features): log-normalised sparse vector of a cell over ``genes``; a cell without any is a zero vector."""
-    place = {g: i for i, g in enumerate(genes)}
-    vec = F.udf(lambda xs: SparseVector(len(place), sorted((place[x["gene"]], float(x["v"])) for x in xs if x["gene"] in place)), VectorUDT())
-    values = log1p(normalize_total(m, 1000.0)).select("cell", F.struct("gene", F.col("log_norm").alias("v")).alias("x"))
-    return values.groupBy("cell").agg(vec(F.collect_list("x")).alias("features"))  # at most one entry per gene
+def features(m: DataFrame, genes: list[str], target: float | None = 1000.0, log: bool = True) -> DataFrame:
+    """(cell, features): normalised (and logged) vector of a cell over ``genes``, the panel's vocabulary; zeros where a gene is absent."""
+    values = normalize_total(m, target).withColumn("v", F.log1p("norm") if log else F.col("norm"))
+    held = values.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("gene", "v"))).alias("x"))  # at most one entry per gene
+    row = F.transform(F.array(*map(F.lit, genes)), lambda g: F.coalesce(F.try_element_at("x", g), F.lit(0.0)))
+    return held.select("cell", array_to_vector(row).alias("features"))
 
 
 def train_annotator(m: DataFrame, typed: DataFrame, genes: list[str], per_type: int = 5000) -> tuple[PipelineModel, list[str]]:
@@ -44,10 +47,45 @@ def annotate(model: PipelineModel, labels: list[str], m: DataFrame, genes: list[
     return p.select("cell", F.element_at(names, F.col("i") + 1).alias("type"), F.array_max("p").alias("probability"), entropy.alias("entropy"))
 
 
-def project(v: DataFrame, k: int, column: str = "v") -> tuple[DataFrame, list[float]]:
-    """(id, pcs): centred projection on the first ``k`` components, and their shares of variance."""
-    rows = v.select("id", array_to_vector(F.col(column).cast("array<double>")).alias("x"))
-    model = PCA(k=k, inputCol="x", outputCol="pc").fit(rows)
-    pcs = model.transform(rows).select("id", vector_to_array("pc").alias("pcs"))
+def components_to_keep(shares, share: float | None = None) -> int:
+    """How many components: where their cumulative variance is nearest to ``share``, by default at its knee; one at least."""
+    c = np.cumsum(shares)
+    if share is not None:
+        return max(1, int(np.abs(c - share).argmin()))
+    run, rise = len(c) - 1, c[-1] - c[0]
+    return max(1, int(np.abs(run * (c - c[0]) - rise * np.arange(len(c))).round(9).argmax()))
+
+
+def fit_projection(rows: DataFrame, column: str, share: float | None = None):
+    """(model, number of components) of vectors: all components are fitted, then chosen by :func:`components_to_keep`."""
+    dim = len(rows.select(column).first()[0])
+    model = PCA(k=dim, inputCol=column, outputCol="pc").fit(rows)
+    return model, components_to_keep(np.array([float(x) for x in model.explainedVariance]), share)
+
+
+def project(v: DataFrame, column: str = "v", share: float | None = None) -> tuple[DataFrame, int]:
+    """(id, pcs): centred projection on the first components, and how many were kept."""
+    rows = cut(v.select("id", F.col(column).cast("array<double>").alias("x"))).select("id", array_to_vector("x").alias("x"))
+    model, k = fit_projection(rows, "x", share)
+    pcs = model.transform(rows).select("id", F.slice(vector_to_array("pc"), 1, k).alias("pcs"))
     mean = F.broadcast(pcs.agg(F.array(*(F.avg(F.element_at("pcs", i + 1)) for i in range(k))).alias("mean")))
-    return pcs.crossJoin(mean).select("id", F.zip_with("pcs", "mean", lambda a, b: a - b).alias("pcs")), [float(x) for x in model.explainedVariance]
+    return pcs.crossJoin(mean).select("id", F.zip_with("pcs", "mean", lambda a, b: a - b).alias("pcs")), k
+
+
+def transfer_labels(ref: DataFrame, typed: DataFrame, query: DataFrame, genes: list[str], k: int = 30) -> DataFrame:
+    """(cell, type, share): the most frequent type among the reference cells within the k nearest cells of either side.
+
+    Components are fitted on the reference; both sides are projected on them and share one graph of neighbours. Ties go to
+    the smaller name; a query cell without a typed reference cell among its neighbours gets no row.
+    """
+    side = lambda m, is_ref: features(m, genes, 1e4).select("cell", F.lit(is_ref).alias("ref"), F.col("features").alias("x"))
+    known = side(ref, True)
+    model, keep = fit_projection(known, "x")
+    rows = model.transform(known.unionByName(side(query, False))).select("cell", "ref", F.slice(vector_to_array("pc"), 1, keep).alias("vec"))
+    rows = cut(rows.withColumn("loc", F.monotonically_increasing_id()).withColumn("g", F.lit(0).cast("long")))
+    box = rows.agg(*(F.array(*(f(F.col("vec")[i]) for i in range(keep))).alias(n) for f, n in ((F.min, "low"), (F.max, "high"))))
+    near = neighbour_descent(rows.select("g", "loc", "vec").crossJoin(F.broadcast(box)), keep, k)
+    voters = rows.where("ref").join(typed, "cell").select(F.col("loc").alias("v"), "type")
+    votes = near.join(rows.where("NOT ref").select(F.col("loc").alias("u"), "cell"), "u").join(voters, "v").groupBy("cell", "type").agg(F.count("*").alias("n"))
+    votes = votes.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("cell")))
+    return first_per(votes, ["cell"], F.desc("n"), "type").select("cell", "type", "share")

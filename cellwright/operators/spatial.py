@@ -18,15 +18,10 @@ def neighbour_labels(knn: DataFrame, labels: DataFrame) -> DataFrame:
     return knn.join(labels.withColumnRenamed("id", "nb"), "nb").groupBy("id", "label").agg(F.count("*").alias("n"))
 
 
-def distance_to(knn: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(id, d2): squared distance to the nearest of ``chosen`` (id) among the neighbours, itself and cells at one place skipped; null if none."""
-    hit = knn.where("d2 > 0").join(chosen.select(F.col("id").alias("nb")), "nb", "left_semi").groupBy("id").agg(F.min("d2").alias("d2"))
-    return knn.select("id").distinct().join(hit, "id", "left")
-
-
-def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    ranked = average_rank(average_rank(df.select(a, b).dropna().withColumn("__one", F.lit(1)), a, ["__one"], "ra"), b, ["__one"], "rb")
-    return ranked.agg(F.corr("ra", "rb").alias("rho"), F.count("*").alias("n"))
+def spearman(df: DataFrame, a: str, b: str, group: list[str]) -> DataFrame:
+    """(group, rho, n): correlation of average ranks within groups, rows with a null left out."""
+    ranked = average_rank(average_rank(cut(df.select(*group, a, b).dropna()), a, group, "ra"), b, group, "rb")
+    return ranked.groupBy(*group).agg(F.corr("ra", "rb").alias("rho"), F.count("*").alias("n"))
 
 
 def autocorrelation(m: DataFrame, knn: DataFrame, genes: DataFrame) -> DataFrame:

@@ -68,3 +68,10 @@ def argmax_partner(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, n): the most frequent value of each key, ties to the smaller; nulls don't count."""
     n = df.dropna(subset=[key, value]).groupBy(key, value).agg(F.count("*").alias("n"))
     return first_per(n, [key], F.desc("n"), value)
+
+
+def literal_list(text: Column) -> Column:
+    """A list literal of strings ("['a', 'b']") as an array; null for text without brackets, empty for an empty list."""
+    inner = F.regexp_extract(text, r"(?s)^\s*\[(.*)\]\s*$", 1)
+    items = F.regexp_extract_all(inner, F.lit(r"""'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)\""""), F.lit(0))
+    return F.when(text.rlike(r"(?s)^\s*\[.*\]\s*$"), F.transform(items, lambda x: F.substring(x, F.lit(2), F.length(x) - 2)))

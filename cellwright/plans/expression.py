@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwright.operators import markers as mk
@@ -215,15 +217,56 @@ q("celltype_proportions", f"{_CELLS} SELECT object, label, count(*) AS n FROM ce
 q("umi_quantiles", f"{_CELLS} SELECT object, quantile_cont(n_counts, 0.05) AS q05, quantile_cont(n_counts, 0.25) AS q25, quantile_cont(n_counts, 0.05) FILTER (n_counts > 10) AS q05_over, quantile_cont(n_counts, 0.25) FILTER (n_counts > 10) AS q25_over FROM cells GROUP BY object")(
     lambda s, d: cells(s, d).withColumn("over", F.when(F.col("n_counts") > 10, F.col("n_counts"))).groupBy("object").agg(*(F.percentile(c, p).alias(n) for c, p, n in (("n_counts", 0.05, "q05"), ("n_counts", 0.25, "q25"), ("over", 0.05, "q05_over"), ("over", 0.25, "q25_over"))))
 )
-q("neutrophil_vs_rest", f"{_CELLS} SELECT CASE WHEN cluster = 2 THEN 'Chosen' ELSE 'Rest' END AS kind, count(*) AS cells, sum(n_counts)::BIGINT AS counts, CAST(count(*) FILTER (label IS NOT NULL) AS DOUBLE) / count(*) AS labelled FROM cells GROUP BY 1")(
-    lambda s, d: cells(s, d).groupBy(F.when(F.col("cluster") == 2, "Chosen").otherwise("Rest").alias("kind")).agg(F.count("*").alias("cells"), F.sum("n_counts").alias("counts"), (F.count("label").cast("double") / F.count("*")).alias("labelled"))
+_KIND = "CASE WHEN {0} = 2 THEN 'Chosen' ELSE 'Rest' END"
+q("neutrophil_vs_rest", f"""{_M}, {CELLS}, nf AS (SELECT a AS cell, CAST(sum(pos) AS DOUBLE) / count(*) AS f FROM tx WHERE a IS NOT NULL GROUP BY a), pk AS (SELECT cluster, gene, sum(n) AS n FROM m JOIN cells ON vendor_id = cell AND object = '10x_cell' WHERE cluster IS NOT NULL GROUP BY ALL),
+pm AS (SELECT cluster, count(*) AS found, count(*) FILTER (gene IN (SELECT upper(gene) FROM gene_panel)) AS panel FROM pk GROUP BY cluster)
+SELECT 'counts' AS measure, {_KIND.format("cluster")} AS kind, count(*) AS n, round(avg(n_counts), 6) AS value FROM cells WHERE object = 'segger' AND n_counts IS NOT NULL AND cluster IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'percent nuclear', {_KIND.format("cluster")}, count(*), round(avg(f * 100), 6) FROM cells JOIN nf ON cell = vendor_id WHERE object = 'segger' AND cluster IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'panel genes', {_KIND.format("cluster")}, count(*), round(avg(panel), 6) FROM pm GROUP BY ALL
+UNION ALL SELECT 'percent in nuclei', {_KIND.format("cluster")}, count(*), round(avg(CASE WHEN vendor_id IN (SELECT vendor_id FROM cells WHERE object = '10x_nucleus' AND vendor_id IS NOT NULL) THEN 100.0 ELSE 0 END)::DOUBLE, 6) FROM cells WHERE object = 'segger' AND cluster IS NOT NULL AND vendor_id IS NOT NULL GROUP BY ALL""")(
+    lambda s, d: _chosen_vs_rest(s, d)
 )
+
+
+def _chosen_vs_rest(s, d):
+    """Counts, nuclear share, panel genes and share found in the nuclei's object, of the chosen cluster and of the rest."""
+    c = cut(cells(s, d).where("cluster IS NOT NULL"))
+    own = c.where("object = 'segger'")
+    nuclear = tx(s, d, "a", "pos").where("a IS NOT NULL").groupBy(F.col("a").alias("vendor_id")).agg((F.sum("pos").cast("double") / F.count("*") * 100).alias("v"))
+    panel = table(s, d, "gene_panel").select(F.upper("gene").alias("gene"), F.lit(1).alias("hit")).distinct()
+    seen = counts(s, d).join(c.where("object = '10x_cell'").select(F.col("vendor_id").alias("cell"), "cluster"), "cell").select("cluster", "gene").distinct()
+    nuclei = cells(s, d).where("object = '10x_nucleus' AND vendor_id IS NOT NULL").select("vendor_id", F.lit(100.0).alias("hit")).distinct()
+    frames = {
+        "counts": own.where("n_counts IS NOT NULL").select("cluster", F.col("n_counts").cast("double").alias("v")),
+        "percent nuclear": own.join(nuclear, "vendor_id").select("cluster", "v"),
+        "panel genes": seen.join(panel, "gene", "left").groupBy("cluster").agg(F.count("hit").cast("double").alias("v")),
+        "percent in nuclei": own.where("vendor_id IS NOT NULL").join(nuclei, "vendor_id", "left").select("cluster", F.coalesce("hit", F.lit(0.0)).alias("v")),
+    }
+    every = reduce(DataFrame.unionByName, (f.select(F.lit(k).alias("measure"), F.when(F.col("cluster") == 2, "Chosen").otherwise("Rest").alias("kind"), "v") for k, f in frames.items()))
+    return every.groupBy("measure", "kind").agg(F.count("*").alias("n"), R(F.avg("v")).alias("value"))
+
+
 q("compartment_by_label", "SELECT label, compartment FROM (SELECT label, compartment, row_number() OVER (PARTITION BY label ORDER BY marker_id, compartment) AS r FROM marker_annotations WHERE label IS NOT NULL AND compartment IS NOT NULL) WHERE r = 1")(
     lambda s, d: tab.first_per(table(s, d, "marker_annotations").where("label IS NOT NULL AND compartment IS NOT NULL"), ["label"], "marker_id", "compartment").select("label", "compartment")
 )
-q("marker_aggregation", "SELECT DISTINCT upper(trim(a.gene)) AS gene, t.name AS label, t.level_1, t.level_2, a.source FROM marker_annotations a JOIN cell_types t ON lower(trim(a.label)) = lower(t.name) WHERE a.gene IS NOT NULL AND trim(a.gene) <> ''")(
-    lambda s, d: table(s, d, "marker_annotations").where("gene IS NOT NULL AND trim(gene) <> ''").select(F.upper(F.trim("gene")).alias("gene"), F.lower(F.trim("label")).alias("k"), "source").join(table(s, d, "cell_types").select(F.lower("name").alias("k"), F.col("name").alias("label"), "level_1", "level_2"), "k").select("gene", "label", "level_1", "level_2", "source").distinct()
-)
+_SPOKEN = "lower(trim(regexp_replace({0}, '" + SPACE_SQL.replace("{", "{{").replace("}", "}}") + "', ' ', 'g')))"
+q("marker_aggregation", f"""WITH g AS (SELECT *, {GENE_SQL.format("gene")} AS sym FROM marker_annotations), names AS (SELECT lower(name) AS said, cell_type_id FROM cell_types), others AS (SELECT lower(unnest(aliases)) AS said, cell_type_id FROM cell_types),
+u AS (SELECT sym AS gene, source, cell_type_id FROM g JOIN names ON said = {_SPOKEN.format("label")} UNION SELECT sym, source, cell_type_id FROM g JOIN others ON said = {_SPOKEN.format("label")} UNION SELECT sym, source, cell_type_id FROM g JOIN names ON said = {_SPOKEN.format('"group"')})
+SELECT u.gene, t.name AS label, t.compartment, u.source, t.level_1, t.level_2 FROM u JOIN cell_types t USING (cell_type_id) WHERE u.gene IS NOT NULL""")(lambda s, d: _markers(s, d))
+
+
+def _markers(s, d):
+    """Markers of three readings - labels by name, labels by alias, groups by name - united over their common columns, named and levelled by the reference list."""
+    spoken = lambda c: F.lower(F.trim(F.regexp_replace(F.col(c), SPACE, " ")))
+    g = table(s, d, "marker_annotations").select(gene("gene").alias("gene"), "source", spoken("label").alias("label"), spoken("`group`").alias("group")).where("gene IS NOT NULL")
+    types = table(s, d, "cell_types")
+    names = types.select(F.lower("name").alias("said"), "cell_type_id")
+    others = types.select(F.explode(F.transform("aliases", F.lower)).alias("said"), "cell_type_id")
+    read = lambda c, by: g.join(by, F.col(c) == F.col("said")).select("gene", "source", "cell_type_id", F.lit(c).alias("read_from"), *([] if by is names else ["said"]))
+    u = tab.union_common(read("label", names), read("label", others), read("group", names)).drop("read_from").distinct()
+    return u.join(types.select("cell_type_id", F.col("name").alias("label"), "compartment", "level_1", "level_2"), "cell_type_id").select("gene", "label", "compartment", "source", "level_1", "level_2")
+
+
 _PANEL = """pg AS (SELECT DISTINCT panel AS module, upper(gene) AS gene FROM gene_panel WHERE panel IS NOT NULL), gp AS (SELECT module, gene, mean, sd FROM pg JOIN gm USING (gene) WHERE sd > 0), ps AS (SELECT module, count(*) AS k, sum(mean / sd) AS base FROM gp GROUP BY module),
 sc AS (SELECT cell, module, (coalesce(sum(n / sd), 0) - any_value(base)) / any_value(k) AS score FROM (SELECT DISTINCT cell FROM m) JOIN ps ON true LEFT JOIN (SELECT m.cell AS c2, m.n, gp.module AS m2, gp.sd FROM m JOIN gp USING (gene)) h ON h.c2 = cell AND h.m2 = module GROUP BY cell, module)"""
 

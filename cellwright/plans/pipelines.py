@@ -9,10 +9,11 @@ from cellwright.operators import geometry as geo
 from cellwright.operators import markers as mk
 from cellwright.operators import matrix as mx
 from cellwright.operators import models
+from cellwright.operators import tables as tab
 from cellwright.operators.filters import filter_total
+from cellwright.operators.graph import neighbour_clusters
 from cellwright.plans.base import CELLS, COUNTS, SPACE_SQL, TX, Book, cells, counts, tx, typed
 from cellwright.plans.basic import R
-from cellwright.plans.expression import _top
 from cellwright.plans.spatial import _AREA, _pt, placed, rings
 from cellwright.runtime import cut, scratch, table
 from cellwright.sources import store
@@ -90,26 +91,24 @@ def color_order(s, d):
 
 @q("corr_order")
 def corr_order(s, d):
-    """The 40 commonest genes, grouped by the type that has their highest mean, in the order of their correlations."""
-    m = cut(counts(s, d))
-    g = cut(_top(m))
-    pairs = g.withColumnRenamed("gene", "g1").join(g.withColumnRenamed("gene", "g2"), F.col("g1") < F.col("g2"))  # forty genes
-    best = _type_means(s, d).join(g, "gene", "left_semi").groupBy("gene").agg(F.max_by("type", F.struct("mean", "type")).alias("label"))
-    return ordering.block_order(mx.pair_correlation(m, pairs, "n"), best)
+    """All genes, grouped by the type that has their highest mean, in the order of their correlations."""
+    best = _type_means(s, d).groupBy("gene").agg(F.max_by("type", F.struct("mean", "type")).alias("label"))
+    return ordering.block_order(mx.correlations(cut(counts(s, d)), "n"), best)
 
 
 @q("pca")
 def pca(s, d):
-    return models.project(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 8)[0]
+    return models.project(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))[0]
 
 
-def _genes(m, k=60):
-    return [r.gene for r in _top(m, k).collect()]  # k genes
+def _genes(m):
+    """The vocabulary of the matrix: the panel and its strays."""
+    return [r.gene for r in m.select("gene").distinct().orderBy("gene").collect()]
 
 
 @q("celltypist_train")
 def celltypist(s, d):
-    """Train on the typed cells, save, load, and predict every cell of the vendor's matrix."""
+    """Train on the typed cells over all genes, save, load, and predict every cell of the vendor's matrix."""
     m = cut(counts(s, d))
     genes = _genes(m)
     model, labels = models.train_annotator(m, typed(s, d), genes)
@@ -120,13 +119,12 @@ def celltypist(s, d):
 
 @q("label_transfer")
 def label_transfer(s, d):
-    """Types learned on one half of the cells (by a hash), given to the other half by their shared genes."""
+    """Types of one half of the cells (by a hash), given to the other half by neighbours over their common genes."""
     m, t = cut(counts(s, d)), cut(typed(s, d))
     from_ref = F.pmod(F.xxhash64("cell"), F.lit(2)) == 0
     ref, query = m.where(from_ref), m.where(~from_ref)
     genes = _genes(ref.join(query.select("gene").distinct(), "gene", "left_semi"))
-    model, labels = models.train_annotator(filter_total(ref, "cell", 5), t.where(from_ref), genes)
-    return models.annotate(model, labels, filter_total(query, "cell", 5), genes)
+    return models.transfer_labels(ref, t, filter_total(query, "cell", 5), genes)
 
 
 q("sample_group", None)(lambda s, d: models.sample_per(typed(s, d), "type", "cell", 50))
@@ -142,13 +140,34 @@ def create_anndata(s, d):
     return k.join(x, "cell")
 
 
+_FILTERED = f"""WITH {COUNTS}, t AS (SELECT cell FROM m GROUP BY cell HAVING sum(n) BETWEEN 5 AND 2000)"""
+
+
+@q("create_anndata_genes", _FILTERED + " SELECT gene, count(*) AS molecules, round(100.0::DOUBLE * count(*) FILTER (a IN (SELECT cell FROM t)) / count(*), 6) AS percent_assigned FROM tx WHERE gene IS NOT NULL GROUP BY gene")
+def create_anndata_genes(s, d):
+    """Per gene the share of its molecules that lie in kept cells."""
+    t = cut(tx(s, d, "a", "gene").where("gene IS NOT NULL").groupBy("gene", F.col("a").alias("cell")).agg(F.count("*").alias("n")))
+    kept = filter_total(t.where("cell IS NOT NULL"), "cell", 5, 2000).groupBy("gene").agg(F.sum("n").alias("k"))
+    every = t.groupBy("gene").agg(F.sum("n").alias("molecules")).join(kept, "gene", "left")
+    return every.select("gene", "molecules", R(100.0 * F.coalesce("k", F.lit(0)) / F.col("molecules")).alias("percent_assigned"))
+
+
+@q("create_anndata_cells")
+def create_anndata_cells(s, d):
+    """Kept cells with totals and the hull of their molecules."""
+    return create_anndata(s, d).join(geo.cell_hulls(_pt(s, d)), "cell")
+
+
 @q("preprocess_pipeline")
 def preprocess(s, d):
-    """Filter, normalise, log, project: the first components of every kept cell over its commonest genes."""
-    m = cut(filter_total(counts(s, d), "cell", 5, 2000))
-    genes = _genes(m, 40)
-    v = models.features(m, genes).select(F.xxhash64("cell").alias("id"), models.vector_to_array("features").alias("v"))
-    return models.project(v, 5)[0]
+    """Filter at the knee of totals, normalise, project on components up to the knee of their variance, find neighbours, cluster."""
+    m = cut(counts(s, d))
+    least = mx.knee_of_totals(mx.totals(m), "total").first()
+    m = cut(filter_total(m, "cell", min(max(least.value if least else 5, 5), 30)))
+    number = cut(m.select("cell").distinct().withColumn("id", F.monotonically_increasing_id()))
+    v = models.features(m, _genes(m), None, log=False).join(number, "cell").select("id", models.vector_to_array("features").alias("v"))
+    labels = neighbour_clusters(models.project(v)[0].withColumnRenamed("pcs", "v"), 15)
+    return number.join(labels, "id").select("cell", F.col("label").alias("cluster"))
 
 
 @q("agg_pseudobulk_spatial")
@@ -167,9 +186,27 @@ q("fn_string", f"SELECT DISTINCT marker_id, lower(trim(regexp_replace(label, '{S
     lambda s, d: table(s, d, "marker_annotations").withColumn("l", F.trim(F.regexp_replace("label", r"[\s\u00a0\u3000]+", " "))).where("label IS NOT NULL AND l <> ''")
     .select("marker_id", F.concat(F.lower("l"), F.lit(", "), F.coalesce("source", F.lit(""))).alias("label"), F.contains("label", F.lit("cells")).alias("plural"), F.replace("gene", F.lit("-"), F.lit("_")).alias("gene")).distinct()
 )
-q("fn_array", "SELECT DISTINCT obs_id, len(X_spatial) AS n, CASE WHEN isnan(X_spatial[1]) THEN NULL ELSE X_spatial[1] END AS first FROM h5ads WHERE X_spatial IS NOT NULL")(
-    lambda s, d: table(s, d, "h5ads").where("X_spatial IS NOT NULL").select("obs_id", F.size("X_spatial").cast("bigint").alias("n"), F.nanvl(F.try_element_at("X_spatial", F.lit(1)), F.lit(None).cast("double")).alias("first")).distinct()
+_ITEMS = "coalesce(cell_type_level_2, '-') || ''', ''' || coalesce(h5ad_name, '-') || ''', ''' || dataset"
+q("fn_array", f"""WITH l AS (SELECT DISTINCT obs_id, '[''' || {_ITEMS} || ''']' AS lit, len(X_spatial) AS n FROM h5ads WHERE X_spatial IS NOT NULL AND dataset IS NOT NULL)
+SELECT obs_id, n, unnest(string_split(replace(substr(lit, 2, length(lit) - 2), '''', ''), ', ')) AS item FROM l""")(
+    lambda s, d: _literals(s, d)
 )
+
+
+def _literals(s, d):
+    """List literals as typed into a table's cell, read as arrays and exploded."""
+    word = lambda c: F.concat(F.lit("'"), F.coalesce(c, F.lit("-")), F.lit("'"))
+    lit = F.concat(F.lit("["), F.concat_ws(", ", word(F.col("cell_type_level_2")), word(F.col("h5ad_name")), word(F.col("dataset"))), F.lit("]"))
+    rows = table(s, d, "h5ads").where("X_spatial IS NOT NULL AND dataset IS NOT NULL").select("obs_id", lit.alias("lit"), F.size("X_spatial").cast("bigint").alias("n")).distinct()
+    return rows.select("obs_id", "n", F.explode(tab.literal_list(F.col("lit"))).alias("item"))
+
+
+@q("src_glob", "SELECT dataset, count(*) AS n FROM labeled_transcripts GROUP BY dataset")
+def first_of_glob(s, d):
+    """The first of the paths that a pattern names, in the order of their names."""
+    return s.read.parquet(store.first_match(s, f"{d}/labeled_*.parquet")).groupBy("dataset").agg(F.count("*").alias("n"))
+
+
 q("fn_math", f"WITH {CELLS} SELECT id, round(log10(n_counts), 6) AS lg, round(ln(1 + n_counts), 6) AS l1, round(sqrt(n_counts), 6) AS root, round(power(10, -prob), 6) AS p, ceil(x) AS up, floor(y) AS down FROM cells WHERE n_counts > 0 AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(prob)")(
     lambda s, d: cells(s, d).where("n_counts > 0 AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(prob)").select("id", R(F.log10("n_counts")).alias("lg"), R(F.log1p("n_counts")).alias("l1"), R(F.sqrt("n_counts")).alias("root"), R(F.pow(F.lit(10.0), -F.col("prob"))).alias("p"), F.ceil("x").cast("double").alias("up"), F.floor("y").cast("double").alias("down"))
 )

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from cellwright.operators import geometry as geo
 from cellwright.operators import graph, ordering
 from cellwright.operators import spatial as sp
-from cellwright.operators.knn import spatial_knn, vector_search
+from cellwright.operators.knn import nearest_marked, spatial_knn, vector_search
 from cellwright.plans.base import CELLS, TX, Book, cells, counts, tx
 from cellwright.plans.basic import R
-from cellwright.plans.expression import _top
+from cellwright.plans.expression import _GM, _PANEL, _top, panel_scores
 from cellwright.runtime import cut, table
 
 book = Book()
@@ -54,15 +54,22 @@ q("neighbor_fractions", _KNN.format(k=20) + " SELECT kn.id, b.label, count(*) AS
 q("neighbor_fractions_by_label", _KNN.format(k=20) + " SELECT a.label AS center, b.label, count(*) AS n FROM kn JOIN p a ON a.id = kn.id JOIN p b ON b.id = nb WHERE a.label IS NOT NULL AND b.label IS NOT NULL GROUP BY ALL")(
     lambda s, d: (lambda l: sp.neighbour_labels(knn(s, d, 20), l).join(l.withColumnRenamed("label", "center"), "id").groupBy("center", "label").agg(F.sum("n").alias("n")))(placed(s, d).where("label IS NOT NULL").select("id", "label"))
 )
-_NEAR = _KNN.format(k=100) + ", nd AS (SELECT kn.id, min(CASE WHEN d2 > 0 AND b.cluster = 2 THEN d2 END) AS d2 FROM kn JOIN p b ON b.id = nb GROUP BY kn.id)"
-_near = lambda s, d: sp.distance_to(cut(knn(s, d, 100)), placed(s, d).where("cluster = 2").select("id"))
+_NEAR = _KNN.format(k=500) + ", nd AS (SELECT kn.id, min(CASE WHEN d2 > 0 AND b.cluster = 2 THEN d2 END) AS d2 FROM kn JOIN p b ON b.id = nb GROUP BY kn.id)"
+_near = lambda s, d: nearest_marked(placed(s, d).select("id", F.col("dataset").alias("frame"), "x", "y", (F.col("cluster") == 2).alias("mark")), 500)
 q("dist_nearest_type", _NEAR + " SELECT id, round(sqrt(d2), 6) AS distance FROM nd")(lambda s, d: _near(s, d).select("id", R(F.sqrt("d2")).alias("distance")))
-_RK = "{0} AS (SELECT id, rank() OVER (ORDER BY {1}) + (count(*) OVER (PARTITION BY {1}) - 1) / 2.0::DOUBLE AS r FROM j)"
-q("module_correlation", _NEAR + ", j AS (SELECT nd.id, d2, n_counts FROM nd JOIN p USING (id) WHERE d2 IS NOT NULL AND n_counts IS NOT NULL), " + _RK.format("ra", "d2") + ", " + _RK.format("rb", "n_counts") + " SELECT round(corr(ra.r, rb.r), 6) AS rho, count(*) AS n FROM ra JOIN rb USING (id)")(
-    lambda s, d: sp.spearman(_near(s, d).join(placed(s, d).select("id", "n_counts"), "id"), "d2", "n_counts").select(R("rho").alias("rho"), "n")
+_RK = "{0} AS (SELECT module, id, rank() OVER (PARTITION BY module ORDER BY {1}) + (count(*) OVER (PARTITION BY module, {1}) - 1) / 2.0::DOUBLE AS r FROM j)"
+q("module_correlation", _GM + ", " + _NEAR.split("WITH ", 1)[1] + ", " + _PANEL + ", j AS (SELECT module, nd.id, round(d2, 6) AS d2, round(score, 6) AS score FROM nd JOIN cells USING (id) JOIN sc ON sc.cell = vendor_id WHERE d2 IS NOT NULL AND l2 = 'Epithelial'), " + _RK.format("ra", "d2") + ", " + _RK.format("rb", "score") + " SELECT dense_rank() OVER (ORDER BY module) - 1 AS module, round(corr(ra.r, rb.r), 5) AS rho, count(*) AS n FROM ra JOIN rb USING (module, id) GROUP BY module")(
+    lambda s, d: _module_correlation(s, d)
 )
 
 
+def _module_correlation(s, d):
+    """Spearman correlation, over epithelial cells, of each module's score with the distance to the nearest cell of a type."""
+    own = cells(s, d).where("l2 = 'Epithelial'").select("id", F.col("vendor_id").alias("cell"))
+    rows = cut(_near(s, d).where("d2 IS NOT NULL").join(own, "id").join(panel_scores(s, d), "cell").select("module", R("d2").alias("d2"), R("score").alias("score")))
+    return sp.spearman(rows, "d2", "score", ["module"]).select(F.col("module").cast("bigint").alias("module"), R("rho", 5).alias("rho"), "n")
+
+
 def _placed_counts(s, d):
     """The matrix of the vendor's placed cells, by cell id."""
     ids = placed(s, d).where("vendor_id IS NOT NULL").groupBy("vendor_id").agg(F.min("id").alias("id"))
@@ -71,9 +78,9 @@ def _placed_counts(s, d):
 
 @q("hotspot_autocorr")
 def hotspot_autocorr(s, d):
-    """Spatial autocorrelation of the 40 commonest genes over the vendor's cells."""
+    """Spatial autocorrelation of all genes of at least 5 counts over the vendor's cells."""
     m = _placed_counts(s, d)
-    return sp.autocorrelation(m, cut(knn(s, d, 20)), _top(m))
+    return sp.autocorrelation(m, cut(knn(s, d, 20)), m.groupBy("gene").agg(F.sum("n").alias("t")).where("t >= 5").select("gene"))
 
 
 def _modules(s, d, m):

@@ -20,6 +20,15 @@ def read_matrix(spark: SparkSession, path: str, *names: str) -> dict[str, DataFr
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
+def first_match(spark: SparkSession, pattern: str) -> str:
+    """The first path, in the order of names, that a glob pattern matches; an error if there is none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    if not found:
+        raise FileNotFoundError(pattern)
+    return min(f.getPath().toString() for f in found)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
