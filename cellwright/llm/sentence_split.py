@@ -31,7 +31,8 @@ SAMPLE_DOCS, MIN_ROWS = 20_000, 2
 _BLOCK = re.compile(r"</?(?:br|p|div|li|ul|ol|table|tr|td|h[1-6]|hr|blockquote)\b[^<>]{0,200}>|\n[^\S\n]*\n\s*", re.I)
 _ITEM = re.compile(r"[^\S\n]*(?:[-*+•·‣◦–—]|\(?\d{1,3}[.)]|[a-zA-Z][.)])[^\S\n]+(?=\S)")
 _EMO = r"(?:[\U0001F000-\U0001FAFF☀-➿⭐⭕️‍]+|(?<![\w:;=])(?:[:;=][-^']?|8[-^'])[)(DPpOo/|*\]\[3]+(?![A-Za-z0-9])|\^_?\^|(?<!\w)<3|(?<!\w)T_T|(?<!\w)[xX]D(?!\w))"
-_EMO_RE = re.compile(_EMO)
+_EMO_RE, _PICTURE = re.compile(_EMO), re.compile("[\U0001F000-\U0001FAFF☀-➿⭐⭕️‍]")
+_STOP_SIGNS = ".!?…。！？｡؟۔।॥‽"
 _STOPS = r"(?:[.!?…。！？｡؟۔।॥‽]|(?<=[Ͱ-Ͽἀ-῿])[;;])"
 _CLOSERS = "\"'”’»)\\]」』）】›“*_"
 _TAIL = rf"(?:[{_CLOSERS}]|\s*{_EMO}[.!?…]*)*"
@@ -338,11 +339,11 @@ def _words_at_ends(batches):
                 w = _NEXT.match(s)
                 if w.group(3):
                     seen["s", _first(w.group(3))] += 1
-                stop = None
-                for stop in _CAND.finditer(s):
-                    pass  # the last one
-                at = stop.start() if stop and stop.end() == len(s) else len(s) if _script(s[-1:]) == "thai" else 0
-                word = s[_token_before(s, at) : at].strip("\"'“„«»”’*_") if at else ""
+                e = len(s)
+                while e and (s[e - 1] in _CLOSERS or s[e - 1].isspace() or _PICTURE.match(s, e - 1)):
+                    e -= 1
+                at = len(s[:e].rstrip(_STOP_SIGNS))
+                word = s[_token_before(s, at) : at].strip("\"'“„«»”’*_") if at < e or _script(s[-1:]) == "thai" else ""
                 if word:
                     seen["f", _norm(word)] += 1
         if seen:
@@ -394,7 +395,7 @@ def train(docs: DataFrame, id_col: str, text: str, sample_docs: int = SAMPLE_DOC
     rows = cut(read.mapInArrow(_labelled(starters, finals), "label double, names array<string>"))
     drop(texts)
     counter = CountVectorizer(inputCol="names", outputCol="features", binary=True, minDF=MIN_ROWS, vocabSize=1 << 20).fit(rows)
-    fit = LogisticRegression(maxIter=100, regParam=1e-5, standardization=False).fit(counter.transform(rows).select("label", "features"))
+    fit = LogisticRegression(maxIter=50, regParam=1e-5, standardization=False).fit(counter.transform(rows).select("label", "features"))
     drop(rows)
     weights = {w: float(x) for w, x in zip(counter.vocabulary, fit.coefficients.toArray()) if x}  # bounded by the sample
     return weights | {"": float(fit.intercept)}, starters, finals

@@ -16,9 +16,11 @@ from cellwright.llm.canonical_map import edits, map_to_canonical, tokens_of
 from cellwright.llm.container_fill import fill_containers, knapsack, plan
 from cellwright.llm.sentence_split import sentences, split, train, units
 from cellwright.llm.similar_vectors import hadamard, similar_vectors
-from cellwright.llm.similarity_clusters import describe_clusters, neighbour_descent
+from cellwright.llm.similarity_clusters import describe_clusters
 from cellwright.llm.source_mix import _fit, entropy, mix_sources, solve, weights
 from cellwright.llm.tokens import token_count
+from cellwright.operators import descent
+from cellwright.operators.descent import neighbour_descent
 from cellwright.llm.term_frequency import term_frequencies
 
 INF, NAN = float("inf"), float("nan")
@@ -151,7 +153,7 @@ def test_canonical(frame):
 
 @pytest.mark.parametrize("dim, n", [(2, 4000), (32, 2000)])
 def test_descent_recall(frame, monkeypatch, dim, n):
-    monkeypatch.setattr(similarity_clusters, "BLOCK", n // 4)  # several blocks, so that rounds over the table are needed
+    monkeypatch.setattr(descent, "BLOCK", n // 4)  # several blocks, so that rounds over the table are needed
     x = np.random.default_rng(dim).normal(size=(n, dim))
     low, high = list(map(float, x.min(0))), list(map(float, x.max(0)))
     places = frame([(1, i, list(map(float, v)), low, high) for i, v in enumerate(x)], "g long, loc long, vec array<double>, low array<double>, high array<double>")
