@@ -1,10 +1,11 @@
 """Mapping freely typed values to the entries of a reference list.
 
 Method: token-level repair. Values and reference names are folded into tokens; each distinct token of a value is joined
-to the reference vocabulary (as it stands, as an abbreviation, or within two edits found through shared deletion
-signatures); the repaired tokens are combined by soft TF-IDF to rank whole entries. An entry is taken only if the repaired
-tokens and its own tokens cover each other, so another marker, state or number (which have tokens of their own and are
-never repaired) leaves a value unmatched.
+to the reference vocabulary: as it stands, as an abbreviation (the likelier the more of the word it holds), and, unless it is a
+word of the vocabulary itself, within two edits found through shared deletion signatures. The repaired tokens are
+combined by soft TF-IDF, which ranks the entries that they complete: those whose tokens and the value's cover each other, so that
+another marker, state or number (which have tokens of their own and are never repaired) leaves a value unmatched. A token
+may have several repairs, and a value several complete entries; the best score decides, if it is at least ``least``.
 
 Defined results: null and blank values give no row; a value equal to a reference name, character for character, gives no
 row unless ``keep_exact``; a value that means no entry gets -1; ties go to the smaller entry id; rows repeated under one
@@ -98,9 +99,9 @@ def _edits_udf(tokens: pd.Series, fixed: pd.Series) -> pd.Series:
 
 
 def repair_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(token) x (fixed) -> (token, fixed, sim): equal or plural 1, abbreviation 0.95, each edit 0.15 less.
+    """(token) x (fixed) -> (token, fixed, sim): equal or plural 1, abbreviation 0.85 and up to 0.1 more, each edit 0.15 less than 1.
 
-    A token may be an alias and an abbreviation of another word; edits are looked for only where neither fits.
+    A token may be an alias, an abbreviation of other words and a misspelling of yet others; words of the vocabulary are no misspellings.
     """
     words = F.col("token").rlike(r"^\p{L}+$")
     vocab = vocabulary.select("fixed").distinct()
@@ -111,16 +112,19 @@ def repair_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     starts = vocab.where(F.col("fixed").rlike(r"^\p{L}+$")).select(
         "fixed", F.explode(F.expr(f"transform(sequence({MIN_PREFIX}, greatest({MIN_PREFIX}, length(fixed) - 1)), n -> substr(fixed, 1, n))")).alias("token")
     )
-    short = cut(rest.join(starts, "token").where(F.length("token") < F.length("fixed")).select("token", "fixed", F.lit(0.95).alias("sim")))
-    rest = rest.join(exact, "token", "left_anti").join(short, "token", "left_anti").where(F.length("token") >= MIN_REPAIR)
+    short = cut(rest.join(starts, "token").where(F.length("token") < F.length("fixed")).select("token", "fixed", (0.85 + 0.1 * F.length("token") / F.length("fixed")).alias("sim")))
+    rest = rest.join(exact, "token", "left_anti").where(F.length("token") >= MIN_REPAIR)
     signed = rest.repartition(parts(tokens.sparkSession), "token").select("token", F.explode(_signatures_udf("token")).alias("sig"))
     targets = vocab.where(F.col("fixed").rlike(r"^\p{L}+$") & (F.length("fixed") >= MIN_REPAIR)).select("fixed", F.explode(_signatures_udf("fixed")).alias("sig"))
     pairs = signed.join(targets, "sig").where(F.abs(F.length("token") - F.length("fixed")) <= EDITS + 1).select("token", "fixed").distinct()
+    # a swap is two plain edits, an ending one more: what is farther than that needs no closer look
+    pairs = pairs.where(F.levenshtein("token", "fixed", 2 * EDITS + 1) >= 0)
     near = pairs.withColumn("d", _edits_udf("token", "fixed")).where(F.col("d") <= EDITS)
-    return exact.unionByName(short).unionByName(near.select("token", "fixed", (1 - 0.15 * F.col("d")).alias("sim")))
+    every = exact.unionByName(short).unionByName(near.select("token", "fixed", (1 - 0.15 * F.col("d")).alias("sim")))
+    return every.groupBy("token", "fixed").agg(F.max("sim").alias("sim"))
 
 
-def map_to_canonical(values: DataFrame, key: list[str], value: str, reference: DataFrame, entry: str, name: str, aliases: str | None = None, *, keep_exact: bool = False) -> DataFrame:
+def map_to_canonical(values: DataFrame, key: list[str], value: str, reference: DataFrame, entry: str, name: str, aliases: str | None = None, *, keep_exact: bool = False, least: float = 0.6) -> DataFrame:
     """One row (key..., value, entry id, score) for each non-blank ``value``; entry id -1 and score 0 where it means none."""
     asked = values.select(*(F.col(f"`{k}`") for k in key), F.col(f"`{value}`").alias("__value"))
     asked = asked.where(F.col("__value").rlike(r"(?U)[^\s]")).distinct()
@@ -154,7 +158,7 @@ def map_to_canonical(values: DataFrame, key: list[str], value: str, reference: D
     pairs = pairs.withColumn("use", best).where(F.size(F.array_except("words", F.col("use.fixed"))) == 0)
     total = lambda f: F.aggregate("use", F.lit(0.0), lambda a, u: a + f(u))
     score = total(lambda u: u["sim"] * u["idf"] * u["idf"]) / (F.col("norm") * F.sqrt(total(lambda u: u["idf"] * u["idf"])))
-    ranked = pairs.select("__value", "entry", score.alias("score")).groupBy("__value").agg(F.max(F.struct("score", (-F.col("entry")).alias("minus"))).alias("top"))
+    ranked = pairs.select("__value", "entry", F.round(score, 9).alias("score")).where(F.col("score") >= least).groupBy("__value").agg(F.max(F.struct("score", (-F.col("entry")).alias("minus"))).alias("top"))
     ranked = ranked.select("__value", (-F.col("top.minus")).alias("__entry"), F.col("top.score").alias("__score"))
     out = asked.join(ranked, "__value", "left")
     return out.select(

@@ -148,6 +148,14 @@ def test_canonical(frame):
     assert none and {r.entry for r in none} == {-1}
 
 
+def test_canonical_rank_decides(frame):
+    ref = frame([(10, "Terminal Rudigen"), (11, "Termite Rudigen"), (12, "Termixal Rudigen")], "eid int, name string")
+    df = frame([(0, "Termi. Rudigen"), (1, "Terminl Rudigen"), (2, "Termixl Rudigen"), (3, "Terminall Rudigenn")], "id long, v string")
+    got = lambda **kw: {r.id: r.entry for r in map_to_canonical(df, ["id"], "v", ref, "eid", "name", **kw).collect()}
+    assert got() == {0: 11, 1: 10, 2: 12, 3: 10}  # the longer share, the fewer edits
+    assert got(least=0.9) == {0: 11, 1: -1, 2: -1, 3: -1}
+
+
 # 5 clusters
 
 
