@@ -8,10 +8,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellwright.runtime import parts, runs
+
 
 def hull(points: np.ndarray) -> np.ndarray:
     """Convex hull, counter-clockwise, by monotone chains."""
@@ -40,41 +42,87 @@ def perimeter_of(ring: np.ndarray) -> float:
 
 
 def delaunay(points: np.ndarray) -> list[tuple[int, int, int]]:
-    """Triangles by incremental insertion: those whose circle holds the new point give way to a fan around it."""
+    """Triangles by incremental insertion: those whose circle holds the new point give way to a fan around it.
+
+    Points come in the order of a coarse snake over the box, and a point's first triangle is found by walking from the last
+    one made, so that the work grows little faster than the points.
+    """
     n = len(points)
     mid, span = points.mean(0), max(float(np.ptp(points, axis=0).max()), 1e-9)
     far = 1e4 * span
-    pts = np.vstack([points, mid + [[-far, -far], [far, -far], [0, far]]])
+    pts = [tuple(p) for p in (points - mid).tolist()] + [(-far, -far), (far, -far), (0.0, far)]
+    rows = max(1, math.isqrt(n) // 2)
+    strip = np.minimum((points[:, 1] - points[:, 1].min()) / max(float(np.ptp(points[:, 1])), 1e-9) * rows, rows - 1).astype(int)
+    order = np.lexsort((np.where(strip % 2, -points[:, 0], points[:, 0]), strip)).tolist()
 
-    def circle(t):
-        (ax, ay), (bx, by), (cx, cy) = pts[list(t)] - mid
+    def circle(a, b, c):
+        (ax, ay), (bx, by), (cx, cy) = pts[a], pts[b], pts[c]
         d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
         if abs(d) < 1e-18:
             return (0.0, 0.0, math.inf)
-        ux = ((ax * ax + ay * ay) * (by - cy) + (bx * bx + by * by) * (cy - ay) + (cx * cx + cy * cy) * (ay - by)) / d
-        uy = ((ax * ax + ay * ay) * (cx - bx) + (bx * bx + by * by) * (ax - cx) + (cx * cx + cy * cy) * (bx - ax)) / d
+        aa, bb, cc = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+        ux, uy = (aa * (by - cy) + bb * (cy - ay) + cc * (ay - by)) / d, (aa * (cx - bx) + bb * (ax - cx) + cc * (bx - ax)) / d
         return (ux, uy, (ax - ux) ** 2 + (ay - uy) ** 2)
 
-    live = {(n, n + 1, n + 2): circle((n, n + 1, n + 2))}
-    for i in range(n):
-        px, py = pts[i] - mid
-        gone = [t for t, (ux, uy, r) in live.items() if (px - ux) ** 2 + (py - uy) ** 2 <= r * (1 + 1e-12)]
-        rim: dict = {}
+    # triangle -> circle; directed edge, counter-clockwise -> its triangle, so that the other direction is the neighbour
+    live: dict[tuple, tuple] = {}
+    edge: dict[tuple, tuple] = {}
+
+    def add(a, b, c):
+        t = (a, b, c)
+        live[t] = circle(a, b, c)
+        edge[a, b] = edge[b, c] = edge[c, a] = t
+        return t
+
+    last = add(n, n + 1, n + 2)
+    side = lambda a, b, x, y: (pts[b][0] - pts[a][0]) * (y - pts[a][1]) - (pts[b][1] - pts[a][1]) * (x - pts[a][0])
+    for i in order:
+        x, y = pts[i]
+        seen: set = set()
+        while last not in seen:  # walk towards the point; a walk in circles ends at a triangle near it
+            seen.add(last)
+            for k in range(3):
+                a, b = last[k], last[(k + 1) % 3]
+                if side(a, b, x, y) < 0 and (b, a) in edge:
+                    last = edge[b, a]
+                    break
+        holds = lambda t: (x - live[t][0]) ** 2 + (y - live[t][1]) ** 2 <= live[t][2] * (1 + 1e-12)
+        gone, stack = set(), [last] if holds(last) else [t for t in live if holds(t)]
+        while stack:
+            t = stack.pop()
+            if t in gone:
+                continue
+            gone.add(t)
+            for k in range(3):
+                o = edge.get((t[(k + 1) % 3], t[k]))
+                if o is not None and o not in gone and holds(o):
+                    stack.append(o)
+        rim = [(t[k], t[(k + 1) % 3]) for t in gone for k in range(3) if edge.get((t[(k + 1) % 3], t[k])) not in gone]
         for t in gone:
-            for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                rim[tuple(sorted(e))] = rim.get(tuple(sorted(e)), 0) + 1
             del live[t]
-        for (a, b), k in rim.items():
-            if k == 1:
-                live[(a, b, i)] = circle((a, b, i))
+            for k in range(3):
+                edge.pop((t[k], t[(k + 1) % 3]), None)
+        for a, b in rim:
+            last = add(a, b, i)
     return [t for t in live if max(t) < n]
 
 
 def widest_gap(points: np.ndarray) -> float:
-    """The largest distance of any point to its nearest other one."""
-    d = ((points[:, None] - points[None]) ** 2).sum(2)
-    np.fill_diagonal(d, np.inf)
-    return float(np.sqrt(d.min(1).max()))
+    """The largest distance of any point to its nearest other one: found in windows along the longer side, which grow for those not yet certain."""
+    n = len(points)
+    points = points[:, np.argsort(-np.ptp(points, axis=0))]  # along the longer side
+    order = np.argsort(points[:, 0], kind="stable")
+    x, y = points[order, 0], points[order, 1]
+    best, lag = np.full(n, np.inf), 1
+    live = np.arange(n)
+    while len(live) and lag < n:
+        for i, j in ((live[live + lag < n], live[live + lag < n] + lag), (live[live >= lag], live[live >= lag] - lag)):
+            np.minimum.at(best, i, (x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2)
+        lag += 1
+        right = np.where(live + lag < n, x[np.minimum(live + lag, n - 1)] - x[live], np.inf)
+        left = np.where(live >= lag, x[live] - x[np.maximum(live - lag, 0)], np.inf)
+        live = live[np.minimum(left, right) ** 2 < best[live]]
+    return float(np.sqrt(best.max()))
 
 
 def _angle(p, a, b) -> float:
@@ -147,26 +195,44 @@ def outline(points: np.ndarray) -> list[np.ndarray]:
     return rings
 
 
+_OUTLINE = {"cell": pa.string(), "length": pa.int64(), "area": pa.float64(), "rings": pa.int32(), "xs": pa.list_(pa.float64()), "ys": pa.list_(pa.float64())}
+_HULL = {"cell": pa.string(), "n": pa.int64(), "hull_perimeter": pa.float64(), "hull_area": pa.float64(), "corners": pa.int32()}
+
+
+def _per_cell(points: DataFrame, run, columns: dict, schema: str) -> DataFrame:
+    """``run(cell, places)`` -> row for every cell of (cell, x, y), over batches sorted by cell."""
+
+    def batches(stream):
+        for t in runs(stream, "key"):
+            cell, xy = t["cell"].to_pylist(), np.column_stack([t["x"].to_numpy(), t["y"].to_numpy()])
+            starts = [i for i in range(len(cell)) if not i or cell[i] != cell[i - 1]]  # sorted by key, then cell
+            rows = [run(cell[a], xy[a:b]) for a, b in zip(starts, [*starts[1:], len(cell)])]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(columns))
+
+    n = parts(points.sparkSession, 4)
+    return points.select("cell", "x", "y").repartition(n, "cell").select(F.xxhash64("cell").alias("key"), "cell", "x", "y").sortWithinPartitions("key", "cell").mapInArrow(batches, schema)
+
+
 def cell_outlines(points: DataFrame) -> DataFrame:
     """(cell, length, area, rings, outline as nested arrays of the largest ring) of points (cell, x, y)."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = outline(pdf[["x", "y"]].to_numpy())
-        big = max(rings, key=area_of, default=None)
-        return pd.DataFrame([{"cell": key[0], "length": len(pdf), "area": None if big is None else area_of(big), "rings": len(rings), "xs": None if big is None else big[:, 0].tolist(), "ys": None if big is None else big[:, 1].tolist()}])
+    def run(cell, xy):
+        found = outline(xy)
+        big = max(found, key=area_of, default=None)
+        return {"cell": cell, "length": len(xy), "area": None if big is None else area_of(big), "rings": len(found), "xs": None if big is None else big[:, 0].tolist(), "ys": None if big is None else big[:, 1].tolist()}
 
-    return points.select("cell", "x", "y").groupBy("cell").applyInPandas(run, "cell string, length long, area double, rings int, xs array<double>, ys array<double>")
+    return _per_cell(points, run, _OUTLINE, "cell string, length long, area double, rings int, xs array<double>, ys array<double>")
 
 
 def cell_hulls(points: DataFrame) -> DataFrame:
     """(cell, n, hull_perimeter, hull_area, corners); null for fewer than three places."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        h = hull(pdf[["x", "y"]].to_numpy())
+    def run(cell, xy):
+        h = hull(xy)
         ok = len(h) >= 3
-        return pd.DataFrame([{"cell": key[0], "n": len(pdf), "hull_perimeter": perimeter_of(h) if ok else None, "hull_area": area_of(h) if ok else None, "corners": len(h)}])
+        return {"cell": cell, "n": len(xy), "hull_perimeter": perimeter_of(h) if ok else None, "hull_area": area_of(h) if ok else None, "corners": len(h)}
 
-    return points.select("cell", "x", "y").groupBy("cell").applyInPandas(run, "cell string, n long, hull_perimeter double, hull_area double, corners int")
+    return _per_cell(points, run, _HULL, "cell string, n long, hull_perimeter double, hull_area double, corners int")
 
 
 def shoelace(xs: str, ys: str) -> Column:

@@ -224,7 +224,7 @@ def neighbour_clusters(v: DataFrame, k: int, resolution: float = 1.0, least: int
     rows = cut(v.select(F.lit(0).cast("long").alias("g"), F.col("id").alias("loc"), F.col("v").cast("array<double>").alias("vec")).dropna())
     dim = rows.select(F.max(F.size("vec"))).first()[0] or 1
     box = rows.agg(*(F.array(*(f(F.col("vec")[i]) for i in range(dim))).alias(n) for f, n in ((F.min, "low"), (F.max, "high"))))
-    near = neighbour_descent(rows.crossJoin(F.broadcast(box)), dim, k)
+    near = neighbour_descent(rows.crossJoin(F.broadcast(box)), dim, k, width=max(k, 20))
     lists = near.select(F.col("u").alias("id"), F.col("v").alias("nb")).unionByName(rows.select(F.col("loc").alias("id"), F.col("loc").alias("nb")))
     e = cut(jaccard_edges(lists))
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))

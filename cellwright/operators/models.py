@@ -84,7 +84,7 @@ def transfer_labels(ref: DataFrame, typed: DataFrame, query: DataFrame, genes: l
     rows = model.transform(known.unionByName(side(query, False))).select("cell", "ref", F.slice(vector_to_array("pc"), 1, keep).alias("vec"))
     rows = cut(rows.withColumn("loc", F.monotonically_increasing_id()).withColumn("g", F.lit(0).cast("long")))
     box = rows.agg(*(F.array(*(f(F.col("vec")[i]) for i in range(keep))).alias(n) for f, n in ((F.min, "low"), (F.max, "high"))))
-    near = neighbour_descent(rows.select("g", "loc", "vec").crossJoin(F.broadcast(box)), keep, k)
+    near = neighbour_descent(rows.select("g", "loc", "vec").crossJoin(F.broadcast(box)), keep, k, width=k)
     voters = rows.where("ref").join(typed, "cell").select(F.col("loc").alias("v"), "type")
     votes = near.join(rows.where("NOT ref").select(F.col("loc").alias("u"), "cell"), "u").join(voters, "v").groupBy("cell", "type").agg(F.count("*").alias("n"))
     votes = votes.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("cell")))

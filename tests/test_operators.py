@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from cellwright.operators import geometry as geo
 from cellwright.operators import segmentation as seg
 from cellwright.operators.filters import filter_transcripts
-from cellwright.operators.graph import components
-from cellwright.operators.knn import spatial_knn
-from cellwright.operators.markers import benjamini_hochberg
-from cellwright.operators.matrix import downsample, kneepoint, normalize_total, zscore
+from cellwright.operators.graph import components, neighbour_clusters
+from cellwright.operators.knn import nearest_marked, spatial_knn
+from cellwright.operators.markers import benjamini_hochberg, two_sided_t
+from cellwright.operators.matrix import downsample, knee_of_totals, kneepoint, normalize_total, zscore
+from cellwright.operators.models import components_to_keep
 from cellwright.operators.proximity import nearby
-from cellwright.operators.tables import average_rank
+from cellwright.operators.tables import average_rank, literal_list, quantiles
 from cellwright.plans import registry
+from cellwright.sources.store import first_match
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
@@ -108,6 +110,89 @@ def test_nearby_edges(spark):
     assert run(p.where("false"), c) == set() and {k for k, _, _ in run(p, c.where("false"))} == {"near"}
 
 
+def test_shared_folder_is_asked_for_on_clusters(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from cellwright.runtime import shared_dir
+
+    conf = lambda named: SimpleNamespace(get=lambda key: named)
+    session = lambda master, named: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: conf(named)))
+    assert shared_dir(session("spark://host", "hdfs:/x")) == "hdfs:/x"
+    for master in ("spark://host", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master, None))
+
+
+def test_quantiles_and_ranks_by_ranges(spark):
+    rng = np.random.default_rng(0)
+    rows = [("a", float(v)) for v in rng.integers(0, 40, 500)] + [("b", float(v)) for v in rng.normal(size=301)] + [("b", None), ("c", 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: (r.q1, r.q9) for r in quantiles(df, "v", {"q1": 0.25, "q9": 0.9}, ["k"]).collect()}
+    for k in "abc":
+        v = [x for g, x in rows if g == k and x is not None]
+        assert got[k] == pytest.approx(tuple(np.quantile(v, [0.25, 0.9])))
+    one = quantiles(df, "v", {"m": 0.5}, []).first()
+    assert one.m == pytest.approx(np.median([x for _, x in rows if x is not None])) and quantiles(df.where("false"), "v", {"m": 0.5}, []).count() == 0
+
+
+def test_students_t(spark):
+    # known values: t = 2.228, 10 degrees: 0.05; 1 degree is the Cauchy distribution; many degrees are the normal one
+    rows = [(2.2281388519649385, 10.0), (1.0, 1.0), (-1.959963984540054, 1e9), (0.0, 5.0), (40.0, 30.0), (None, 3.0), (1.0, None)]
+    got = [r.p for r in spark.createDataFrame(rows, "t double, df double").coalesce(1).select(two_sided_t("t", "df").alias("p")).collect()]
+    assert got[:4] == pytest.approx([0.05, 0.5, 0.05, 1.0], abs=1e-6) and got[4] < 1e-25 and got[5:] == [None, None]
+
+
+def test_knee_of_totals_is_the_knee_of_all_cells(spark):
+    rng = np.random.default_rng(2)
+    totals = np.r_[rng.integers(1, 6, 300), rng.integers(20, 400, 200)]
+    v = np.log10(np.sort(totals))
+    off = np.abs((len(v) - 1) * (v - v[0]) - (v[-1] - v[0]) * np.arange(len(v)))
+    df = spark.createDataFrame([(int(t),) for t in totals], "total long")
+    assert knee_of_totals(df, "total").first().value == np.sort(totals)[off.round(9).argmax()] and knee_of_totals(df.where("false"), "total").count() == 0
+
+
+def test_literal_list(spark):
+    said = ["['a', 'b c']", '["x, y", \'z\']', "[]", "no list", None]
+    got = [r.x for r in spark.createDataFrame([(t,) for t in said], "t string").coalesce(1).select(literal_list(F.col("t")).alias("x")).collect()]
+    assert got == [["a", "b c"], ["x, y", "z"], [], None, None]
+
+
+def test_first_match(spark):
+    assert first_match(spark, f"{DATA}/c*.parquet").endswith("cell_boundaries.parquet")
+    with pytest.raises(FileNotFoundError):
+        first_match(spark, f"{DATA}/nothing*.parquet")
+
+
+def test_nearest_marked_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    pts = [("f", i, float(x), float(y), bool(i % 40 == 0)) for i, (x, y) in enumerate(rng.normal(size=(700, 2)) ** 3 * 50 + 500)] + [("f", 900, pts0, 1.0, True) for pts0 in (1.0,)] + [("f", 901, 1.0, 1.0, True), ("few", 950, 0.0, 0.0, True), ("few", 951, 3.0, 4.0, None)]
+    got = {r.id: r.d2 for r in nearest_marked(spark.createDataFrame(pts, "frame string, id long, x double, y double, mark boolean"), 60).collect()}
+    for f, i, x, y, _ in pts:
+        near = sorted(((x - u) ** 2 + (y - v) ** 2, j, m) for g, j, u, v, m in pts if g == f)[:60]
+        want = next((d for d, _, m in near if m and d > 0), None)
+        assert got[i] == (None if want is None else pytest.approx(want))
+
+
+def test_components_to_keep():
+    shares = [0.5, 0.3, 0.1, 0.05, 0.03, 0.02]
+    assert components_to_keep(shares) == 1 and components_to_keep(shares, 0.9) == 2 and components_to_keep([1.0]) == 1
+
+
+def test_big_cell_is_outlined():
+    pts = np.random.default_rng(9).uniform(size=(20_000, 2))
+    (ring,) = geo.outline(pts)
+    assert 0.9 < geo.area_of(ring) <= 1.0
+
+
+def test_neighbour_clusters_find_groups(spark):
+    rng = np.random.default_rng(11)
+    x = np.repeat(rng.normal(size=(4, 10)) * 8, 60, 0) + rng.normal(size=(240, 10))
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "id long, v array<double>")
+    of = {r.id: r.label for r in neighbour_clusters(df, 15).collect()}
+    assert all(of[i] != of[j] for i in range(0, 240, 60) for j in range(0, 240, 60) if i != j) and len(set(of.values())) < 20
+    assert len({r.label for r in neighbour_clusters(df, 15, resolution=8.0).collect()}) >= len(set(of.values()))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1002, 1000), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
