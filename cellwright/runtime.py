@@ -17,7 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, per_core: int = 2) -> int:
-    """Partitions for Python stages: AQE would merge them by bytes although they are bound by CPU."""
+    """Partitions for Python stages: AQE would merge them by bytes although they are bound by CPU.
+
+    ``spark.cellwright.partitionsPerCore`` overrides ``per_core``, for sessions whose tables are all small.
+    """
+    per_core = int(spark.conf.get("spark.cellwright.partitionsPerCore", str(per_core)))
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_core * spark.sparkContext.defaultParallelism)
 
 

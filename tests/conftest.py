@@ -19,7 +19,7 @@ def spark():
     s = (
         SparkSession.builder.master("local[8]").appName("tests")
         .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "6g").getOrCreate()
+        .config("spark.driver.memory", "6g").config("spark.cellwright.partitionsPerCore", "1").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
