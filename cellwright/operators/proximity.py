@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellwright.runtime import parts, usable
+from cellwright.runtime import cut, parts, usable
 
 SCHEMA = "kind string, id long, match string"
 #: Points per strip, and twice as many per block of a strip; edges tested at once in a task.
@@ -180,9 +180,9 @@ def nearby(
         F.col(q(y)).cast("double").alias("y"),
     ).where(usable(F.col("x"), F.col("y")) & F.col("id").isNotNull() & F.col("frame").isNotNull())
     step = max(16 * radius, 1e-9)
-    strips = _strips(pts, step, strip_points)
+    strips = cut(_strips(pts, step, strip_points))  # a row per strip of 16 radii: written once, so that points needn't move to meet it where it is small
     homes = pts.withColumn("row", F.floor(F.col("y") / step)).join(strips, ["frame", "row"])
-    blocks = _blocks(homes.select("frame", "strip", "x"), step, 2 * strip_points)
+    blocks = cut(_blocks(homes.select("frame", "strip", "x"), step, 2 * strip_points))
     ghost = F.when(F.col("below").isNotNull() & (F.col("y") <= F.col("low") + radius), F.array("strip", "below"))
     placed = (
         homes.select("id", "frame", "x", "y", F.col("strip").alias("home"), F.explode(F.coalesce(ghost, F.array("strip"))).alias("strip"))
