@@ -91,6 +91,31 @@ def correlations(m: DataFrame, value: str) -> DataFrame:
     return out.select("g1", "g2", F.try_divide(cov, F.col("s1") * F.col("s2")).alias("r"))
 
 
+def correlation_blocks(m: DataFrame, value: str, groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Correlations inside and between groups (gene, label) without the table of all pairs: genes (gene, label, mean, sd); pairs
+    (label, g1, g2, r) of the same label that share a cell; blocks (l1, l2, r), l1 <= l2, with the mean over all pairs of the two.
+
+    Sums per cell and label give the means. A pair with a gene that never varies counts as -1.
+    """
+    mom = gene_moments(m, value).join(groups.where("label IS NOT NULL"), "gene")
+    genes = cut(mom.select("gene", "label", "mean", "sd", "cells"))
+    own = cut(m.select("cell", "gene", value).join(genes, "gene").select("cell", "gene", "label", value, "sd"))
+    side = lambda k: own.select("cell", "label", F.col("gene").alias(f"g{k}"), F.col(value).alias(f"v{k}"))
+    met = side(1).join(side(2), ["cell", "label"]).where("g1 < g2").groupBy("label", "g1", "g2").agg(F.sum(F.col("v1") * F.col("v2")).alias("xy"))
+    of = lambda k: genes.select(F.col("gene").alias(f"g{k}"), F.col("mean").alias(f"m{k}"), F.col("sd").alias(f"s{k}"), "cells")
+    cov = F.col("xy") / F.col("cells") - F.col("m1") * F.col("m2")
+    pairs = met.join(of(1), "g1").join(of(2).drop("cells"), "g2").select("label", "g1", "g2", F.try_divide(cov, F.col("s1") * F.col("s2")).alias("r"))
+    vary = F.col("sd") > 0
+    size = cut(genes.groupBy("label").agg(F.count("*").alias("n"), F.count_if(vary).alias("k"), F.coalesce(F.sum(F.when(vary, F.col("mean") / F.col("sd"))), F.lit(0.0)).alias("t"), F.max("cells").alias("cells")))
+    held = own.where(vary).groupBy("cell", "label").agg(F.sum(F.col(value) / F.col("sd")).alias("a"))
+    at = lambda k: held.select("cell", F.col("label").alias(f"l{k}"), F.col("a").alias(f"a{k}"))
+    both = at(1).join(at(2), "cell").where("l1 <= l2").groupBy("l1", "l2").agg(F.sum(F.col("a1") * F.col("a2")).alias("aa"))
+    lab = lambda k: size.select(*(F.col(c).alias(f"{c[0]}{k}") for c in ("label", "n", "k", "t")), F.col("cells").alias(f"cells{k}"))
+    blocks = lab(1).join(lab(2), F.col("l1") <= F.col("l2")).join(both, ["l1", "l2"], "left")  # labels by labels
+    every = F.coalesce("aa", F.lit(0.0)) / F.col("cells1") - F.col("t1") * F.col("t2") - (F.col("n1") * F.col("n2") - F.col("k1") * F.col("k2"))
+    return genes, pairs, blocks.select("l1", "l2", (every / (F.col("n1") * F.col("n2"))).alias("r"))
+
+
 def downsample(m: DataFrame, most: int, seed: int = 0) -> DataFrame:
     """Cells of more than ``most`` counts thinned to exactly ``most``, without replacement, in a hash order of the single counts."""
     one = m.select("cell", "gene", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"))

@@ -75,15 +75,15 @@ def deseq2(s, d):
     return differential.negative_binomial_test(m, samples)
 
 
-def _type_means(s, d):
-    tg = mk.type_gene(counts(s, d), typed(s, d))
+def _type_means(m, types):
+    tg = mk.type_gene(m, types)
     return cut(tg.select("type", "gene", (F.col("total").cast("double") / F.col("cells")).alias("mean")))
 
 
 @q("color_order")
 def color_order(s, d):
     """Types on a line from 0 to 1: leaf order of the correlations of their mean profiles."""
-    tm = _type_means(s, d)
+    tm = _type_means(counts(s, d), typed(s, d))
     side = lambda k: tm.select("gene", F.col("type").alias(f"g{k}"), F.col("mean").alias(f"m{k}"))
     r = side(1).join(side(2), "gene").where("g1 <= g2").groupBy("g1", "g2").agg(F.corr("m1", "m2").alias("r"))  # types by types
     return ordering.leaf_positions(r).withColumnRenamed("thing", "type")
@@ -92,8 +92,9 @@ def color_order(s, d):
 @q("corr_order")
 def corr_order(s, d):
     """All genes, grouped by the type that has their highest mean, in the order of their correlations."""
-    best = _type_means(s, d).groupBy("gene").agg(F.max_by("type", F.struct("mean", "type")).alias("label"))
-    return ordering.block_order(mx.correlations(cut(counts(s, d)), "n"), best)
+    m = cut(counts(s, d))
+    best = _type_means(m, typed(s, d)).groupBy("gene").agg(F.max_by("type", F.struct("mean", "type")).alias("label"))
+    return ordering.place_blocks(*mx.correlation_blocks(m, "n", best))
 
 
 @q("pca")

@@ -8,6 +8,7 @@ import pytest
 
 from cellwright.operators import ordering
 from cellwright.operators.differential import negative_binomial_test
+from cellwright.operators.matrix import correlation_blocks, correlations
 from cellwright.operators.spatial import local_correlation, module_scores
 
 
@@ -65,6 +66,29 @@ def test_orders_and_modules(spark):
     assert ordering.modules(empty, 0.5, 3, "r").count() == 0 and ordering.leaf_positions(empty).count() == 0
 
 
+def test_leaves_without_a_matrix():
+    for seed in range(200):
+        rng = np.random.default_rng(seed)
+        m = rng.integers(0, rng.integers(2, 30), (n := int(rng.integers(1, 14)), n)).astype(float)  # many ties
+        m = np.maximum(m, m.T)
+        assert ordering.single_leaves(n, lambda i: m[i]) == [i for g in ordering.linkage_groups(m, "single") for i in g]
+
+
+def test_more_genes_than_a_matrix_holds_are_ordered(spark, small):
+    _, _, m, _ = small
+    labels = spark.createDataFrame([(f"g{k}", "x" if k % 2 else "y") for k in range(4)], "gene string, label string")
+    rows = lambda df: [(r.gene, r.label, r.place) for r in df.orderBy("place").collect()]
+    both = ordering.place_blocks(*correlation_blocks(m, "n", labels)), ordering.block_order(correlations(m, "n"), labels)
+    assert rows(both[0]) == rows(both[1]) and len(rows(both[0])) == 4
+    n = ordering.MOST + 101
+    wide = m.unionByName(spark.range(n).selectExpr("id % 30 AS cell", "'h' || id AS gene", "1L AS n"))
+    labels = labels.union(spark.range(n).selectExpr("'h' || id", "if(id % 3 = 0, 'x', 'z')"))
+    got = rows(ordering.place_blocks(*correlation_blocks(wide, "n", labels)))
+    assert [p for *_, p in got] == list(range(n + 4)) and len({g for g, *_ in got}) == n + 4
+    chain = spark.range(n).selectExpr("lpad(id, 5, '0') AS g1", "lpad(id + 1, 5, '0') AS g2", "0.5D AS r")
+    assert [g for g, *_ in rows(ordering.block_order(chain, chain.selectExpr("g1 AS gene", "'a' AS label")))] == [f"{i:05d}" for i in range(n)]
+
+
 def test_negative_binomial(spark):
     rng = np.random.default_rng(4)
     rows = [(s, f"g{g}", int(rng.negative_binomial(20, 20 / (20 + 100 * (1 + s % 2) * (4 if g == 0 and s >= 6 else 1))))) for s in range(12) for g in range(40)]
