@@ -7,6 +7,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.pipeline import Pipeline
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,20 +24,27 @@ def sample_per(df: DataFrame, key: str, id_col: str, most: int, seed: int = 0) -
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r")
 
 
+def entries(m: DataFrame, genes: list[str], target: float | None = 1000.0, log: bool = True) -> DataFrame:
+    """(cell, i, v): the normalised (and logged) values of a cell that aren't zero, and their places in ``genes``, rising."""
+    at = m.sparkSession.createDataFrame(list(enumerate(genes)), "i int, gene string")
+    values = normalize_total(m, target).withColumn("v", F.log1p("norm") if log else F.col("norm")).join(at, "gene", "left")
+    held = values.groupBy("cell").agg(F.sort_array(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "v")))).alias("x"))  # at most one entry per gene
+    return held.select("cell", F.col("x.i").alias("i"), F.col("x.v").alias("v"))
+
+
 def features(m: DataFrame, genes: list[str], target: float | None = 1000.0, log: bool = True) -> DataFrame:
-    """(cell, features): normalised (and logged) vector of a cell over ``genes``, the panel's vocabulary; zeros where a gene is absent."""
-    values = normalize_total(m, target).withColumn("v", F.log1p("norm") if log else F.col("norm"))
-    held = values.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("gene", "v"))).alias("x"))  # at most one entry per gene
-    row = F.transform(F.array(*map(F.lit, genes)), lambda g: F.coalesce(F.try_element_at("x", g), F.lit(0.0)))
-    return held.select("cell", array_to_vector(row).alias("features"))
+    """(cell, features): sparse vector of a cell over ``genes``, the panel's vocabulary, from its :func:`entries`."""
+    n = len(genes)
+    vector = F.udf(lambda i, v: SparseVector(n, i, v), VectorUDT())
+    return entries(m, genes, target, log).select("cell", vector("i", "v").alias("features"))
 
 
 def train_annotator(m: DataFrame, typed: DataFrame, genes: list[str], per_type: int = 5000) -> tuple[PipelineModel, list[str]]:
     """Logistic regression of the type on at most ``per_type`` cells of each; returns the model and its type names."""
     labels = sorted(r.type for r in typed.select("type").distinct().collect())  # types, not cells
     code = F.create_map(*(F.lit(x) for i, t in enumerate(labels) for x in (t, float(i))))
-    rows = features(m, genes).join(sample_per(typed, "type", "cell", per_type), "cell").withColumn("label", code[F.col("type")])
-    return Pipeline(stages=[LogisticRegression(maxIter=30, regParam=0.01)]).fit(rows.select("features", "label")), labels
+    rows = features(m.join(dealt := cut(sample_per(typed, "type", "cell", per_type)), "cell", "left_semi"), genes).join(dealt, "cell").withColumn("label", code[F.col("type")])
+    return Pipeline(stages=[LogisticRegression(maxIter=30, regParam=0.01)]).fit(cut(rows.select("features", "label"))), labels
 
 
 def annotate(model: PipelineModel, labels: list[str], m: DataFrame, genes: list[str]) -> DataFrame:

@@ -112,7 +112,7 @@ def celltypist(s, d):
     """Train on the typed cells over all genes, save, load, and predict every cell of the vendor's matrix."""
     m = cut(counts(s, d))
     genes = _genes(m)
-    model, labels = models.train_annotator(m, typed(s, d), genes)
+    model, labels = models.train_annotator(m, cut(typed(s, d)), genes)
     path = scratch(s)
     model.write().overwrite().save(path)
     return models.annotate(models.PipelineModel.load(path), labels, m, genes)

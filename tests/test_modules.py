@@ -6,7 +6,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from cellwright.operators import ordering
+from cellwright.operators import models, ordering
 from cellwright.operators.differential import negative_binomial_test
 from cellwright.operators.matrix import correlation_blocks, correlations
 from cellwright.operators.spatial import local_correlation, module_scores
@@ -89,6 +89,14 @@ def test_more_genes_than_a_matrix_holds_are_ordered(spark, small):
     assert [g for g, *_ in rows(ordering.block_order(chain, chain.selectExpr("g1 AS gene", "'a' AS label")))] == [f"{i:05d}" for i in range(n)]
 
 
+def test_features_hold_only_what_a_cell_has(spark):
+    m = spark.createDataFrame([(1, "b", 3), (1, "a", 1), (2, "stray", 5)], "cell long, gene string, n long")
+    genes = ["a", *(f"a{i:05d}" for i in range(20_000)), "b"]
+    got = {r.cell: r.features for r in models.features(m, genes).collect()}
+    assert got[1].size == 20_002 and got[1].indices.tolist() == [0, 20_001] and got[1].values == pytest.approx(np.log1p([250.0, 750.0]))
+    assert got[2].size == 20_002 and got[2].numNonzeros() == 0
+
+
 def test_negative_binomial(spark):
     rng = np.random.default_rng(4)
     rows = [(s, f"g{g}", int(rng.negative_binomial(20, 20 / (20 + 100 * (1 + s % 2) * (4 if g == 0 and s >= 6 else 1))))) for s in range(12) for g in range(40)]
