@@ -12,7 +12,7 @@ from pyspark.ml.pipeline import Pipeline
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellwright.operators.descent import neighbour_descent
+from cellwright.operators.components import components_to_keep, nearest, on_axes, principal_axes
 from cellwright.operators.matrix import normalize_total
 from cellwright.operators.tables import first_per
 from cellwright.runtime import cut
@@ -55,15 +55,6 @@ def annotate(model: PipelineModel, labels: list[str], m: DataFrame, genes: list[
     return p.select("cell", F.element_at(names, F.col("i") + 1).alias("type"), F.array_max("p").alias("probability"), entropy.alias("entropy"))
 
 
-def components_to_keep(shares, share: float | None = None) -> int:
-    """How many components: where their cumulative variance is nearest to ``share``, by default at its knee; one at least."""
-    c = np.cumsum(shares)
-    if share is not None:
-        return max(1, int(np.abs(c - share).argmin()))
-    run, rise = len(c) - 1, c[-1] - c[0]
-    return max(1, int(np.abs(run * (c - c[0]) - rise * np.arange(len(c))).round(9).argmax()))
-
-
 def fit_projection(rows: DataFrame, column: str, share: float | None = None):
     """(model, number of components) of vectors: all components are fitted, then chosen by :func:`components_to_keep`."""
     dim = len(rows.select(column).first()[0])
@@ -81,19 +72,16 @@ def project(v: DataFrame, column: str = "v", share: float | None = None) -> tupl
 
 
 def transfer_labels(ref: DataFrame, typed: DataFrame, query: DataFrame, genes: list[str], k: int = 30) -> DataFrame:
-    """(cell, type, share): the most frequent type among the reference cells within the k nearest cells of either side.
+    """(cell, type, share): the most frequent type among the k nearest reference cells.
 
-    Components are fitted on the reference; both sides are projected on them and share one graph of neighbours. Ties go to
-    the smaller name; a query cell without a typed reference cell among its neighbours gets no row.
+    Components are fitted on the reference, and both sides are projected on them; every query cell asks all reference cells.
+    Ties go to the smaller name; a query cell without a typed reference cell among its neighbours gets no row.
     """
-    side = lambda m, is_ref: features(m, genes, 1e4).select("cell", F.lit(is_ref).alias("ref"), F.col("features").alias("x"))
-    known = side(ref, True)
-    model, keep = fit_projection(known, "x")
-    rows = model.transform(known.unionByName(side(query, False))).select("cell", "ref", F.slice(vector_to_array("pc"), 1, keep).alias("vec"))
-    rows = cut(rows.withColumn("loc", F.monotonically_increasing_id()).withColumn("g", F.lit(0).cast("long")))
-    box = rows.agg(*(F.array(*(f(F.col("vec")[i]) for i in range(keep))).alias(n) for f, n in ((F.min, "low"), (F.max, "high"))))
-    near = neighbour_descent(rows.select("g", "loc", "vec").crossJoin(F.broadcast(box)), keep, k, width=k)
-    voters = rows.where("ref").join(typed, "cell").select(F.col("loc").alias("v"), "type")
-    votes = near.join(rows.where("NOT ref").select(F.col("loc").alias("u"), "cell"), "u").join(voters, "v").groupBy("cell", "type").agg(F.count("*").alias("n"))
+    known, asking = (cut(entries(m, genes, 1e4).withColumn("loc", F.monotonically_increasing_id())) for m in (ref, query))
+    axes, mean = principal_axes(known, len(genes))
+    on = lambda rows, name: cut(on_axes(rows, axes, mean, "loc")).select(F.col("loc").alias(name), F.col("vec").alias("v"))
+    near = nearest(on(known, "id"), on(asking, "qid"), k)
+    voters = known.join(typed, "cell").select(F.col("loc").alias("id"), "type")
+    votes = near.join(asking.select(F.col("loc").alias("qid"), "cell"), "qid").join(voters, "id").groupBy("cell", "type").agg(F.count("*").alias("n"))
     votes = votes.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("cell")))
     return first_per(votes, ["cell"], F.desc("n"), "type").select("cell", "type", "share")

@@ -6,7 +6,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from cellwright.operators import models, ordering
+from cellwright.operators import components, models, ordering
 from cellwright.operators.differential import negative_binomial_test
 from cellwright.operators.matrix import correlation_blocks, correlations
 from cellwright.operators.spatial import local_correlation, module_scores
@@ -97,6 +97,56 @@ def test_features_hold_only_what_a_cell_has(spark):
     assert got[2].size == 20_002 and got[2].numNonzeros() == 0
 
 
+@pytest.fixture(scope="module")
+def wide(spark):
+    """Rows of few values over 300 columns, most of which are rare; the same as a matrix."""
+    rng = np.random.default_rng(3)
+    x = rng.poisson(np.r_[rng.uniform(0.2, 2, 40), np.full(260, 0.02)], (400, 300)).astype(float)
+    x[:200, :10] *= 3
+    x[7] = 0
+    rows = [(i, np.flatnonzero(r).tolist(), r[r > 0].tolist()) for i, r in enumerate(x)]
+    return x, spark.createDataFrame(rows, "id long, i array<int>, v array<double>")
+
+
+def test_axes_of_sparse_rows_against_numpy(wide):
+    x, rows = wide
+    w, v = np.linalg.eigh(np.cov(x.T, bias=True))
+    k = components.components_to_keep(w[::-1] / w.sum())
+    axes, mean = components.principal_axes(rows, 300)
+    assert axes.shape == (300, k) and mean == pytest.approx(x.mean(0))
+    assert np.abs((axes * v[:, ::-1][:, :k]).sum(0)) == pytest.approx(np.ones(k))
+    a, b = np.nonzero(np.triu(x.T @ x))
+    for heavy in (64, 200):
+        again = components.leading_axes(a, b, (x.T @ x)[a, b] / 400, mean, dense=10, heavy=heavy)
+        assert again.shape == axes.shape and np.abs((again * axes).sum(0)) == pytest.approx(np.ones(k), abs=1e-6)
+    got = {r.id: r.vec for r in components.on_axes(rows, axes, mean, "id").collect()}
+    assert np.array([got[i] for i in range(400)]) == pytest.approx((x - mean) @ axes, abs=1e-4)
+
+
+def test_nearest_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 40))
+    x[30] = x[20]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for skip in (True, False):
+        found = components.nearest(df, df.withColumnRenamed("id", "qid"), 7, skip_self=skip).toPandas().sort_values(["qid", "d", "id"])
+        want = d + np.diag(np.full(900, np.inf)) if skip else d
+        assert np.array(found.d).reshape(900, 7) == pytest.approx(np.sort(want, 1)[:, :7], abs=1e-2)
+        assert [set(g) for g in np.array(found.id).reshape(900, 7)[100:]] == [set(g) for g in np.argsort(want, 1, kind="stable")[100:, :7]]
+    assert components.nearest(df.where("id < 3"), df.withColumnRenamed("id", "qid"), 7).count() == 2700
+    assert components.nearest(df.where("false"), df.withColumnRenamed("id", "qid"), 7).count() == 0
+
+
+def test_types_come_from_the_nearest_reference_cells(spark):
+    rng = np.random.default_rng(2)
+    side = lambda n, at: [(at + i, f"g{g}", int(c)) for i in range(n) for g, c in enumerate(rng.poisson(np.where(np.arange(50) // 25 == i % 2, 4, 0.2))) if c]
+    ref, query = (spark.createDataFrame(side(n, at), "cell long, gene string, n long") for n, at in ((40, 0), (400, 1000)))
+    typed = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)], "cell long, type string")
+    got = {r.cell: (r.type, r.share) for r in models.transfer_labels(ref, typed, query, [f"g{g}" for g in range(50)], 15).collect()}
+    assert len(got) == 400 and all(t == "ab"[c % 2] and round(share * 15, 6) % 1 == 0 for c, (t, share) in got.items())
+
+
 def test_negative_binomial(spark):
     rng = np.random.default_rng(4)
     rows = [(s, f"g{g}", int(rng.negative_binomial(20, 20 / (20 + 100 * (1 + s % 2) * (4 if g == 0 and s >= 6 else 1))))) for s in range(12) for g in range(40)]
