@@ -6,13 +6,16 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellwright.operators.descent import neighbour_descent
+from cellwright.operators.components import nearest
+from cellwright.operators.descent import BLOCK, _curve, neighbour_descent
 from cellwright.runtime import cut, drop, parts
 
 #: What a round must add to a group's modularity to count as a rise.
 RISE = 1e-4
 #: Edges, each in both directions, of a group that one task finishes.
 SMALL = 100_000
+#: Dimensions beyond which neighbours are found by comparing all with all: descent would send each vector with each edge.
+WIDE = 32
 
 
 def jaccard_edges(knn: DataFrame) -> DataFrame:
@@ -219,12 +222,20 @@ def size_labels(member: DataFrame, least: int) -> DataFrame:
     return member.join(sizes.withColumn("label", F.when(F.col("n") <= least, -1).otherwise(F.row_number().over(w) - 1)).select("c", "label"), "c").select("loc", "label")
 
 
+def _wide_graph(rows: DataFrame, box: DataFrame, dim: int, k: int) -> DataFrame:
+    """(u, v, d, block) of rows of many dimensions: their exact neighbours; blocks are sections of a curve."""
+    near = nearest(rows.select(F.col("loc").alias("id"), F.col("vec").alias("v")), rows.select(F.col("loc").alias("qid"), F.col("vec").alias("v")), k, skip_self=True)
+    curve = rows.crossJoin(F.broadcast(box)).mapInArrow(_curve(dim), "g long, loc long, vec array<double>, n int, z long").where("n = 0").select("loc", "z")
+    block = cut(curve.repartitionByRange(-(-rows.count() // BLOCK) or 1, "z", "loc").select(F.col("loc").alias("u"), F.spark_partition_id().cast("long").alias("block")))
+    return cut(near.select(F.col("qid").alias("u"), F.col("id").alias("v"), "d").join(block, "u"))
+
+
 def neighbour_clusters(v: DataFrame, k: int, resolution: float = 1.0, least: int = -1) -> DataFrame:
-    """(id, label) of vectors (id, v): communities of the overlap-weighted graph of about the k nearest neighbours, by falling size."""
+    """(id, label) of vectors (id, v): communities of the overlap-weighted graph of about the k nearest neighbours (exactly these in many dimensions), by falling size."""
     rows = cut(v.select(F.lit(0).cast("long").alias("g"), F.col("id").alias("loc"), F.col("v").cast("array<double>").alias("vec")).dropna())
     dim = rows.select(F.max(F.size("vec"))).first()[0] or 1
     box = rows.agg(*(F.array(*(f(F.col("vec")[i]) for i in range(dim))).alias(n) for f, n in ((F.min, "low"), (F.max, "high"))))
-    near = neighbour_descent(rows.crossJoin(F.broadcast(box)), dim, k, width=max(k, 20))
+    near = _wide_graph(rows, box, dim, k) if dim > WIDE else neighbour_descent(rows.crossJoin(F.broadcast(box)), dim, k, width=max(k, 20))
     lists = near.select(F.col("u").alias("id"), F.col("v").alias("nb")).unionByName(rows.select(F.col("loc").alias("id"), F.col("loc").alias("nb")))
     e = cut(jaccard_edges(lists))
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))

@@ -10,6 +10,7 @@ from cellwright.operators import markers as mk
 from cellwright.operators import matrix as mx
 from cellwright.operators import models
 from cellwright.operators import tables as tab
+from cellwright.operators.components import on_axes, principal_axes
 from cellwright.operators.filters import filter_total
 from cellwright.operators.graph import neighbour_clusters
 from cellwright.plans.base import CELLS, COUNTS, SPACE_SQL, TX, Book, cells, counts, tx, typed
@@ -166,8 +167,10 @@ def preprocess(s, d):
     least = mx.knee_of_totals(mx.totals(m), "total").first()
     m = cut(filter_total(m, "cell", min(max(least.value if least else 5, 5), 30)))
     number = cut(m.select("cell").distinct().withColumn("id", F.monotonically_increasing_id()))
-    v = models.features(m, _genes(m), None, log=False).join(number, "cell").select("id", models.vector_to_array("features").alias("v"))
-    labels = neighbour_clusters(models.project(v)[0].withColumnRenamed("pcs", "v"), 15)
+    genes = _genes(m)
+    rows = cut(models.entries(m, genes, None, log=False).join(number, "cell"))
+    v = cut(on_axes(rows, *principal_axes(rows, len(genes)), "id")).withColumnRenamed("vec", "v")
+    labels = neighbour_clusters(v, 15)
     return number.join(labels, "id").select("cell", F.col("label").alias("cluster"))
 
 

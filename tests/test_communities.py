@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from cellwright.operators import graph
 from cellwright.operators.graph import SMALL, communities
 
 
@@ -42,3 +43,17 @@ def test_communities_run_to_the_end(spark, small):
     for k, v in c.items():
         of[v].add(k // 10_000)
     assert all(len(x) == 1 for x in of.values())  # no community crosses groups
+
+
+def test_graph_of_many_dimensions_is_exact(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 60))
+    x[:200, :5] += 6
+    rows = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "g long, loc long, vec array<double>")
+    box = spark.createDataFrame([(x.min(0).tolist(), x.max(0).tolist())], "low array<double>, high array<double>")
+    got = graph._wide_graph(rows, box, 60, 15).toPandas()
+    d = ((x[:, None] - x[None]) ** 2).sum(2) + np.diag(np.full(600, np.inf))
+    assert {(u, v) for u, v in zip(got.u, got.v)} == {(i, int(j)) for i in range(600) for j in np.argsort(d, 1)[i, :15]}
+    assert len(got) == 9000 and got.groupby("u").block.nunique().eq(1).all()
+    labels = graph.neighbour_clusters(rows.selectExpr("loc AS id", "vec AS v"), 15).toPandas().set_index("id").label
+    assert set(labels[labels.index < 200]).isdisjoint(labels[labels.index >= 200]) and len(labels) == 600
