@@ -62,11 +62,14 @@ def principal_axes(rows: DataFrame, p: int, share: float | None = None) -> tuple
     t = rows.mapInArrow(_moments(p), "a long, b long, s double").groupBy("a", "b").agg(F.sum("s").alias("s")).toArrow()
     a, b, s = (t[c].to_numpy() for c in ("a", "b", "s"))
     s = s / max(n, 1)
-    return leading_axes(a, b, s, m, share), m
+    return leading_axes(a, b, s, m, share, most=n), m
 
 
-def leading_axes(a: np.ndarray, b: np.ndarray, s: np.ndarray, mean: np.ndarray, share: float | None = None, dense: int = DENSE, heavy: int = HEAVY) -> np.ndarray:
-    """Leading eigenvectors of the covariance (a, b, s: second moments, a <= b, absent ones are zero), those to be kept."""
+def leading_axes(a: np.ndarray, b: np.ndarray, s: np.ndarray, mean: np.ndarray, share: float | None = None, dense: int = DENSE, heavy: int = HEAVY, most: int | None = None) -> np.ndarray:
+    """Leading eigenvectors of the covariance (a, b, s: second moments, a <= b, absent ones are zero), those to be kept.
+
+    There are as many components as columns, or as rows (``most``) where these are fewer.
+    """
     p, diagonal = len(mean), a == b
     total = max(float(s[diagonal].sum() - (mean**2).sum()), 1e-300)
     if p <= dense:
@@ -74,13 +77,13 @@ def leading_axes(a: np.ndarray, b: np.ndarray, s: np.ndarray, mean: np.ndarray,
         c[a, b] += s
         c[b[~diagonal], a[~diagonal]] += s[~diagonal]
         w, x = np.linalg.eigh(c)
-        return x[:, ::-1][:, : components_to_keep(w[::-1] / total, share)]
+        return x[:, ::-1][:, : components_to_keep(w[::-1][:most] / total, share)]
     times = _product(np.r_[a, b[~diagonal]], np.r_[b, a[~diagonal]], np.r_[s, s[~diagonal]], mean, heavy)
     width = min(p, heavy)
     while True:
         w, x = _subspace(times, p, width, 0.8 * width)
-        rest = np.full(p - width, max(0.0, 1 - w.sum() / total) / max(1, p - width))  # no single one of them matters for the knee
-        k = components_to_keep(np.r_[w / total, rest], share)
+        rest = np.full(p - width, max(0.0, 1 - w.sum() / total) / max(1, min(p, most or p) - width))  # no single one of them matters for the knee
+        k = components_to_keep(np.r_[w / total, rest][:most], share)
         if width == p or k <= 0.8 * width:
             return x[:, :k]
         width = min(p, 2 * width)

@@ -14,6 +14,8 @@ from cellwright.runtime import cut, drop, parts
 RISE = 1e-4
 #: Edges, each in both directions, of a group that one task finishes.
 SMALL = 100_000
+#: The same where single nodes should move through the whole graph, not only inside blocks of it.
+WHOLE = 2_000_000
 #: Dimensions beyond which neighbours are found by comparing all with all: descent would send each vector with each edge.
 WIDE = 32
 
@@ -30,8 +32,27 @@ def jaccard_edges(knn: DataFrame) -> DataFrame:
     return both.select("u", "v", (shared.cast("double") / (F.size("a") + F.size("b") - shared)).alias("w"))
 
 
+def mutual_jaccard(near: DataFrame) -> DataFrame:
+    """(u, v, w), u <= v: shared neighbours over all neighbours of the ends of each edge of (u, v), where both ends of an edge are
+    neighbours of each other and all of themselves.
+
+    A point may be near to many: of the two lists only the shorter one is sent with the edge.
+    """
+    one_way = near.where("u <> v").select(F.col("u").alias("id"), F.col("v").alias("nb"))
+    ends = cut(one_way.unionByName(one_way.select(F.col("nb").alias("id"), F.col("id").alias("nb"))).distinct())
+    lists = cut(ends.groupBy("id").agg(F.collect_list("nb").alias("nbs")).select("id", F.array_append("nbs", F.col("id")).alias("nbs")))
+    size = lambda c, n: lists.select(F.col("id").alias(c), F.size("nbs").alias(n))
+    e = ends.where("id < nb").select(F.col("id").alias("u"), F.col("nb").alias("v")).join(size("u", "nu"), "u").join(size("v", "nv"), "v")
+    less = F.col("nu") <= F.col("nv")
+    e = e.select("u", "v", "nu", "nv", F.when(less, F.col("u")).otherwise(F.col("v")).alias("low"), F.when(less, F.col("v")).otherwise(F.col("u")).alias("high"))
+    told = e.join(lists.select(F.col("id").alias("low"), F.col("nbs").alias("a")), "low").join(lists.select(F.col("id").alias("high"), F.col("nbs").alias("b")), "high")
+    shared = F.size(F.array_intersect("a", "b"))
+    loops = lists.select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(1.0).alias("w"))
+    return told.select("u", "v", (shared.cast("double") / (F.col("nu") + F.col("nv") - shared)).alias("w")).unionByName(loops)
+
+
 def communities(nodes: DataFrame, edges: DataFrame, small: int = SMALL, resolution: float = 1.0) -> DataFrame:
-    """(loc, c): modularity communities. ``nodes``: loc, g; ``edges``: g, u, v, w in both directions, no loops.
+    """(loc, c): modularity communities. ``nodes``: loc, g; ``edges``: g, u, v, w in both directions, loops once.
 
     Rounds go on until a group's modularity has risen by no more than ``RISE`` in two of them, with the best labels kept;
     levels until one unites nothing. A group of at most ``small`` edges, given or left by a level, is finished in one task.
@@ -225,16 +246,24 @@ def size_labels(member: DataFrame, least: int) -> DataFrame:
 def _wide_graph(rows: DataFrame, box: DataFrame, dim: int, k: int) -> DataFrame:
     """(u, v, d, block) of rows of many dimensions: their exact neighbours; blocks are sections of a curve."""
     near = nearest(rows.select(F.col("loc").alias("id"), F.col("vec").alias("v")), rows.select(F.col("loc").alias("qid"), F.col("vec").alias("v")), k, skip_self=True)
+    return cut(near.select(F.col("qid").alias("u"), F.col("id").alias("v"), "d").join(_curve_blocks(rows, box, dim), "u"))
+
+
+def _curve_blocks(rows: DataFrame, box: DataFrame, dim: int) -> DataFrame:
+    """(u, block): sections of a curve through the rows."""
     curve = rows.crossJoin(F.broadcast(box)).mapInArrow(_curve(dim), "g long, loc long, vec array<double>, n int, z long").where("n = 0").select("loc", "z")
-    block = cut(curve.repartitionByRange(-(-rows.count() // BLOCK) or 1, "z", "loc").select(F.col("loc").alias("u"), F.spark_partition_id().cast("long").alias("block")))
-    return cut(near.select(F.col("qid").alias("u"), F.col("id").alias("v"), "d").join(block, "u"))
+    return cut(curve.repartitionByRange(-(-rows.count() // BLOCK) or 1, "z", "loc").select(F.col("loc").alias("u"), F.spark_partition_id().cast("long").alias("block")))
+
+
+def _box(rows: DataFrame, dim: int) -> DataFrame:
+    return rows.agg(*(F.array(*(f(F.col("vec")[i]) for i in range(dim))).alias(n) for f, n in ((F.min, "low"), (F.max, "high"))))
 
 
 def neighbour_clusters(v: DataFrame, k: int, resolution: float = 1.0, least: int = -1) -> DataFrame:
     """(id, label) of vectors (id, v): communities of the overlap-weighted graph of about the k nearest neighbours (exactly these in many dimensions), by falling size."""
     rows = cut(v.select(F.lit(0).cast("long").alias("g"), F.col("id").alias("loc"), F.col("v").cast("array<double>").alias("vec")).dropna())
     dim = rows.select(F.max(F.size("vec"))).first()[0] or 1
-    box = rows.agg(*(F.array(*(f(F.col("vec")[i]) for i in range(dim))).alias(n) for f, n in ((F.min, "low"), (F.max, "high"))))
+    box = _box(rows, dim)
     near = _wide_graph(rows, box, dim, k) if dim > WIDE else neighbour_descent(rows.crossJoin(F.broadcast(box)), dim, k, width=max(k, 20))
     lists = near.select(F.col("u").alias("id"), F.col("v").alias("nb")).unionByName(rows.select(F.col("loc").alias("id"), F.col("loc").alias("nb")))
     e = cut(jaccard_edges(lists))
@@ -242,3 +271,18 @@ def neighbour_clusters(v: DataFrame, k: int, resolution: float = 1.0, least: int
     block = near.groupBy("u").agg(F.max("block").alias("block"))
     work = cut(both.join(block, "u", "left").select(F.lit(0).cast("long").alias("g"), "u", "v", "w", F.coalesce("block", F.lit(-1)).alias("block")))
     return size_labels(communities(rows.select("loc", "g"), work, resolution=resolution), least).withColumnRenamed("loc", "id")
+
+
+def near_clusters(v: DataFrame, near: DataFrame, resolution: float = 1.0, least: int = -1, whole: int = WHOLE) -> DataFrame:
+    """(id, label) of vectors (id, v): communities, by falling size, of the graph of their neighbours (u, v) weighted by
+    :func:`mutual_jaccard`. Up to ``whole`` edges one task moves every node; more are found inside blocks of a curve first.
+    """
+    rows = v.select(F.lit(0).cast("long").alias("g"), F.col("id").alias("loc"), F.col("v").cast("array<double>").alias("vec"))
+    e = cut(mutual_jaccard(near))
+    both = e.unionByName(e.where("u < v").select(F.col("v").alias("u"), F.col("u").alias("v"), "w")).select(F.lit(0).cast("long").alias("g"), "u", "v", "w")
+    if 2 * e.count() > whole:
+        dim = rows.select(F.max(F.size("vec"))).first()[0] or 1
+        both = both.join(_curve_blocks(rows, _box(rows, dim), dim), "u")
+    found = communities(rows.select("loc", "g"), cut(both), small=whole, resolution=resolution)
+    drop(e)
+    return size_labels(found, least).withColumnRenamed("loc", "id")

@@ -10,9 +10,10 @@ from cellwright.operators import markers as mk
 from cellwright.operators import matrix as mx
 from cellwright.operators import models
 from cellwright.operators import tables as tab
-from cellwright.operators.components import on_axes, principal_axes
+from cellwright.operators.components import nearest, on_axes, principal_axes
 from cellwright.operators.filters import filter_total
-from cellwright.operators.graph import neighbour_clusters
+from cellwright.operators.graph import near_clusters
+from cellwright.operators.layout import plane
 from cellwright.plans.base import CELLS, COUNTS, SPACE_SQL, TX, Book, cells, counts, tx, typed
 from cellwright.plans.basic import R
 from cellwright.plans.spatial import _AREA, _pt, placed, rings
@@ -162,7 +163,12 @@ def create_anndata_cells(s, d):
 
 @q("preprocess_pipeline")
 def preprocess(s, d):
-    """Filter at the knee of totals, normalise, project on components up to the knee of their variance, find neighbours, cluster."""
+    """Filter at the knee of totals, normalise, log, project on components up to the knee of their variance, find neighbours,
+    lay out in the plane, cluster: (cell, lognorm, umap_1, umap_2, cluster).
+
+    As by default, components are those of the normalised counts, and a cell is the first of its own 15 neighbours.
+    """
+    k = 15
     m = cut(counts(s, d))
     least = mx.knee_of_totals(mx.totals(m), "total").first()
     m = cut(filter_total(m, "cell", min(max(least.value if least else 5, 5), 30)))
@@ -170,8 +176,13 @@ def preprocess(s, d):
     genes = _genes(m)
     rows = cut(models.entries(m, genes, None, log=False).join(number, "cell"))
     v = cut(on_axes(rows, *principal_axes(rows, len(genes)), "id")).withColumnRenamed("vec", "v")
-    labels = neighbour_clusters(v, 15)
-    return number.join(labels, "id").select("cell", F.col("label").alias("cluster"))
+    near = cut(nearest(v, v.withColumnRenamed("id", "qid"), k - 1, skip_self=True).select(F.col("qid").alias("u"), F.col("id").alias("v"), "d"))
+    labels = cut(near_clusters(v, near))
+    places = plane(labels, near, k)
+    at = s.createDataFrame(list(enumerate(genes)), "i int, gene string")
+    logs = rows.select("id", "cell", F.explode(F.arrays_zip("i", "v")).alias("e")).join(at, F.col("e.i") == at.i).groupBy("id", "cell")
+    logs = logs.agg(F.sort_array(F.collect_list(F.struct("gene", F.log1p("e.v").alias("value")))).alias("lognorm"))  # a cell's genes
+    return logs.join(labels, "id").join(places, "id").select("cell", "lognorm", "umap_1", "umap_2", F.col("label").alias("cluster"))
 
 
 @q("agg_pseudobulk_spatial")
