@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from cellwright.runtime import cut, drop
 
-#: Points that one task moves; epochs between two exchanges of places; random points that push for each edge that pulls.
-BLOCK, EPOCHS, PUSHES = 32_768, 20, 5
+#: Points that one task moves; epochs between two exchanges of places; random points that push for each edge that pulls; edges at once.
+BLOCK, EPOCHS, PUSHES, TOGETHER = 32_768, 20, 5, 8
 #: Vectors of the subspace, degree of its filter, the residual that will do for a start, and filters at most.
 WIDTH, DEGREE, RESIDUAL, FILTERS = 6, 12, 0.01, 20
 
@@ -162,8 +162,10 @@ def spectral_start(blocks: DataFrame, n: int, seed: int = 0) -> np.ndarray:
 def _moves(begin: int, end: int, epochs: int, curve: tuple[float, float], rate: float, mutual: bool, seed: int):
     """Work for a block: its points after the epochs from ``begin`` to ``end``. ``mutual``: an edge moves both of its ends, among
     the others that are moved; else the places of all others are fixed. An edge of weight w (1: the largest) is sampled w times an epoch.
+    A point's edges act ``TOGETHER`` at most, then from where it went: one that is near to many would be thrown out by their sum.
     """
-    a, b = curve
+    a, b, near, tiny = (np.float32(c) for c in (*curve, 0.001, 1e-30))
+    pull = np.float32(2 if mutual else 1)  # once as the one end and once as the other
 
     def work(told, u, v, w):
         places, fixed = told
@@ -179,24 +181,29 @@ def _moves(begin: int, end: int, epochs: int, curve: tuple[float, float], rate:
             due += share
             e = np.flatnonzero(due >= 1 - 1e-9)
             due[e] -= 1
-            r, o = row[e], v[e]
-            px, py = x[own][r], y[own][r]
-            dx, dy = px - fx[o], py - fy[o]
-            d = dx * dx + dy * dy
-            g = d**b
-            g = np.where(d > 0, -2 * a * b * g / (np.maximum(d, 1e-30) * (1 + a * g)), 0).astype(np.float32)
-            pull = 2 if mutual else 1  # once as the one end and once as the other
-            mx, my = pull * np.clip(g * dx, -4, 4), pull * np.clip(g * dy, -4, 4)
-            for _ in range(PUSHES):
-                o = rng.integers(0, len(fx), len(e), np.int32)
+            start = np.flatnonzero(np.diff(row[e], prepend=-1))
+            turn = (np.arange(len(e)) - np.repeat(start, np.diff(np.r_[start, len(e)]))) // TOGETHER
+            e = e[np.argsort(turn, kind="stable")]
+            alpha = np.float32(rate * (1 - t / epochs))
+            for part in np.split(e, np.cumsum(np.bincount(turn))[:-1]):
+                if not len(part):
+                    continue
+                h, o = u[part], v[part]
+                px, py = x[h], y[h]
                 dx, dy = px - fx[o], py - fy[o]
                 d = dx * dx + dy * dy
-                g = np.float32(2 * b) / ((np.float32(0.001) + d) * (1 + np.float32(a) * d ** np.float32(b)))
-                mx += np.clip(g * dx, -4, 4)
-                my += np.clip(g * dy, -4, 4)
-            alpha = rate * (1 - t / epochs)
-            x[own] += (alpha * np.bincount(r, mx, len(own))).astype(np.float32)
-            y[own] += (alpha * np.bincount(r, my, len(own))).astype(np.float32)
+                g = d**b
+                g = np.where(d > 0, -2 * a * b * g / (np.maximum(d, tiny) * (1 + a * g)), 0)
+                mx, my = pull * np.clip(g * dx, -4, 4), pull * np.clip(g * dy, -4, 4)
+                o = rng.integers(0, len(fx), (PUSHES, len(part)), np.int32)
+                dx, dy = px - fx[o], py - fy[o]
+                d = dx * dx + dy * dy
+                g = 2 * b / ((near + d) * (1 + a * d**b))
+                mx += np.clip(g * dx, -4, 4).sum(0)
+                my += np.clip(g * dy, -4, 4).sum(0)
+                start = np.flatnonzero(np.diff(h, prepend=-1))
+                x[h[start]] += alpha * np.add.reduceat(mx, start)
+                y[h[start]] += alpha * np.add.reduceat(my, start)
         return own, np.stack([x[own], y[own]], 1)
 
     return work

@@ -51,6 +51,14 @@ def test_layout_keeps_groups_apart(spark):
         assert len(label) == 600 and sum(np.bincount(np.arange(600)[label == c] % 3).max() for c in set(label)) > 570
 
 
+def test_layout_holds_points_that_are_near_to_many(spark):
+    x = np.random.default_rng(6).normal(size=(800, 30))
+    x[0] = 0
+    near = [e for e in _near(x, 15) if e[0]] + [(0, i, 4.0) for i in range(1, 15)]
+    at = layout.plane_layout(spark.createDataFrame(near, "u long, v long, d double"), 800, 15, epochs=200)
+    assert sum(v == 0 for _, v, _ in near) > 700 and np.abs(at - np.median(at, 0)).max() < 30
+
+
 def test_layout_of_few_points(spark):
     for n in (0, 1, 2, 5):
         near = spark.createDataFrame(_near(np.arange(2.0 * n).reshape(n, 2) ** 2, 15), "u long, v long, d double")
